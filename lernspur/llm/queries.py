@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lernspur.llm import fingerprint, quality
+from lernspur.llm import fingerprint, langid, mixing, neardup, quality
 from lernspur.llm.common import table
 
 
@@ -31,7 +31,25 @@ def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
+    return mixed.select("row.doc_id", "row.source", "size", "source_size", "target", "taken")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
+    return found.select("row.doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("row.doc_id", "class_id", "class_docs", "class_texts")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
+    "op8_language_id": op8_language_id,
+    "op10_dart_minhash": op10_dart_minhash,
 }
