@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lernspur.llm import fingerprint, langid, mixing, neardup, quality
+from lernspur.llm import fingerprint, langid, mixing, neardup, packing, quality, token_files
 from lernspur.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "size", "source_size", "target", "taken")
 
 
+def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return found.select("row.doc_id", "held_out", "lang_pred", "score")
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
+    "op6_huffman_token_files": op6_huffman_token_files,
+    "op7_nnls_packing": op7_nnls_packing,
     "op8_language_id": op8_language_id,
     "op10_dart_minhash": op10_dart_minhash,
 }
