@@ -1,21 +1,51 @@
-"""A corpus pipeline of five stages over ``documents``, each one of the training-data operators."""
+"""A corpus pipeline of five stages over ``documents``, each one of the training-data operators.
+
+Every stage works on all that the one before it kept. All but the last return
+the columns of documents; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.llm import quality
+from lernspur.llm import langid, mixing, neardup, packing, quality
 from lernspur.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the adaptive quality rules."""
+    """Documents that pass the base rule and the adaptive fences of their language and source."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model knows with a score of at least 1/2."""
+    return langid.keep_known(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixing.take_mix(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in windows of 1024."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language id", language_id),
+    ("near dedup", near_dedup),
+    ("mix sources", mix_sources),
+    ("pack windows", pack_windows),
+]
 
-#: Near-duplicate classes, the language model and the tokenizer are beyond SQL.
+#: The language model, near-duplicate classes and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 

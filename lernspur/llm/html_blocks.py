@@ -43,7 +43,7 @@ class BlockConfig:
     path_size: int = 96
     word_size: int = 32
     hidden: int = 24
-    train_pages: int = 1200
+    train_pages: int = 1600
     epochs: int = 8
     rate: float = 0.01
     seed: int = 7
@@ -263,8 +263,17 @@ def generated_page(rng: random.Random) -> str:
     letters = "abcdefghijklmnoprstuvwzéüñ"
     vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(120)]
 
+    # article and clutter alike may be plain, shouted, repetitive or full of symbols
+    manner = rng.choice(["plain"] * 7 + ["shout", "repeat", "symbols"])
+
     def sentence(low: int, high: int) -> str:
-        words = [rng.choice(vocabulary) + rng.choice(["", "", "", "", ",", "###"] if rng.random() < 0.05 else ["", "", "", "", "", ","]) for _ in range(rng.randint(low, high))]
+        words = [rng.choice(vocabulary) + rng.choice(["", "", "", "", "", ","]) for _ in range(rng.randint(low, high))]
+        if manner == "shout":
+            words = [w.upper() + "!!" for w in words]
+        elif manner == "repeat":
+            words = [w for w in words for _ in range(rng.randint(5, 13))]
+        elif manner == "symbols":
+            words = [w + rng.choice(["###", "***", "&amp;&amp;&amp;", "%%%", "$$$"]) for w in words]
         return " ".join(words).capitalize() + rng.choice([".", ".", ".", "!", "?"])
 
     def prose(mark: str, most: int) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lernspur.llm import fingerprint, langid, mixing, neardup, packing, quality, token_files
+from lernspur.llm import fingerprint, html_blocks, langid, licenses, mixing, neardup, packing, quality, token_files, warc
 from lernspur.llm.common import table
 
 
@@ -31,11 +31,19 @@ def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return mixed.select("row.doc_id", "row.source", "size", "source_size", "target", "taken")
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -49,17 +57,24 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.match_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return found.select("row.doc_id", "class_id", "class_docs", "class_texts")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_source_mix": op2_source_mix,
     "op3_adaptive_quality": op3_adaptive_quality,
     "op4_minhash_fingerprints": op4_minhash_fingerprints,
+    "op5_html_main_text": op5_html_main_text,
     "op6_huffman_token_files": op6_huffman_token_files,
     "op7_nnls_packing": op7_nnls_packing,
     "op8_language_id": op8_language_id,
+    "op9_license_digests": op9_license_digests,
     "op10_dart_minhash": op10_dart_minhash,
 }
