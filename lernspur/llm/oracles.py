@@ -2,4 +2,118 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from lernspur.llm.licenses import KNOWN, SPELLINGS
+from lernspur.llm.mixing import MixConfig
+from lernspur.llm.quality import METRICS, QualityConfig
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def mix_sql(config: MixConfig = MixConfig()) -> str:
+    n = len(config.weights)
+    weight = "CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {} {} END".format(n, " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(config.weights)))
+    return rf"""
+    WITH sized AS (
+        SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
+               len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols
+        FROM documents),
+    keyed AS (
+        SELECT doc_id, source, size,
+               -ln((CAST('0x' || substr(md5('{config.seed}-' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+               / CASE WHEN size > 0 THEN size::DOUBLE / (size + 4 * n_symbols)::DOUBLE ELSE 1.0 END AS key
+        FROM sized),
+    per AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
+    weighed AS (SELECT source, source_size, {weight} AS weight, {config.max_epochs} * source_size AS full_size FROM per),
+    levels AS (
+        SELECT *, row_number() OVER o AS place,
+               ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(full_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+               / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+        FROM weighed WINDOW o AS (ORDER BY full_size::DOUBLE / weight, source NULLS LAST)),
+    fair AS (SELECT arg_min(level, place) AS fair FROM levels WHERE full_size > level * weight),
+    targets AS (SELECT source, source_size, coalesce(least(full_size::DOUBLE, fair * weight), full_size::DOUBLE) AS target FROM levels, fair),
+    placed AS (
+        SELECT k.doc_id, k.source, k.size, t.source_size, t.target,
+               CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
+               (sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id NULLS FIRST, k.size ROWS UNBOUNDED PRECEDING) - k.size)::BIGINT AS before
+        FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, source, size, source_size, target,
+           (epochs * size + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
+    FROM placed"""
+
+
+def quality_sql(config: QualityConfig = QualityConfig()) -> str:
+    cell = "(greatest(length(bin({0})) - 5, 0) * 64 + ({0} >> greatest(length(bin({0})) - 5, 0)))"
+    floor_of = "((({0}) % 64) << (({0}) // 64))"
+    metric = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {cell.format(m)} AS cell FROM passed" for m in METRICS)
+
+    def quartiles(keys: str, by: str) -> str:
+        return f"""SELECT {keys} metric, max(docs) AS docs, {floor_of.format('min(cell) FILTER (WHERE run * 4 >= docs)')} AS q1, {floor_of.format('min(cell) FILTER (WHERE run * 4 >= docs * 3)')} AS q3
+        FROM (SELECT {keys} metric, cell, sum(n) OVER (PARTITION BY {keys} metric ORDER BY cell ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY {keys} metric) AS docs
+              FROM (SELECT {keys} metric, cell, sum(n) AS n FROM cells GROUP BY {by} metric, cell)) GROUP BY {by} metric"""
+
+    fences = ", ".join(f"max(greatest({least}, q3 + {config.reach} * (q3 - q1))) FILTER (WHERE metric = '{m}') AS max_{m}" for m, least in zip(METRICS, config.least, strict=True))
+    over = " OR ".join(f"coalesce(s.{m} > f.max_{m}, false)" for m in METRICS)
+    return rf"""
+    WITH split AS (
+        SELECT row_number() OVER () AS r, doc_id, lang, source, {_WORDS} AS w,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+               len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols
+        FROM documents),
+    windows AS (
+        SELECT r, p, count(*) OVER (PARTITION BY r, a, b, c) AS times
+        FROM (SELECT r, p, w[p] AS a, w[p + 1] AS b, w[p + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM split))),
+    repeated AS (
+        SELECT r, sum(covered) AS n FROM (
+            SELECT r, least(3, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 3)) AS covered FROM windows WHERE times > 1) GROUP BY r),
+    counted AS (
+        SELECT split.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+               n_symbols::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+        FROM split LEFT JOIN repeated ON split.r = repeated.r),
+    scored AS (
+        SELECT *, n_words < {config.min_words} OR n_repeat_words * 100 > n_words * {config.max_repeat_percent} AS base_failed,
+               CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_len,
+               CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbols,
+               CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_lines,
+               CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_words
+        FROM counted),
+    passed AS (SELECT * FROM scored WHERE NOT base_failed),
+    cells AS (SELECT lang, source, metric, cell, count(*) AS n FROM ({metric}) GROUP BY ALL),
+    g AS ({quartiles('lang, source,', 'lang, source,')}),
+    l AS ({quartiles('lang,', 'lang,')}),
+    e AS ({quartiles('', '')}),
+    used AS (
+        SELECT g.lang, g.source, g.metric,
+               CASE WHEN g.docs >= {config.min_docs} THEN g.q1 WHEN l.docs >= {config.min_docs} THEN l.q1 ELSE e.q1 END AS q1,
+               CASE WHEN g.docs >= {config.min_docs} THEN g.q3 WHEN l.docs >= {config.min_docs} THEN l.q3 ELSE e.q3 END AS q3
+        FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN e ON g.metric = e.metric),
+    f AS (
+        SELECT lang, source, {fences}, max(least(2000, q1 - {config.reach} * (q3 - q1))) FILTER (WHERE metric = 'word_len') AS min_word_len
+        FROM used GROUP BY lang, source)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT ({over} OR coalesce(s.word_len < f.min_word_len, false)) AS kept
+    FROM scored s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source"""
+
+
+def license_sql() -> str:
+    def form(text: str) -> str:
+        out = rf"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        out = f"(' ' || {out} || ' ')"
+        for said, meant in SPELLINGS:
+            out = f"replace({out}, ' {said} ', ' {meant} ')"
+        return f"trim({out})"
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    return f"""
+    WITH known AS (
+        SELECT sha256(form) AS h, min(license_id) AS license_id
+        FROM (SELECT license_id, {form('body')} AS form FROM (VALUES {rows}) AS v(license_id, body)) GROUP BY 1)
+    SELECT doc_id, canonical_sha256, license_id
+    FROM (SELECT doc_id, sha256({form('text')}) AS canonical_sha256 FROM documents) d LEFT JOIN known ON d.canonical_sha256 = known.h"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_source_mix": mix_sql(),
+    "op3_adaptive_quality": quality_sql(),
+    "op9_license_digests": license_sql(),
+}
