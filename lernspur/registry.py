@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import learner
+from lernspur.plans import corpus, learner
 
-PLANS = (learner,)
+PLANS = (learner, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
