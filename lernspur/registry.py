@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import corpus, learner
+from lernspur.plans import corpus, evaluation, learner
 
-PLANS = (learner, corpus)
+PLANS = (learner, corpus, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
