@@ -24,7 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lernspur.llm.tokens import text_groups
+
 UNKNOWN = "und"
+#: Bytes of text that are worked on together.
+AT_A_TIME = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -67,15 +71,6 @@ def gram_buckets(points: np.ndarray, bounds: np.ndarray, config: LangConfig) ->
         yield bucket, np.arange(n, len(points) + n) <= ends
 
 
-def _parts(points: np.ndarray, bounds: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters, so that a batch of very long texts needs little memory."""
-    at = 0
-    while at < len(bounds) - 1:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def train(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
     """Learns from all rows of ``labelled`` (text, lang)."""
 
@@ -86,12 +81,10 @@ def train(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
                 texts = batch.filter(pc.equal(langs, lang)).column("text")
-                points, bounds = code_points(texts)
                 total = sums.setdefault(lang, np.zeros(1 << config.bucket_bits, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + len(texts)
-                for a, b in _parts(points, bounds):
-                    part = points[bounds[a] : bounds[b]]
-                    for bucket, inside in gram_buckets(part, bounds[a : b + 1] - bounds[a], config):
+                for a, b in text_groups(texts, AT_A_TIME):
+                    for bucket, inside in gram_buckets(*code_points(texts.slice(a, b - a)), config):
                         total += np.bincount(bucket[inside], minlength=len(total))
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -119,12 +112,10 @@ def log_likelihoods(points: np.ndarray, bounds: np.ndarray, model: LangModel, co
     """(texts, languages) sums of log-probabilities."""
     out = np.tile(model.prior, (len(bounds) - 1, 1))
     columns = [np.ascontiguousarray(model.weights[:, j]) for j in range(len(model.languages))]
-    for a, b in _parts(points, bounds):
-        part, own = points[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
-        for bucket, inside in gram_buckets(part, own, config):
-            for j, column in enumerate(columns):
-                run = np.concatenate([[0.0], np.cumsum(np.where(inside, column[bucket], np.float32(0)), dtype=np.float64)])
-                out[a:b, j] += run[own[1:]] - run[own[:-1]]
+    for bucket, inside in gram_buckets(points, bounds, config):
+        for j, column in enumerate(columns):
+            run = np.concatenate([[0.0], np.cumsum(np.where(inside, column[bucket], np.float32(0)), dtype=np.float64)])
+            out[:, j] += run[bounds[1:]] - run[bounds[:-1]]
     return out
 
 
@@ -138,7 +129,7 @@ def predict(docs: DataFrame, model: LangModel, config: LangConfig = LangConfig()
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LangModel(*shared.value)
         names = np.array([*known.languages, UNKNOWN])
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_groups(whole.column("__letters"), AT_A_TIME)):
             points, bounds = code_points(batch.column("__letters"))
             likely = log_likelihoods(points, bounds, known, config)
             empty = np.diff(bounds) == 0
