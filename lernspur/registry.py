@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import corpus, evaluation, learner
+from lernspur.plans import boxes, corpus, evaluation, learner, trajectory
 
-PLANS = (learner, corpus, evaluation)
+PLANS = (learner, corpus, evaluation, boxes, trajectory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
