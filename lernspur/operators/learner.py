@@ -14,7 +14,11 @@ from pyspark.sql import Window as W
 from lernspur.functions import scheduler as S
 
 KEY = ["user_id", "vocab_id"]
-IN_ORDER = W.partitionBy(*KEY).orderBy("submitted_at", "event_id")
+
+
+def in_order():
+    """Attempts of a (user, item) in time order."""
+    return W.partitionBy(*KEY).orderBy("submitted_at", "event_id")
 
 
 def mastery_fold(attempts: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def dashboard_order(catalog: DataFrame) -> DataFrame:
 
 def hint_efficacy(attempts: DataFrame) -> DataFrame:
     """Share of passes on the next attempt after a failed one, for each (vocab, predicted)."""
-    after = attempts.withColumn("next_passed", F.lead("passed").over(IN_ORDER)).where(~F.col("passed") & F.col("next_passed").isNotNull())
+    after = attempts.withColumn("next_passed", F.lead("passed").over(in_order())).where(~F.col("passed") & F.col("next_passed").isNotNull())
     return after.groupBy("vocab_id", "predicted").agg(F.count("*").alias("n"), F.avg(F.col("next_passed").cast("int")).alias("efficacy"))
 
 
@@ -95,7 +99,7 @@ def next_in_rank(items: DataFrame) -> DataFrame:
 
 def consecutive_fails(attempts: DataFrame, offer_at: int = 3) -> DataFrame:
     """Fails since the last pass on the item, and whether skipping is offered."""
-    island = F.sum(F.col("passed").cast("int")).over(IN_ORDER.rowsBetween(W.unboundedPreceding, 0))
+    island = F.sum(F.col("passed").cast("int")).over(in_order().rowsBetween(W.unboundedPreceding, 0))
     marked = attempts.withColumn("__i", island)
     inside = W.partitionBy(*KEY, "__i").orderBy("submitted_at", "event_id").rowsBetween(W.unboundedPreceding, 0)
     counted = marked.withColumn("fails", F.sum((~F.col("passed")).cast("int")).over(inside))
@@ -104,7 +108,7 @@ def consecutive_fails(attempts: DataFrame, offer_at: int = 3) -> DataFrame:
 
 def forgetting_rate(attempts: DataFrame, days: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
     """Pass rate by days since the previous attempt on the item."""
-    gap = F.datediff("submitted_at", F.lag("submitted_at").over(IN_ORDER))
+    gap = F.datediff("submitted_at", F.lag("submitted_at").over(in_order()))
     bucket = F.lit(len(days))
     for i, d in reversed(list(enumerate(days))):
         bucket = F.when(F.col("gap") < d, i).otherwise(bucket)

@@ -8,7 +8,11 @@ from lernspur.functions import scheduler as S
 from lernspur.operators import learner as L
 from lernspur.plans.views import ATTEMPTS, CATALOG, ITEMS, STATES, attempts, items, table
 
-NOW, NOW_SQL = F.lit("2024-02-01 00:00:00").cast("timestamp"), "TIMESTAMP '2024-02-01 00:00:00'"
+NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+
+
+def now():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def _catalog(spark, d):
@@ -18,12 +22,12 @@ def _catalog(spark, d):
 
 def next_item(spark, d):
     a = attempts(spark, d)
-    return L.pick_next(_catalog(spark, d), L.latest_pass_rate(a), NOW).select("user_id", "vocab_id", "status", "pass_rate", "reason")
+    return L.pick_next(_catalog(spark, d), L.latest_pass_rate(a), now()).select("user_id", "vocab_id", "status", "pass_rate", "reason")
 
 
 def inactive(spark, d):
     users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("2023-12-20 00:00:00").cast("timestamp").alias("created_at"))
-    return L.inactive_accounts(users, attempts(spark, d), F.lit("2024-02-01 00:00:00").cast("timestamp")).select("user_id", "seen_at")
+    return L.inactive_accounts(users, attempts(spark, d), now()).select("user_id", "seen_at")
 
 
 def update_guard(spark, d):
