@@ -77,7 +77,7 @@ def read_landmark_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_block_text_boxes(spark: SparkSession, path: str) -> DataFrame:
     """Boxes of block text: an image line, a count, and a line x y w h ... invalid per box; empty and invalid boxes go."""
     blocks = F.explode(F.regexp_extract_all("value", F.lit(r"([^\n]+\.jpg)\n(\d+)\n((?:[\d .-]+(?:\n|$))*)"), F.lit(0)))
-    lines = spark.read.option("wholetext", True).text(path).select(blocks.alias("b")).select(F.split("b", "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(blocks.alias("b")).select(F.split("b", "\n").alias("l"))
     boxes = lines.select(F.element_at("l", 1).alias("image"), F.posexplode(F.slice("l", 3, F.element_at("l", 2).cast("int"))).alias("box", "line"))
     b = boxes.select("image", "box", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.try_cast("double")).alias("v"))
     named = b.select("image", "box", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(("x", "y", "w", "h"))], F.coalesce(F.get("v", F.lit(7)), F.lit(0.0)).alias("invalid"))
