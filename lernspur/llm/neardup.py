@@ -19,11 +19,13 @@ connected components of the links.
 A band that very many texts share is not expanded into pairs. Its members are
 compared with one leader each, which is linear; once components are known, a
 band needs more work only where it still holds members of several components.
-There every member outside the band's largest component is compared with the
-members it may still be linked to: by the triangle inequality of the Jaccard
-distance those whose distance to the leader differs by no more than the
-allowed distance. So no link between components is lost, and links inside a
-component cannot change the classes.
+There every member outside the band's largest component is compared with all
+members it may still be linked to. Two exact bounds rule the others out: by the
+triangle inequality of the Jaccard distance, distances to the leader may differ
+by no more than the allowed distance; and a pair's common shingles are either
+the leader's too or others that some second text has, so their number is bounded
+by what each of the two has of either kind. No link between components is lost,
+and links inside a component cannot change the classes.
 
 Defined results: a null text equals an empty one; texts without words form one
 class; texts of one to four words have one shingle, the whole text; class_id
@@ -41,7 +43,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lernspur.llm.common import WORD, materialize, words
 
@@ -201,8 +202,19 @@ def _sets(column: pa.ListArray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return elements[new], owner[new]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Adds the exact Jaccard distance of the shingle sets of each pair (a, b); ``texts`` has node and text, repeats allowed."""
+def big(df: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: joined by sorting, never broadcast."""
+    return df.hint("merge")
+
+
+def word_hashes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and the hashes of its words, in order, for each of ``nodes``; ``texts`` may repeat nodes."""
+    wanted = texts.join(big(nodes.distinct()), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return materialize(wanted.select("node", F.transform(words(F.col("text")), lambda x: F.hash(x)).alias("w")), "words")
+
+
+def verify(pairs: DataFrame, hashed: DataFrame, config: NearDupConfig) -> DataFrame:
+    """Adds the exact Jaccard distance of the shingle sets of each pair (a, b)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -216,12 +228,25 @@ def verify(pairs: DataFrame, texts: DataFrame, config: NearDupConfig) -> DataFra
                 union = np.bincount(o, minlength=batch.num_rows) - shared
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - shared / np.maximum(union, 1))], names=["a", "b", "distance"])
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    hashed = texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).select("node", F.transform(words(F.col("text")), lambda x: F.hash(x)).alias("w"))
-    hashed = materialize(hashed, "words")
     left = hashed.select(F.col("node").alias("a"), F.col("w").alias("wa"))
     right = hashed.select(F.col("node").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(measure, "a binary, b binary, distance double")
+    return pairs.join(big(left), "a").join(big(right), "b").select("a", "b", "wa", "wb").mapInArrow(measure, "a binary, b binary, distance double")
+
+
+def shared_shingles(hashed: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
+    """node, n (its distinct shingles) and shared (those that another of ``nodes`` has too)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                elements, owner = _sets(batch.column("w"), config.shingle)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(owner)), pa.array(elements.view(np.int64))], names=["node", "shingle"])
+
+    each = hashed.join(nodes, "node", "left_semi").mapInArrow(spread, "node binary, shingle bigint")
+    owned = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("owners")).where("owners = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    totals = each.groupBy("node").agg(F.count("*").alias("n"))
+    return totals.join(owned, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -248,32 +273,53 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
     """(node, root) of the texts that are linked to other texts; ``docs`` has node and text, repeats allowed."""
+    place = ["band", "key"]
     signed = materialize(signed_texts(docs, config).dropDuplicates(["node"]), "signed")
-    banded = signed.select("node", F.posexplode("bands").alias("band", "key"))
-    leaders = banded.groupBy("band", "key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    seats = materialize(banded.join(leaders, ["band", "key"]).select("band", "key", "leader", "node"), "seats")
+    banded = signed.select("node", F.posexplode("bands").alias(*place))
+    counts = banded.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
+    seats = materialize(banded.join(big(counts), place), "seats")
+    # the member that meets the most others leads: the text that copies were made from, where it is there
+    known = seats.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = seats.join(big(known), "node").groupBy(*place).agg(F.max(F.struct("met", "node"))["node"].alias("leader"))
+    seats = materialize(seats.select(*place, "node").join(big(leaders), place), "seats")
+    hashed = word_hashes(docs, seats.select("node"))
     stars = materialize(seats.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    stars = materialize(verify(stars, docs, config), "stars")
+    stars = materialize(verify(stars, hashed, config), "stars")
     allowed = 1.0 - config.threshold + 1e-12
     edges = stars.where(F.col("distance") <= allowed).select("a", "b")
     roots = components(edges)
+
     # bands that still hold several components
-    rooted = seats.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    by = W.partitionBy("band", "key")
-    mixed = parts.withColumn("main", F.max(F.struct("n", "root")).over(by)["root"]).withColumn("several", F.count("*").over(by) > 1).where("several").groupBy("band", "key").agg(F.first("main").alias("main"))
+    rooted = seats.join(big(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = rooted.groupBy(*place, "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy(*place).agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     afar = stars.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance")
-    open_seats = rooted.join(mixed, ["band", "key"]).join(afar, ["leader", "node"], "left")
-    open_seats = materialize(open_seats.select("band", "key", "main", "leader", "node", "root", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("distance")).alias("d")), "open")
-    outer = open_seats.where("root <> main").select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("d").alias("da"))
-    inner = open_seats.where("node <> leader").select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("d").alias("db"), "main")
-    close = F.coalesce(F.abs(F.col("da") - F.col("db")) <= allowed, F.lit(True))
-    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = outer.where("da > 0 OR da IS NULL").join(inner, ["band", "key"]).where((F.col("ra") != F.col("rb")) & close & once)
+    open_seats = rooted.join(mixed, place).join(afar, ["leader", "node"], "left")
+    open_seats = open_seats.select(*place, "main", "leader", "node", "root", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("distance")).alias("d"))
+    open_seats = materialize(open_seats, "open")
+    # a pair shares at most the lesser number of shingles that each has in common with the leader, and at most the lesser
+    # number that each shares with some text but not with the leader; with t the threshold it must share t / (1 + t) of both
+    sizes = materialize(shared_shingles(hashed, open_seats.select("node").distinct(), config), "sizes")
+    able = open_seats.join(sizes.where(F.col("shared") >= F.col("n") * (config.threshold - 1e-9)), "node")
+    able = able.join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("n_leader")), "leader")
+    able = able.withColumn("common", F.round((1 - F.col("d")) * (F.col("n") + F.col("n_leader")) / (2 - F.col("d"))).cast("long"))
+    able = able.withColumn("other", F.col("shared") - F.col("common")).withColumn("seat", F.xxhash64(*place))
+    # a pair that meets in several bands is made in the first of them alone
+    own = able.groupBy("node").agg(F.collect_set("seat").alias("own"))
+    able = materialize(able.join(own, "node"), "able")
+    fields = ["node", "root", "d", "n", "common", "other", "own"]
+    outer = able.where("root <> main AND d > 0").select(*place, "seat", *[F.col(c).alias(f"{c}_a") for c in fields])
+    inner = able.where("d > 0").select(*place, "main", *[F.col(c).alias(f"{c}_b") for c in fields])
+    close = F.abs(F.col("d_a") - F.col("d_b")) <= allowed
+    enough = (F.least("common_a", "common_b") + F.least("other_a", "other_b")) * (1 + config.threshold) >= (F.col("n_a") + F.col("n_b")) * (config.threshold - 1e-9)
+    once = (F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    first = F.array_min(F.array_intersect("own_a", "own_b")) == F.col("seat")
+    pairs = outer.join(inner, place).where((F.col("root_a") != F.col("root_b")) & close & enough & once & first)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     if pairs.isEmpty():
         return roots
-    late = materialize(verify(pairs, docs, config), "late").where(F.col("distance") <= allowed).select("a", "b")
+    late = materialize(verify(pairs, hashed, config), "late").where(F.col("distance") <= allowed).select("a", "b")
     if late.isEmpty():
         return roots
     return components(edges.union(late))
@@ -288,10 +334,10 @@ def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig(), wi
     row = F.struct("*") if with_text else F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     held = docs.select(row.alias("row"), F.col("doc_id").alias("id"), node.alias("node"))
     counted = held.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    texts = counted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = counted.join(big(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_docs"), F.count("*").alias("class_texts"))
-    named = texts.join(classes, "root").select("node", "root", "class_id", "class_docs", "class_texts")
-    return held.join(named, "node").select("row", "node", "root", "class_id", "class_docs", "class_texts")
+    named = texts.join(big(classes), "root").select("node", "root", "class_id", "class_docs", "class_texts")
+    return held.join(big(named), "node").select("row", "node", "root", "class_id", "class_docs", "class_texts")
 
 
 def keep_one(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
