@@ -1,10 +1,12 @@
 """Token ids of whole texts with a public tokenizer, and their checksums.
 
 A byte-level BPE never merges across the pieces its own pattern splits a text
-into, and that pattern always begins a new piece where white space follows
-something else. So a text may be cut before each run of white space and each
-chunk encoded alone, with the ids of the whole text as the result. Chunks recur,
-so every worker remembers the ids of the chunks it has met, up to a bound.
+into, and some of these borders are plain to see: a word keeps the one space
+before it, and any further white space stands alone. So a text may be cut into
+words and white space and each chunk encoded alone, with the ids of the whole
+text as the result. Chunks recur, so every worker remembers the first it meets,
+up to a bound; later ones are encoded whenever they come. Unknown words are
+encoded many at a time, with line ends between them, whose id tells them apart.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ import pyarrow.compute as pc
 
 #: White space as the tokenizer's pattern knows it (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks a worker remembers, and the longest chunk worth remembering.
-MOST_CHUNKS, LONGEST_CHUNK = 1_000_000, 64
+CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]+")
+#: Chunks a worker remembers, the longest chunk worth remembering, and unknown words encoded at a time.
+MOST_CHUNKS, LONGEST_CHUNK, AT_A_TIME = 250_000, 64, 500
 
 
 def default_tokenizer() -> str:
@@ -37,26 +39,41 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.line_end = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+        apart = [c for c in chunks if c.isspace()] if len(self.line_end) == 1 else chunks
+        out = {c: np.array(self._ids(c), dtype="<u4").tobytes() for c in apart}
+        together = [c for c in chunks if c not in out]
+        groups = [together[i : i + AT_A_TIME] for i in range(0, len(together), AT_A_TIME)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_end[0]) * 4
+            data = ids.tobytes()
+            out.update(zip(group, [data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True)], strict=True))
+        return out
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended; null texts are empty."""
-        if len(self.known) > MOST_CHUNKS:
-            self.known.clear()
+        known, stop = self.known, np.array([end], dtype="<u4").tobytes()
         split = [CHUNK.findall(t) if t else [] for t in texts]
-        known = self.known
-        new = list({c for chunks in split for c in chunks if c not in known})
-        rare: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            got = self._learn(new[at : at + 20_000])
-            known.update((c, b) for c, b in got.items() if len(c) <= LONGEST_CHUNK)
-            rare.update((c, b) for c, b in got.items() if len(c) > LONGEST_CHUNK)
-        stop = np.array([end], dtype="<u4").tobytes()
-        get = known.__getitem__ if not rare else lambda c: known.get(c) or rare[c]
-        return [np.frombuffer(b"".join(map(get, chunks)) + stop, dtype="<u4") for chunks in split]
+        found = [list(map(known.get, chunks)) for chunks in split]
+        gaps = []
+        for i, ids in enumerate(found):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                gaps.append((i, at, split[i][at]))
+        if gaps:
+            new = self._learn(list({c for _, _, c in gaps}))
+            for i, at, c in gaps:
+                found[i][at] = new[c]
+            if len(known) < MOST_CHUNKS:
+                known.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST_CHUNK)
+        return [np.frombuffer(b"".join(ids) + stop, dtype="<u4") for ids in found]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
