@@ -197,3 +197,39 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: str =
     spans = runs.withColumn("__to", F.sum("__w").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     at = F.col("__u") * F.col("__total") - F.col("__shift")
     return sliced.join(spans, "__s").where((at >= F.col("__to") - F.col("__w")) & (at < F.col("__to"))).select("draw", key)
+
+
+def category_order(items: DataFrame, category: str, rank: str, last: str | None = None) -> DataFrame:
+    """Categories by mean rank, those without ranks after them, and ``last`` after all."""
+    per = items.groupBy(category).agg(F.avg(rank).alias("mean_rank"), F.count("*").alias("n"))
+    order = W.partitionBy(F.lit(0)).orderBy((F.col(category) == F.lit(last)).cast("int"), F.col("mean_rank").asc_nulls_last(), category)
+    return per.withColumn("position", F.row_number().over(order))
+
+
+def top_groups(df: DataFrame, key: str, n: int, order: str) -> DataFrame:
+    """Rows of the n largest groups; of equal ones the first seen by ``order``."""
+    best = df.groupBy(key).agg(F.count("*").alias("__n"), F.min(order).alias("__o")).orderBy(F.desc("__n"), "__o").limit(n)
+    return df.join(best.select(key), key, "left_semi")
+
+
+def split_groups(df: DataFrame, group: str, fraction: float, seed: str = "42") -> DataFrame:
+    """Whole groups to one side: max(1, int(groups * fraction)) of them to val."""
+    ranked = hash_rank(df.select(group).distinct(), [], group, seed)
+    side = F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("group_size") * fraction)), "val").otherwise("train")
+    return df.join(ranked.select(group, side.alias("split")), group)
+
+
+def activate(items: DataFrame, key: str, keep: DataFrame) -> DataFrame:
+    """Items with is_active true for the keys of ``keep`` alone."""
+    flags = keep.select(key).distinct().withColumn("__on", F.lit(True))
+    return items.join(flags, key, "left").withColumn("is_active", F.coalesce("__on", F.lit(False))).drop("__on")
+
+
+def own_rows(df: DataFrame, column: str, user: Column) -> DataFrame:
+    """Rows of one account."""
+    return df.where(F.col(column) == user)
+
+
+def best_by(df: DataFrame, group: str, key: str, measure: str) -> DataFrame:
+    """The key of least measure in each group, the lower key on ties."""
+    return df.groupBy(group).agg(F.min_by(key, F.struct(measure, key)).alias(key), F.min(measure).alias(measure))

@@ -206,3 +206,20 @@ def eval_gate(facts: DataFrame) -> DataFrame:
     each = F.array(*[F.struct(F.lit(n).alias("rule"), a.cast("double").alias("actual"), F.when(a.isNull(), "SKIP").when(ok, "PASS").otherwise("FAIL").alias("verdict")) for n, a, ok in rules])
     overall = F.when(F.exists("rules", lambda r: r["verdict"] == "FAIL"), "FAIL").otherwise("PASS")
     return facts.select(each.alias("rules")).select(F.explode(F.concat("rules", F.array(F.struct(F.lit("overall").alias("rule"), F.lit(None).cast("double").alias("actual"), overall.alias("verdict"))))).alias("r")).select("r.*")
+
+
+def pass_threshold(preds: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
+    """Passed if the top class is the target and its probability reaches the class's threshold, or the default where there is none."""
+    t = thresholds.select(F.col("class").alias("label"), "threshold")
+    joined = preds.join(t, "label", "left")
+    return joined.withColumn("passed", (F.col("pred") == F.col("label")) & (F.col("top_prob") >= F.coalesce("threshold", F.lit(default)))).drop("threshold")
+
+
+def latency_p95(df: DataFrame, latency: str) -> DataFrame:
+    return df.agg(F.percentile(latency, F.lit(0.95)).alias("p95_ms"))
+
+
+def soft_gate(before: DataFrame, after: DataFrame, most_drop: float = 0.05) -> DataFrame:
+    """Classes whose recall fell by more than ``most_drop`` between two per-class tables."""
+    both = before.select("class", F.col("recall").alias("before")).join(after.select("class", F.col("recall").alias("after")), "class")
+    return both.where(F.col("before") - F.col("after") > most_drop)

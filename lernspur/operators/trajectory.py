@@ -215,3 +215,22 @@ def streaks(df: DataFrame, group: str, order: list[str], hit: Column, required:
     run = F.sum(F.col("__hit").cast("int")).over(W.partitionBy(group, "__i").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     counted = marked.withColumn("streak", run)
     return counted.withColumn("unlocked", F.max("streak").over(w.rowsBetween(W.unboundedPreceding, 0)) >= required).drop("__hit", "__i")
+
+
+def drop_empty_steps(df: DataFrame, group: str, active: Column, least: int = 2) -> DataFrame:
+    """The active rows of each group, or all its rows where fewer than ``least`` are active."""
+    n = F.sum(active.cast("int")).over(W.partitionBy(group))
+    return df.withColumn("__n", n).where(active | (F.col("__n") < least)).drop("__n")
+
+
+def trim_fraction(traj: Column, start: float, stop: float, least: int = 3) -> Column:
+    """The steps from share ``start`` to share ``stop``, rounded half to even, if ``least`` or more remain."""
+    a, b = F.bround(F.size(traj) * start).cast("int"), F.bround(F.size(traj) * stop).cast("int")
+    return F.when(b - a >= least, F.slice(traj, a + 1, F.greatest(b - a, F.lit(0)))).otherwise(traj)
+
+
+def nearest_clip_scores(df: DataFrame, references: DataFrame, variance: float = 0.05) -> DataFrame:
+    """Least mean squared distance over a fixed variance of every clip to the reference clips of each sign. References are few and broadcast."""
+    refs = references.select(F.col("sign").alias("ref_sign"), F.col("clip").alias("ref"), F.col("traj").alias("ref_traj"))
+    pairs = df.join(F.broadcast(refs), F.col("clip") != F.col("ref"))
+    return pairs.groupBy("clip", "sign", "ref_sign").agg(F.min(clip_distance(F.col("traj"), F.col("ref_traj")) / variance).alias("score"))

@@ -130,4 +130,11 @@ QUERIES = {
         SELECT page_id, base, lower(regexp_extract(base, '\.([^.]+)$', 1)) AS ext, CASE WHEN starts_with(url, 'https://') THEN 's://' || substr(url, 9) ELSE url END AS swapped, replace(lower(url), '-', '_') AS slug, regexp_replace(lower(url), '[^a-z]', '', 'g') AS norm, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS direct, nullif(lower(regexp_extract(base, '\.([^.]+)$', 1)), '') AS ext_or_null FROM b"""),
     "embed_ids": (embeds, r"SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'abcdefghij0' ELSE 'abcdefghij' || page_id % 10 || ',abcdefghij0' END AS ids FROM pages"),
     "weighted_sample_misses": (drawn, "SELECT CAST(0 AS BIGINT) AS draw, CAST(0 AS BIGINT) AS rows WHERE false"),
+    "category_order": (lambda s, d: C.category_order(table(s, d, "part").select("p_type", "p_size"), "p_type", "p_size", "ECONOMY"), "WITH p AS (SELECT p_type, avg(p_size) AS mean_rank, count(*) AS n FROM part GROUP BY 1) SELECT *, row_number() OVER (ORDER BY CAST(p_type = 'ECONOMY' AS INTEGER), mean_rank NULLS LAST, p_type) AS position FROM p"),
+    "top_groups": (lambda s, d: C.top_groups(_pairs(s, d), "pair", 10, "clip_id").select("clip_id", "pair"), f"WITH {PAIRS} SELECT clip_id, pair FROM pairs WHERE pair IN (SELECT pair FROM pairs GROUP BY 1 ORDER BY count(*) DESC, min(clip_id) LIMIT 10)"),
+    "split_groups": (lambda s, d: C.split_groups(clips(s, d).select("clip_id", "signer"), "signer", 0.3), f"WITH {CLIPS}, v AS (SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, floor(count(*) OVER () * 0.3::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)) SELECT clip_id, signer, split FROM clips JOIN v USING (signer)"),
+    "activate_vocab": (lambda s, d: C.activate(table(s, d, "part").select("p_partkey", "p_brand"), "p_brand", table(s, d, "part").where("p_size > 48").select("p_brand")), "SELECT p_partkey, p_brand, p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) AS is_active FROM part"),
+    "own_rows": (lambda s, d: C.own_rows(table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", F.lit(7)), "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7"),
+    "cleanest_clip": (lambda s, d: C.best_by(clips(s, d), "signer", "clip_id", "n_chars"), f"WITH {CLIPS} SELECT signer, first(clip_id ORDER BY n_chars, clip_id) AS clip_id, min(n_chars) AS n_chars FROM clips GROUP BY 1"),
+    "attach_signer": (lambda s, d: C.attach_signer(table(s, d, "labels").select(F.col("doc_id").alias("clip_id"), "quality"), clips(s, d).select("clip_id", F.when(F.col("clip_id") % 4 != 0, F.col("signer")).alias("signer"), F.col("sign").alias("source")), "clip_id", "signer", "source").select("clip_id", "quality", "signer_key"), "SELECT doc_id AS clip_id, quality, CASE WHEN doc_id % 4 <> 0 THEN lang || ':' || source ELSE lang || ':clip:' || doc_id END AS signer_key FROM labels JOIN documents USING (doc_id)"),
 }

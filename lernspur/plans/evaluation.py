@@ -84,4 +84,7 @@ QUERIES = {
     "eval_gate": (gate, f"""WITH {PER}, {ECE}, {PT}, {GAP}, f AS (SELECT (SELECT avg(CAST(label = pred AS INTEGER)) FROM preds) AS top1, (SELECT min(recall) FROM percl WHERE n > 0) AS worst, (SELECT gap FROM gap) AS gap, (SELECT max(threshold) FROM pt) AS thr, (SELECT ece FROM ece) AS ece, (SELECT count(*) FROM conf WHERE label > pred AND n >= 2) AS unc),
         r AS (SELECT 'top1' AS rule, top1 AS actual, top1 >= 0.85::DOUBLE AS ok FROM f UNION ALL SELECT 'per_sign', worst, worst >= 0.6::DOUBLE FROM f UNION ALL SELECT 'demographic_gap', gap, gap <= 0.1::DOUBLE FROM f UNION ALL SELECT 'thresholds', thr, thr < 1 FROM f UNION ALL SELECT 'latency', NULL, NULL UNION ALL SELECT 'regression', top1 + 0.01::DOUBLE - top1, true FROM f UNION ALL SELECT 'calibration', ece, ece <= 0.05::DOUBLE FROM f UNION ALL SELECT 'hint_coverage', unc, unc = 0 FROM f)
         SELECT rule, round(actual, 9) AS actual, CASE WHEN actual IS NULL THEN 'SKIP' WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r UNION ALL SELECT 'overall', NULL, CASE WHEN bool_or(NOT ok) THEN 'FAIL' ELSE 'PASS' END FROM r"""),
+    "pass_threshold": (lambda s, d: E.pass_threshold(_preds(s, d), E.precision_threshold(_logits(s, d)).where("class <> 4")).select("item", "passed"), f"WITH {P}, {PT} SELECT item, pred = label AND top_prob >= coalesce(threshold, 0.5) AS passed FROM preds LEFT JOIN (SELECT * FROM pt WHERE class <> 4) q ON q.class = label"),
+    "latency_p95": (lambda s, d: E.latency_p95(scores(s, d), "distance").withColumn("p95_ms", F.round("p95_ms", 7)), f"WITH {SCORES} SELECT round(quantile_cont(distance, 0.95), 7) AS p95_ms FROM scores"),
+    "soft_gate": (lambda s, d: E.soft_gate(E.per_class(_preds(s, d)), E.per_class(_preds(s, d).where("item % 3 <> 0"))), f"WITH {PER}, b AS (SELECT label AS class, avg(CAST(label = pred AS INTEGER)) AS r FROM preds WHERE item % 3 <> 0 GROUP BY 1) SELECT class, recall AS before, r AS after FROM percl JOIN b USING (class) WHERE recall - r > 0.05::DOUBLE"),
 }

@@ -68,4 +68,7 @@ QUERIES = {
         e AS (SELECT user_id, event_id, n, v AS s, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS m FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, o.n, CASE WHEN o.v IS NULL THEN CASE WHEN e.m + 1 > 8 THEN NULL ELSE e.s END WHEN e.s IS NULL THEN o.v ELSE e.s + (o.v - e.s) * 0.4::DOUBLE END, CASE WHEN o.v IS NULL THEN e.m + 1 ELSE 0 END FROM e JOIN o ON o.user_id = e.user_id AND o.n = e.n + 1) SELECT event_id, round(s, 9) AS smooth FROM e"""),
     "active_window": (lambda s, d: T.active_window(series(s, d), "user_id", ["ts", "event_id"], F.col("v") > 20).select("event_id"), f"WITH {SER}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ser), w AS (SELECT *, min(n) FILTER (WHERE v > 20) OVER (PARTITION BY user_id) AS lo, max(n) FILTER (WHERE v > 20) OVER (PARTITION BY user_id) AS hi FROM n) SELECT event_id FROM w WHERE n BETWEEN lo AND hi"),
     "match_streaks": (lambda s, d: T.streaks(series(s, d), "user_id", ["ts", "event_id"], F.coalesce(F.col("v") <= 10, F.lit(False))).select("event_id", "streak", "unlocked"), f"WITH {SER}, h AS (SELECT *, coalesce(v <= 10, false) AS hit FROM ser), i AS (SELECT *, sum(CAST(NOT hit AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM h), k AS (SELECT *, CAST(sum(CAST(hit AS INTEGER)) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS BIGINT) AS streak FROM i) SELECT event_id, streak, max(streak) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3 AS unlocked FROM k"),
+    "drop_empty_steps": (lambda s, d: T.drop_empty_steps(series(s, d).withColumn("slot", F.col("event_id") % 700), "slot", F.col("v") > 60).select("event_id"), f"WITH {SER}, n AS (SELECT event_id, v, sum(CAST(v > 60 AS INTEGER)) OVER (PARTITION BY event_id % 700) AS n FROM ser) SELECT event_id FROM n WHERE v > 60 OR n < 2"),
+    "trim_fraction": (lambda s, d: _long(trajs(s, d).withColumn("traj", T.trim_fraction(F.col("traj"), 0.2, 0.8))), f"WITH {FLAT} SELECT clip, CAST(t - 2 AS INTEGER) AS t, f, round(v, 9) AS v FROM lng WHERE t >= 2 AND t < 6"),
+    "nearest_clip_scores": (lambda s, d: T.nearest_clip_scores(trajs(s, d), trajs(s, d).where("clip < 40")).withColumn("score", F.round("score", 7)), f"WITH {FLAT}, p AS (SELECT a.clip, a.sign, b.sign AS ref_sign, b.clip AS ref, avg((a.v - b.v) * (a.v - b.v)) / 0.05::DOUBLE AS s FROM lng a JOIN lng b ON a.t = b.t AND a.f = b.f AND a.clip <> b.clip WHERE b.clip < 40 GROUP BY 1, 2, 3, 4) SELECT clip, sign, ref_sign, round(min(s), 7) AS score FROM p GROUP BY 1, 2, 3"),
 }
