@@ -5,13 +5,18 @@ into, and some of these borders are plain to see: a word keeps the one space
 before it, and any further white space stands alone. So a text may be cut into
 words and white space and each chunk encoded alone, with the ids of the whole
 text as the result. Chunks recur, so every worker remembers the first it meets,
-up to a bound; later ones are encoded whenever they come. Unknown words are
-encoded many at a time, with line ends between them, whose id tells them apart.
+up to a bound; later ones are encoded whenever they come. An unknown word of
+Latin letters goes straight to the library's merge model, with the mark that
+may follow it encoded apart; any other unknown chunk is encoded as a text, many
+at a time, with line ends between them, whose id tells them apart. A tokenizer
+of another make encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,17 @@ CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]+
 MOST_CHUNKS, LONGEST_CHUNK, AT_A_TIME = 250_000, 64, 500
 
 
+#: Marks that may follow a word and are pieces of their own there; the last of the letters that every version of Unicode agrees on.
+MARKS, LAST_LETTER = ".,;:!?", "\u024f"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, others follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -40,13 +56,43 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
+        self.letters = _byte_letters()
+        self.marks = {m: self._data(m) for m in MARKS}
+        made = json.loads(self.tokenizer.to_str())
+        before = made.get("pre_tokenizer") or {}
+        #: whether the tokenizer splits texts as described above
+        self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and made["model"]["type"] == "BPE"
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _data(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
+
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of unknown chunks, and of the words in them."""
+        out: dict[str, bytes] = {}
+        others = []
+        known, merge, marks = self.known, self.tokenizer.model.tokenize, self.marks
+        for c in chunks:
+            mark = marks.get(c[-1])
+            word = c if mark is None else c[:-1]
+            spaced = word[:1] == " "
+            letters = word[1:] if spaced else word
+            if not letters.isalpha() or max(letters) > LAST_LETTER:
+                others.append(c)
+                continue
+            ids = known.get(word) or out.get(word)
+            if ids is None:
+                form = ("\u0120" + letters if spaced else letters) if letters.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = out[word] = array("I", [t.id for t in merge(form)]).tobytes()
+            if mark is not None:
+                out[c] = ids + mark
+        return out | self._learn_texts(others)
+
+    def _learn_texts(self, chunks: list[str]) -> dict[str, bytes]:
         apart = [c for c in chunks if c.isspace()] if len(self.line_end) == 1 else chunks
-        out = {c: np.array(self._ids(c), dtype="<u4").tobytes() for c in apart}
+        out = {c: self._data(c) for c in apart}
         together = [c for c in chunks if c not in out]
         groups = [together[i : i + AT_A_TIME] for i in range(0, len(together), AT_A_TIME)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -59,6 +105,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """Ids of each text with ``end`` appended; null texts are empty."""
         known, stop = self.known, np.array([end], dtype="<u4").tobytes()
+        if not self.splits:
+            return [np.array([*e.ids, end], dtype="<u4") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [CHUNK.findall(t) if t else [] for t in texts]
         found = [list(map(known.get, chunks)) for chunks in split]
         gaps = []
