@@ -41,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lernspur.llm.common import WORD, materialize, words
@@ -325,22 +325,37 @@ def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfi
     return components(edges.union(late))
 
 
+def node_of(text: Column) -> Column:
+    """md5 of a text in 16 bytes; one empty node for all texts without words."""
+    t = F.coalesce(text, F.lit(""))
+    return F.unhex(F.when(t.rlike(WORD), F.md5(t.cast("binary"))).otherwise(F.lit("")))
+
+
+def named_nodes(docs: DataFrame, config: NearDupConfig) -> DataFrame:
+    """node, first_id (its least doc_id), root, class_id, class_docs and class_texts of every distinct text."""
+    roots = near_duplicate_classes(docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")), config)
+    ids = docs.select(node_of(F.col("text")).alias("node"), F.col("doc_id").alias("id"))
+    counted = ids.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    texts = materialize(counted.join(big(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "texts")
+    classes = texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_docs"), F.count("*").alias("class_texts"))
+    return texts.join(big(classes), "root").select("node", "first_id", "root", "class_id", "class_docs", "class_texts")
+
+
 def near_duplicates(docs: DataFrame, config: NearDupConfig = NearDupConfig(), with_text: bool = True) -> DataFrame:
     """``row`` (all input columns, or all but the text), node, class_id, class_docs and class_texts of every document."""
-    text = F.coalesce("text", F.lit(""))
-    node = F.unhex(F.when(text.rlike(WORD), F.md5(text.cast("binary"))).otherwise(F.lit("")))
-    noded = docs.select(node.alias("node"), text.alias("text"))
-    roots = near_duplicate_classes(noded, config)
+    named = named_nodes(docs, config).drop("first_id")
     row = F.struct("*") if with_text else F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    held = docs.select(row.alias("row"), F.col("doc_id").alias("id"), node.alias("node"))
-    counted = held.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-    texts = counted.join(big(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = texts.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_docs"), F.count("*").alias("class_texts"))
-    named = texts.join(big(classes), "root").select("node", "root", "class_id", "class_docs", "class_texts")
+    held = docs.select(row.alias("row"), node_of(F.col("text")).alias("node"))
     return held.join(big(named), "node").select("row", "node", "root", "class_id", "class_docs", "class_texts")
 
 
 def keep_one(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """One document of each class, the one of least id, with its own columns."""
-    found = near_duplicates(docs, config).where(F.col("row.doc_id").eqNullSafe(F.col("class_id")))
-    return found.groupBy("root").agg(F.first("row").alias("row")).select("row.*")
+    """One document of each class, the one of least id, with its own columns.
+
+    The kept texts are known by node and id before any text moves. Of repeated rows one stays.
+    """
+    named = named_nodes(docs, config)
+    best = named.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("node", "class_id")).alias("b"))
+    best = best.select("b.node", F.coalesce(F.col("b.class_id").cast("string"), F.lit("")).alias("id"))
+    held = docs.select(F.struct("*").alias("row"), node_of(F.col("text")).alias("node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"))
+    return held.join(big(best), ["node", "id"], "left_semi").groupBy("node", "id").agg(F.first("row").alias("row")).select("row.*")
