@@ -4,8 +4,15 @@ A text and every known licence are brought to one canonical form: lower case,
 without copyright lines, with one spelling for words that are spelled in
 several ways, and with every run of other characters than letters and digits
 as one space. The SHA-256 of that form is joined by equality to the digests of
-the known licences. Only whole texts match: a licence quoted inside a longer
-text does not.
+the known licences (``match_licenses``: only whole texts match).
+
+``scan_licenses`` finds licences inside longer texts as well: one line, one
+paragraph or many. Each known form is a print: its first words, its length and
+its digest. Wherever the first words stand in a text's form, the next
+characters of that length are digested and held against the print. A text with
+copyright lines is looked at with and without them, so that neither a copyright
+line between two parts nor a wrapped line that starts with "copyright" hides
+one.
 
 Defined results: null, empty and blank texts have the digest of the empty form
 and match nothing; repeated rows match alike; two known licences with one
@@ -15,6 +22,10 @@ an empty result.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +102,44 @@ KNOWN = (
 )
 
 
+#: Words that a print starts with.
+ANCHOR_WORDS = 6
+
+#: Prints of full licence texts, from the first common sentence to the end of the terms, with and without
+#: lines that start with "copyright". The text does not say whether later versions are allowed: GNU licences are named "only".
+FULL_TEXTS: tuple[tuple[str, str, int, str], ...] = (
+    ("Apache-2.0", "terms and conditions for use reproduction", 8593, "bf840bfb1d4747a470a249e523f0e37060577fd0fb407d329b3fcb22d928d3f6"),
+    ("Apache-2.0", "terms and conditions for use reproduction", 8774, "d7dd8e5c661e35d656a43688fc21624b0ba52216e4c419c747129bf83780d165"),
+    ("CC0-1.0", "statement of purpose the laws of", 6182, "4f8ab63ace774f37529081c81e2730a88143bf70e67392bd3c3701bd0a175152"),
+    ("GPL-2.0-only", "everyone is permitted to copy and", 14289, "6b1247619f4b7c381725f8aff9736c7d890401f9dc0967ff40ef5dcd8426a085"),
+    ("GPL-2.0-only", "everyone is permitted to copy and", 14353, "efe85a3095e5f8fde7280f5ea5602c1fa24e66ee3a32d2eae38b3b1ac2196ee4"),
+    ("GPL-3.0-only", "everyone is permitted to copy and", 30688, "efb0e35819ae763bd7add32e077414117ad6017f7d79e32447d0f0454f821bbf"),
+    ("GPL-3.0-only", "everyone is permitted to copy and", 30890, "ce818a0d5cb7a9a9261f63641713dbb4ca4750284738a6c3f546d86d81a541d2"),
+    ("LGPL-2.0-only", "everyone is permitted to copy and", 21945, "39acb4a3811e3f263cabad97c1991e4d91cda85738ba84c26eb682bd6a2e9d79"),
+    ("LGPL-2.0-only", "everyone is permitted to copy and", 22138, "936eb024285b788f0eddbf96826d70da1adefa3099b0ec5336ffe495c00b7798"),
+    ("LGPL-2.1-only", "everyone is permitted to copy and", 23028, "9b49a035198aa44b50490c5199dde372807be38b92f244634b131041c8482e37"),
+    ("LGPL-2.1-only", "everyone is permitted to copy and", 23221, "f0b3313d45a8a467f987a040dc16addaea95621fdaededc28db994fccd572d0e"),
+    ("LGPL-3.0-only", "everyone is permitted to copy and", 7047, "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7"),
+    ("MPL-1.1", "1 definitions 1 0 1 commercial", 20849, "8e0d6bce1c9edcccd142522e83c6de084a68b9500d79e6741b8903df3316c55a"),
+    ("MPL-1.1", "1 definitions 1 0 1 commercial", 20977, "4fbf4b1f3d8cf5d05e627fcb1b0dded60f72dbb2e5c2bc5bb929a8db71982f2d"),
+    ("MPL-2.0", "1 definitions 1 1 contributor means", 13556, "fa31bb5fe4dacb07f1a4ad162be58edb552e9a96a500b68e081943eb2d3cfec5"),
+    ("MPL-2.0", "1 definitions 1 1 contributor means", 13626, "8f27174c93cb7f68399e5e71af858fdef9c2151b9de96b0dd9bab40a165711b3"),
+)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; equal forms are the same licence."""
-    spaced = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, ""), OTHER, " ")
+    return _spelled(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, ""))
+
+
+def _with_copyright(text: Column) -> Column:
+    """The same form with the copyright lines; null where there are none."""
+    lower = F.lower(text)
+    return F.when(lower.rlike(COPYRIGHT_LINE), _spelled(lower))
+
+
+def _spelled(lower: Column) -> Column:
+    spaced = F.regexp_replace(lower, OTHER, " ")
     plain = F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
     for said, meant in SPELLINGS:
         plain = F.replace(plain, F.lit(f" {said} "), F.lit(f" {meant} "))
@@ -111,3 +157,41 @@ def match_licenses(docs: DataFrame, licenses: DataFrame) -> DataFrame:
     known = known.groupBy(F.sha2("form", 256).alias("known_sha256")).agg(F.min("license_id").alias("license_id"))
     digests = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("canonical_sha256"))
     return digests.join(known, digests["canonical_sha256"] == known["known_sha256"], "left").drop("known_sha256")
+
+
+def license_prints(licenses: DataFrame) -> list[tuple[str, str, int, str]]:
+    """(license_id, first words, length, digest) of both forms of every licence; as many as the list is long."""
+    forms = licenses.select("license_id", F.explode(F.array(canonical(F.col("text")), _with_copyright(F.col("text")))).alias("form"))
+    rows = forms.where("form <> ''").distinct().collect()
+    return sorted((r.license_id, " ".join(r.form.split(" ")[:ANCHOR_WORDS]), len(r.form), hashlib.sha256(r.form.encode()).hexdigest()) for r in rows)
+
+
+def scan_licenses(docs: DataFrame, licenses: DataFrame, full_texts: tuple[tuple[str, str, int, str], ...] = FULL_TEXTS) -> DataFrame:
+    """doc_id, canonical_sha256 of the whole text and license_id, one row for every licence that the text is or holds, or one with null."""
+    prints: dict[str, dict[tuple[int, str], set[str]]] = {}
+    for name, anchor, length, digest in (*license_prints(licenses), *full_texts):
+        prints.setdefault(f" {anchor} ", {}).setdefault((length, digest), set()).add(name)
+
+    def held(form: str) -> set[str]:
+        padded, found = f" {form} ", set()
+        for anchor, ends in prints.items():
+            open_ends = dict(ends)
+            at = padded.find(anchor)
+            while at >= 0 and open_ends:
+                for length, digest in list(open_ends):
+                    stop = at + 1 + length
+                    if padded[stop : stop + 1] == " " and hashlib.sha256(padded[at + 1 : stop].encode()).hexdigest() == digest:
+                        found |= open_ends.pop((length, digest))
+                at = padded.find(anchor, at + 1)
+        return found
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [held(a.as_py()) | (held(b.as_py()) if b.is_valid else set()) for a, b in zip(batch.column("form"), batch.column("other"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("canonical_sha256"), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["doc_id", "canonical_sha256", "found"])
+
+    # the form is read twice: without this mark it would be made twice
+    formed = docs.select("doc_id", F.explode(F.array(F.struct(canonical(F.col("text")).alias("form"), _with_copyright(F.col("text")).alias("other")))).alias("f"))
+    digests = formed.select("doc_id", F.sha2("f.form", 256).alias("canonical_sha256"), "f.form", "f.other")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return digests.mapInArrow(scan, f"doc_id {kind}, canonical_sha256 string, found array<string>").select("doc_id", "canonical_sha256", F.explode_outer("found").alias("license_id"))

@@ -61,6 +61,10 @@ def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.match_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+def op9_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
+
+
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return found.select("row.doc_id", "class_id", "class_docs", "class_texts")
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nnls_packing": op7_nnls_packing,
     "op8_language_id": op8_language_id,
     "op9_license_digests": op9_license_digests,
+    "op9_license_passages": op9_license_passages,
     "op10_dart_minhash": op10_dart_minhash,
 }

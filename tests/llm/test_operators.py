@@ -305,6 +305,32 @@ def test_licenses(spark, none):
     assert licenses.match_licenses(none, licenses.known_licenses(spark)).count() == 0
 
 
+def test_license_scan_finds_lines_passages_and_full_texts(spark, none):
+    mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
+    body = "start here " + "words of a long licence text\ncopyright holders may wrap\n" * 300 + "end"
+    long_prints = tuple(licenses.license_prints(spark.createDataFrame([("Long", body)], "license_id string, text string")))
+    texts = {
+        1: "Some prose.\nReleased under the MIT License.\nMore prose.", 2: f"Title\n\nCopyright 2020 A\n{mit}\n\nTail", 3: "One. Licensed under CC BY-NC 4.0. Two, licensed under the\nApache License, Version 2.0.",
+        4: "Released under the MITX License.", 5: None, 6: "", 7: mit, 8: "x\n" + body.replace("\n", " ") + "\ny", 9: body[:-1], 10: "This work is licensed under\ncopyright rules.\nReleased under the MIT License",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = licenses.scan_licenses(docs, licenses.known_licenses(spark), long_prints).collect()
+    want = {(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (3, "CC-BY-NC-4.0"), (4, None), (5, None), (6, None), (7, "MIT"), (8, "Long"), (9, None), (10, "MIT")}
+    assert len(got) == len(want) and {(r.doc_id, r.license_id) for r in got} == want
+    digests = {r.doc_id: r.canonical_sha256 for r in licenses.match_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert all(digests[r.doc_id] == r.canonical_sha256 for r in got)
+    assert {i.split("-")[0] for i, *_ in licenses.FULL_TEXTS} == {"Apache", "CC0", "GPL", "LGPL", "MPL"}
+    assert licenses.scan_licenses(none, licenses.known_licenses(spark)).count() == 0
+
+
+def test_license_scan_equals_search_in_the_documents(spark, sf_dir):
+    notes = {"MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3."}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, r.license_id) for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).where("license_id IS NOT NULL").collect()}
+    want = {(r.doc_id, i) for r in docs.collect() for i, t in notes.items() if t in (r.text or "")}
+    assert got == want and want
+
+
 PAGE = "<html lang=en><head><title>A &amp; B</title></head><body><nav><a href='/x'>Menu</a></nav><article><h1>Head</h1><p>Some text of the story, told in a row of words.</p></article><!-- no --><script>bad()</script></body>"
 
 
