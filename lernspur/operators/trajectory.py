@@ -185,19 +185,26 @@ def median3(df: DataFrame, group: str, order: list[str], value: str) -> DataFram
 
 def ema(df: DataFrame, group: str, order: list[str], value: str, alpha: float = 0.4, most_missed: int = 8) -> DataFrame:
     """Exponential smoothing in order; a missing value holds the last up to ``most_missed`` times in a row, then resets."""
-    log = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v"))))
-    state = lambda s, m: F.struct(s.cast("double").alias("s"), m.cast("int").alias("m"))
-
-    def step(h: Column, x: Column) -> Column:
-        last = F.element_at(h, -1)
-        s, m = last["s"], last["m"]
-        hold = F.when(m + 1 > most_missed, F.lit(None).cast("double")).otherwise(s)
-        return F.concat(h, F.array(state(F.when(x["v"].isNull(), hold).when(s.isNull(), x["v"]).otherwise(s + (x["v"] - s) * alpha), F.when(x["v"].isNull(), m + 1).otherwise(0))))
-
-    start = F.array(state(F.lit(None), F.lit(0)))
-    folded = df.groupBy(group).agg(log.alias("log")).select(group, "log", F.slice(F.aggregate("log", start, step), 2, 1_000_000).alias("out"))
-    zipped = F.arrays_zip("log", "out")
-    return folded.select(group, F.explode(zipped).alias("z")).select(group, *[F.col(f"z.log.{o}").alias(o) for o in order], F.col("z.out.s").alias("smooth"))
+    rows = df.select(group, *order, F.col(value).cast("double").alias("smooth"))
+    schema = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, s, missed = object(), None, 0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != key:
+                    key, s, missed = k, None, 0
+                if v is None:
+                    missed += 1
+                    s = None if missed > most_missed else s
+                else:
+                    s, missed = v if s is None else s + (v - s) * alpha, 0
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.float64())], names=batch.schema.names)
+
+    # a key's rows stream through one task in order, which holds the last state alone
+    return rows.repartition(group).sortWithinPartitions(group, *order, "smooth").mapInArrow(run, schema)
 
 
 def active_window(df: DataFrame, group: str, order: list[str], active: Column) -> DataFrame:

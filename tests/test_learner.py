@@ -84,3 +84,23 @@ def test_dtw_against_plain_recursion(spark, sf_dir):
                 for j in range(1, 9):
                     best[i, j] = cost[i - 1, j - 1] + min(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1])
             assert got[c.clip, m.sign] == pytest.approx(best[8, 8] / 16)
+
+
+def test_ema_of_a_key_beyond_a_million_rows(spark):
+    n = 1_000_050
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("v"))
+    got = trajectory.ema(df, "k", ["t"], "v").where(f"t >= {n - 60}").orderBy("t").collect()
+    s, want = None, []
+    for t in range(n - 400, n):
+        v = t % 7 if t % 3 > 0 else None
+        s = s if v is None else v if s is None else s + (v - s) * 0.4
+        want.append(s)
+    assert [r.smooth for r in got] == pytest.approx(want[-60:])
+
+
+def test_ema_resets_after_misses_and_between_keys(spark):
+    values = [1.0, *[None] * 8, 2.0, *[None] * 9, 3.0, 4.0]
+    rows = [(k, t, v) for k in ("a", "b", None) for t, v in enumerate(values)]
+    got = trajectory.ema(spark.createDataFrame(rows, "k string, t long, v double"), "k", ["t"], "v").collect()
+    want = [*[1.0] * 9, *[1.4] * 9, None, 3.0, 3.4]
+    assert {(r.k, r.t): r.smooth and round(r.smooth, 9) for r in got} == {(k, t): w for k in ("a", "b", None) for t, w in enumerate(want)}
