@@ -241,3 +241,39 @@ def nearest_clip_scores(df: DataFrame, references: DataFrame, variance: float =
     refs = references.select(F.col("sign").alias("ref_sign"), F.col("clip").alias("ref"), F.col("traj").alias("ref_traj"))
     pairs = df.join(F.broadcast(refs), F.col("clip") != F.col("ref"))
     return pairs.groupBy("clip", "sign", "ref_sign").agg(F.min(clip_distance(F.col("traj"), F.col("ref_traj")) / variance).alias("score"))
+
+
+def nearest_in_blocks(df: DataFrame, references: DataFrame, variance: float = 0.05, per_block: int = 256) -> DataFrame:
+    """As ``nearest_clip_scores`` with any number of references: every block of clips meets every block of references, and the least score of each is kept."""
+
+    def blocks(x: DataFrame, name: str) -> DataFrame:
+        n = max(1, -(-x.count() // per_block))
+        flat = x.select(F.struct("clip", "sign", F.flatten("traj").alias("x")).alias("c"), F.pmod(F.xxhash64("clip"), F.lit(n)).alias("block"))
+        return flat.groupBy("block").agg(F.collect_list("c").alias(name)).select(name)
+
+    def dense(clips: list, width: int) -> np.ndarray:
+        out = np.full((len(clips), width), np.nan)
+        for row, c in zip(out, clips, strict=True):
+            values = c["x"] or []
+            row[: len(values)] = [np.nan if v is None else v for v in values]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                a, b = row["a"], row["b"]
+                width = max(1, *(len(c["x"] or []) for c in (*a, *b)))
+                y, ids = dense(b, width), np.array([c["clip"] for c in b])
+                signs = [c["sign"] for c in b]
+                of = {s: np.array([i for i, x in enumerate(signs) if x == s]) for s in set(signs)}
+                out = []
+                for c, x in zip(a, dense(a, width), strict=True):
+                    d = (y - x) ** 2
+                    n = (~np.isnan(d)).sum(axis=1)
+                    score = np.where(n > 0, np.nansum(d, axis=1) / np.maximum(n, 1), np.inf) / variance
+                    other = ids != c["clip"]
+                    out += [(c["clip"], c["sign"], s, float(score[at][other[at]].min())) for s, at in of.items() if other[at].any()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["clip", "sign", "ref_sign", "score"])
+
+    met = blocks(df, "a").crossJoin(blocks(references, "b"))
+    return met.mapInArrow(run, "clip long, sign long, ref_sign long, score double").groupBy("clip", "sign", "ref_sign").agg(F.min("score").alias("score"))

@@ -40,6 +40,11 @@ def present(s, d):
     return C.present_classes(c.where("clip_id % 20 = 0"), c.where("clip_id % 20 = 1"), c.where("signer <> 'src3'"), "signer")
 
 
+def present_by_split(s, d):
+    c = C.split_clips_per_sign(clips(s, d).select("clip_id", "sign", "signer"), "sign", "clip_id")
+    return C.present_classes(c.where("split = 'train'"), c.where("split = 'val'"), clips(s, d).where("signer <> 'src3'"), "signer")
+
+
 def leaks(s, d):
     c = C.split_clips_per_sign(clips(s, d).select("clip_id", "sign", "signer"), "sign", "clip_id")
     return C.split_leaks(c, "signer")
@@ -119,6 +124,7 @@ QUERIES = {
     "thin_signs": (lambda s, d: C.thin_groups(_counts(s, d).select("pair", "n"), _vocab(s, d), "pair", 15), f"WITH {PAIRS}, v AS (SELECT pair, count(*) AS n FROM pairs GROUP BY 1 UNION ALL SELECT 'xx:none', 0) SELECT pair, n, 15 - n AS need FROM v WHERE n < 15"),
     "missing_signs": (lambda s, d: C.missing(_vocab(s, d), _pairs(s, d).where("n_chars > 2000"), "pair"), f"WITH {PAIRS}, v AS (SELECT DISTINCT pair FROM pairs UNION ALL SELECT 'xx:none') SELECT pair FROM v WHERE pair NOT IN (SELECT pair FROM pairs WHERE n_chars > 2000)"),
     "present_classes": (present, f"WITH {CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM clips WHERE clip_id % 20 IN (0, 1) AND signer <> 'src3')"),
+    "present_classes_all": (present_by_split, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM split WHERE signer <> 'src3')"),
     "split_leaks": (leaks, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, count(DISTINCT split) AS splits FROM split GROUP BY 1 HAVING splits > 1"),
     "signer_counts": (signers_by_split, f"WITH {CLIPS}, v AS (SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, round_even(count(*) OVER () * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)) SELECT split, count(DISTINCT signer) AS signers, count(*) AS clips FROM clips JOIN v USING (signer) GROUP BY 1"),
     "class_range": (lambda s, d: C.class_range(_pairs(s, d), "pair"), f"WITH {PAIRS}, n AS (SELECT count(*) AS n FROM pairs GROUP BY pair) SELECT min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS middle, max(n) AS most FROM n"),

@@ -20,6 +20,11 @@ def series(s, d):
     return e.select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
 
 
+def every(s, d):
+    """The series of all users; ``series`` has a fifth of them, as its SQL does."""
+    return table(s, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
+
+
 def _long(df, *cols):
     return T.long_form(df).select("clip", "t", "f", F.round("v", 9).alias("v"))
 
@@ -72,3 +77,16 @@ QUERIES = {
     "trim_fraction": (lambda s, d: _long(trajs(s, d).withColumn("traj", T.trim_fraction(F.col("traj"), 0.2, 0.8))), f"WITH {FLAT} SELECT clip, CAST(t - 2 AS INTEGER) AS t, f, round(v, 9) AS v FROM lng WHERE t >= 2 AND t < 6"),
     "nearest_clip_scores": (lambda s, d: T.nearest_clip_scores(trajs(s, d), trajs(s, d).where("clip < 40")).withColumn("score", F.round("score", 7)), f"WITH {FLAT}, p AS (SELECT a.clip, a.sign, b.sign AS ref_sign, b.clip AS ref, avg((a.v - b.v) * (a.v - b.v)) / 0.05::DOUBLE AS s FROM lng a JOIN lng b ON a.t = b.t AND a.f = b.f AND a.clip <> b.clip WHERE b.clip < 40 GROUP BY 1, 2, 3, 4) SELECT clip, sign, ref_sign, round(min(s), 7) AS score FROM p GROUP BY 1, 2, 3"),
 }
+
+#: The queries above that read a part of the rows, over all of them.
+OVER = ("user_id", ["ts", "event_id"])
+WHOLE = {
+    "forward_fill": lambda s, d: T.forward_fill(every(s, d), *OVER, "v").select("event_id", "filled"),
+    "median3": lambda s, d: T.median3(every(s, d).where("v IS NOT NULL"), *OVER, "v").select("event_id", "smooth"),
+    "ema": lambda s, d: T.ema(every(s, d), *OVER, "v").select("event_id", F.round("smooth", 9).alias("smooth")),
+    "active_window": lambda s, d: T.active_window(every(s, d), *OVER, F.col("v") > 20).select("event_id"),
+    "match_streaks": lambda s, d: T.streaks(every(s, d), *OVER, F.coalesce(F.col("v") <= 10, F.lit(False))).select("event_id", "streak", "unlocked"),
+    "drop_empty_steps": lambda s, d: T.drop_empty_steps(every(s, d).withColumn("slot", F.col("event_id") % 700), "slot", F.col("v") > 60).select("event_id"),
+    "nearest_clip_scores": lambda s, d: T.nearest_in_blocks(trajs(s, d), trajs(s, d)).withColumn("score", F.round("score", 7)),
+}
+QUERIES |= {f"{name}_all": (query, QUERIES[name][1].replace(" WHERE user_id % 5 = 0", "").replace(" WHERE b.clip < 40", "")) for name, query in WHOLE.items()}

@@ -43,3 +43,14 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     want = sorted(repr(tuple(plain(v) for v in row)) for row in cursor.fetchall())
     got = sorted(repr(tuple(plain(row[c]) for c in columns)) for row in df.collect())
     assert got == want
+
+
+def test_whole_tables_are_read(spark, sf_dir):
+    import pyspark.sql.functions as F
+
+    events, clips = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    for name in ("forward_fill_all", "ema_all", "match_streaks_all"):
+        assert QUERIES[name](spark, sf_dir).count() == events.count()
+    nearest = QUERIES["nearest_clip_scores_all"](spark, sf_dir)
+    assert nearest.select("ref_sign").distinct().count() == clips.select("label").distinct().count()
+    assert nearest.agg(F.countDistinct("clip")).first()[0] == clips.count()
