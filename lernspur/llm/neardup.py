@@ -11,6 +11,11 @@ weighted Jaccard similarity. Rank cells double in width and each text looks at
 as many as its weight calls for, so the work is about one dart an element plus
 k log k a text.
 
+Links go by plain Jaccard similarity, which repeats inside a text do not change
+but weights do: a text written twice is nearly the same set with other weights.
+So a text that repeats shingles is signed a second time with all weights 1, and
+stands in the bands of both signatures. Without repeats the two are the same.
+
 Equal texts collapse first. Signatures are cut into bands; texts that share a
 band are candidates, and a link is kept when the plain Jaccard similarity of
 their shingle sets is at least the threshold, computed exactly. Classes are the
@@ -171,20 +176,34 @@ def _parts(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def signed_texts(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """node and its band hashes, signed where the texts are read; texts without words have no bands."""
+    """node and its band hashes, signed where the texts are read; texts without words have no bands.
+
+    Texts that repeat shingles have the bands of unit weights after those of their weights, null where both are equal.
+    """
+
+    def band_hashes(signature: np.ndarray) -> np.ndarray:
+        cut = signature.reshape(-1, config.bands, config.rows)
+        band = np.zeros(cut.shape[:2], dtype=np.uint64)
+        for j in range(config.rows):
+            band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + cut[:, :, j])
+        return band
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole, 500_000):
                 elements, owner, weights = _weighted_sets(batch, config)
                 n = batch.num_rows
-                signature = dart_signatures(elements, weights, owner, n, config).reshape(n, config.bands, config.rows)
-                band = np.zeros((n, config.bands), dtype=np.uint64)
-                for j in range(config.rows):
-                    band = mix64(band * np.uint64(0x9E3779B97F4A7C15) + signature[:, :, j])
-                sizes = np.bincount(owner, minlength=n)
-                some = sizes > 0
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * config.bands)]).astype(np.int32)), pa.array(band[some].reshape(-1).view(np.int64)))
+                band = band_hashes(dart_signatures(elements, weights, owner, n, config))
+                some, twice = np.bincount(owner, minlength=n) > 0, np.bincount(owner, weights > 1, n) > 0
+                again = twice[owner]
+                unit = np.zeros_like(band)
+                place = np.cumsum(twice) - 1
+                unit[twice] = band_hashes(dart_signatures(elements[again], np.ones(int(again.sum())), place[owner[again]], int(twice.sum()), config))
+                both = np.concatenate([band, unit], axis=1)
+                held = np.repeat(np.stack([some, twice], axis=1), config.bands, axis=1)
+                null = np.concatenate([np.zeros_like(band, bool), unit == band], axis=1)
+                ends = np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(both[held].view(np.int64), mask=null[held]))
                 yield pa.RecordBatch.from_arrays([batch.column("node"), bands], names=["node", "bands"])
 
     return docs.select("node", F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).mapInArrow(sign, "node binary, bands array<bigint>")
@@ -275,7 +294,7 @@ def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfi
     """(node, root) of the texts that are linked to other texts; ``docs`` has node and text, repeats allowed."""
     place = ["band", "key"]
     signed = materialize(signed_texts(docs, config).dropDuplicates(["node"]), "signed")
-    banded = signed.select("node", F.posexplode("bands").alias(*place))
+    banded = signed.select("node", F.posexplode("bands").alias(*place)).where("key IS NOT NULL").withColumn("band", F.col("band") % config.bands)
     counts = banded.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
     seats = materialize(banded.join(big(counts), place), "seats")
     # the member that meets the most others leads: the text that copies were made from, where it is there

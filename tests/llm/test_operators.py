@@ -186,6 +186,15 @@ def test_near_duplicate_chains_and_large_groups(spark):
     assert got == {i: find(i) for i in texts}
 
 
+def test_near_duplicates_of_repeated_texts(spark):
+    rows = []
+    for i in range(40):
+        text = prose(150, 500 + i)
+        rows += [(10 * i + k - 1, "\n".join([text] * k)) for k in (1, 2, 3, 4)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "class_id", "class_docs").collect()
+    assert all((r.class_id, r.class_docs) == (r.doc_id // 10 * 10, 4) for r in got) and len(got) == 160
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     config = neardup.NearDupConfig(bands=200, rows=5)
     r = np.random.default_rng(1)
