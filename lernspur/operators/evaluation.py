@@ -118,6 +118,19 @@ def fit_temperature(scores: DataFrame, low: float = 0.1, high: float = 10.0, ste
     return loss.agg(F.min_by("t", F.struct("nll", "t")).alias("temperature"), F.min("nll").alias("nll"))
 
 
+def refine_temperature(scores: DataFrame, low: float = 0.1, high: float = 10.0, steps: int = 41, tolerance: float = 1e-3) -> DataFrame:
+    """``fit_temperature`` again between the neighbours of the best point, until the grid's step is below ``tolerance``."""
+    a, b = low, high
+    while True:
+        fitted, step = fit_temperature(scores, a, b, steps), (b - a) / (steps - 1)
+        if step < tolerance:
+            return fitted
+        best = fitted.first()["temperature"]
+        if best is None:
+            return fitted
+        a, b = max(low, best - step), min(high, best + step)
+
+
 def expected_calibration_error(preds: DataFrame, bins: int = 10) -> DataFrame:
     """Sum over equal confidence bins of share x |accuracy - confidence|."""
     cell = F.least(F.floor(F.col("top_prob") * bins), F.lit(bins - 1))

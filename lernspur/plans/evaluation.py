@@ -71,6 +71,7 @@ QUERIES = {
     "report_summary": (lambda s, d: E.report_summary(E.per_class(_preds(s, d))), f"WITH {PER} SELECT avg(recall) AS mean, list_sort(list(recall))[count(*) // 2 + 1] AS median, count(*) FILTER (WHERE recall < 0.6::DOUBLE) AS below FROM percl WHERE n > 0"),
     "confusion_share": (lambda s, d: E.confusion_share(E.confusion_matrix(_preds(s, d)), E.per_class(_preds(s, d))), f"WITH {PER} SELECT label, pred, conf.n, round_even(percl.n * (1 - recall), 0) AS errors, CASE WHEN errors > 0 THEN conf.n / errors ELSE 0 END AS share FROM conf JOIN percl ON label = class WHERE label <> pred ORDER BY conf.n DESC, label DESC, pred DESC LIMIT 15"),
     "nll": (lambda s, d: _rounded(E.nll(_logits(s, d)), "nll"), f"WITH {P} SELECT round(avg(-ln(prob + 1e-12)), 9) AS nll FROM pr WHERE class = label"),
+    "fit_temperature_refined": (lambda s, d: _rounded(E.refine_temperature(_logits(s, d)), "temperature", "nll", n=7), None),
     "fit_temperature": (lambda s, d: _rounded(E.fit_temperature(_logits(s, d)), "temperature", "nll", n=7), f"WITH {L}, g AS (SELECT unnest(range(41)) * (9.9::DOUBLE / 40) + 0.1::DOUBLE AS t), x AS (SELECT item, label, class, logit - max(logit) OVER (PARTITION BY item) AS x FROM logits), i AS (SELECT item, t, ln(sum(exp(x / t))) AS lse, max(x) FILTER (WHERE class = label) AS x FROM x, g GROUP BY 1, 2), n AS (SELECT t, avg(-ln(exp(x / t - lse) + 1e-12)) AS nll FROM i GROUP BY 1) SELECT round(arg_min(t, nll), 7) AS temperature, round(min(nll), 7) AS nll FROM n"),
     "calibration_error": (lambda s, d: _rounded(E.expected_calibration_error(_preds(s, d)), "ece"), f"WITH {P}, {ECE} SELECT round(ece, 9) AS ece FROM ece"),
     "demographic_gap": (lambda s, d: E.demographic_gap(_preds(s, d), _bucket()), f"WITH {P}, {GAP} SELECT * FROM gap"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lernspur.functions import scheduler as S
-from lernspur.operators import learner, trajectory
+from lernspur.operators import evaluation, learner, trajectory
 from lernspur.plans import trajectory as plans
 
 NOW = datetime.datetime(2026, 5, 19, 12)
@@ -104,3 +104,15 @@ def test_ema_resets_after_misses_and_between_keys(spark):
     got = trajectory.ema(spark.createDataFrame(rows, "k string, t long, v double"), "k", ["t"], "v").collect()
     want = [*[1.0] * 9, *[1.4] * 9, None, 3.0, 3.4]
     assert {(r.k, r.t): r.smooth and round(r.smooth, 9) for r in got} == {(k, t): w for k in ("a", "b", None) for t, w in enumerate(want)}
+
+
+def test_refined_temperature_is_the_bounded_minimum(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 4))
+    p = np.exp(x / 0.25) / np.exp(x / 0.25).sum(axis=1, keepdims=True)
+    y = [int(r.choice(4, p=q)) for q in p]
+    rows = [(i, y[i], c, float(x[i, c])) for i in range(400) for c in range(4)]
+    got = evaluation.refine_temperature(spark.createDataFrame(rows, "item long, label long, class long, logit double")).first().temperature
+    loss = lambda t: -np.mean(np.log(np.exp(x / t)[range(400), y] / np.exp(x / t).sum(axis=1) + 1e-12))
+    grid = np.arange(0.1, 1.0, 1e-4)
+    assert abs(got - grid[np.argmin([loss(t) for t in grid])]) < 1e-3
