@@ -45,7 +45,7 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_file_round_trip(table(spark, sf_dir, "documents")).drop("ids")
+    return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ ascending document id. Spark's own writers and readers carry them, so any store
 and any lost executor is Spark's to handle.
 
 Defined results: a null or empty text is its end id alone; null ids come first;
-repeated ids are all kept, in the order of their coded bytes; an empty table
+repeated ids are all kept, in the order of their checksums and ids; an empty table
 gives no block and reads back as no document.
 """
 
@@ -47,6 +47,8 @@ class FileConfig:
     #: tokens between checkpoints, and about how many a block holds
     stride: int = 256
     block_tokens: int = 65_536
+    #: about how many tokens one range of doc_id holds
+    range_tokens: int = 8_000_000
 
 
 def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
@@ -146,7 +148,7 @@ def decode_ids(payload: bytes, n_tokens: np.ndarray, checkpoints: np.ndarray, ta
 
 
 def tokenized(docs: DataFrame, config: FileConfig) -> DataFrame:
-    """doc_id and the ids of its whole text, as little-endian integers of 2 or 4 bytes (``wide``)."""
+    """doc_id, the ids of its whole text, as little-endian integers of 2 or 4 bytes (``wide``), and their checksum."""
     path, end = config.tokenizer or tokens.default_tokenizer(), config.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,17 +156,20 @@ def tokenized(docs: DataFrame, config: FileConfig) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             for a, b in tokens.text_groups(texts):
-                ids = encode(texts.slice(a, b - a).to_pylist(), end)
+                ids = encode(texts.slice(a, b - a), end)
                 wide = [bool(x.max() > 65_535) for x in ids]
                 data = [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(wide), pa.array(data, pa.binary())], names=["doc_id", "wide", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(wide), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "wide", "mark", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, wide boolean, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, wide boolean, mark long, ids binary")
 
 
-def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u4" if w else "<u2") for x, w in zip(batch.column("ids").to_pylist(), batch.column("wide").to_pylist(), strict=True)]
+def _id_slices(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The ids of runs of rows with about ``most`` bytes together, and the row each run begins at."""
+    ids, wide = batch.column("ids"), batch.column("wide")
+    for a, b in tokens.text_groups(ids, most):
+        yield a, [np.frombuffer(x, dtype="<u4" if w else "<u2") for x, w in zip(ids.slice(a, b - a).to_pylist(), wide.slice(a, b - a).to_pylist(), strict=True)]
 
 
 def id_counts(ids: DataFrame) -> np.ndarray:
@@ -173,80 +178,78 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            found = np.bincount(np.concatenate([np.zeros(0, np.int64), *_ids(batch)]).astype(np.int64))
-            if len(found) > len(total):
-                total = np.pad(total, (0, len(found) - len(total)))
-            total[: len(found)] += found
+            for _, parts in _id_slices(batch):
+                found = np.bincount(np.concatenate(parts))
+                if len(found) > len(total):
+                    total = np.pad(total, (0, len(found) - len(total)))
+                total[: len(found)] += found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    rows = ids.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("wide", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, dtype=np.int64)
     out[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy()
     return out
 
 
 def write_token_files(docs: DataFrame, path: str, config: FileConfig = FileConfig()) -> None:
-    """Writes the coded ids of all documents below ``path``, in ascending doc_id order."""
+    """Writes the coded ids of all documents below ``path``, in ascending doc_id order.
+
+    The ids are dealt to ranges of doc_id (and, for rows of one id, of their checksum), as many as their
+    number asks for; each range is coded once, after it is sorted, straight into blocks.
+    """
     spark = docs.sparkSession
     ids = materialize(tokenized(docs, config), "ids")
-    lengths = code_lengths(id_counts(ids), config.longest)
+    counts = id_counts(ids)
+    lengths = code_lengths(counts, config.longest)
     spark.createDataFrame([(lengths.tolist(), config.stride)], "lengths array<int>, stride int").coalesce(1).write.parquet(f"{path}/codes")
     book = spark.sparkContext.broadcast(lengths)
     stride, most = config.stride, config.block_tokens
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    ranges = max(shuffle_partitions(spark), int(counts.sum()) // config.range_tokens + 1)
+    ordered = ids.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "ids")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, first = TaskContext.get().partitionId(), 0, 0
         lengths = book.value
         codes = canonical_codes(lengths)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                parts = _ids(batch)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                data, begin, marks = encode_ids(np.concatenate(parts).astype(np.int64), bounds, lengths, codes, stride)
-                coded = pa.array([data[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int32)), pa.array(marks, pa.list_(pa.int64())), coded], names=["doc_id", "n", "marks", "coded"])
+        names: list[pa.Array] = []
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def close() -> pa.RecordBatch:
+            sizes = np.array([len(x) for x in parts])
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            data, begin, marks = encode_ids(np.concatenate(parts).astype(np.int64), bounds, lengths, codes, stride)
+            checkpoints = np.concatenate([m + 8 * at for m, at in zip(marks, begin, strict=False)])
+            docs = pa.concat_arrays(names)
+            rows = [[part], [number], [first], None, [sizes], [checkpoints], [data]]
+            types = [pa.int32(), pa.int32(), pa.int64(), None, pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs) if t is None else pa.array(r, t) for r, t in zip(rows, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=["part", "block", "first", "doc_ids", "n_tokens", "checkpoints", "payload"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = ids.mapInArrow(code, f"doc_id {kind}, n int, marks array<long>, coded binary")
-    ordered = coded.repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "coded")
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        number, first = 0, 0
-        names: list = []
-        sizes: list[int] = []
-        marks: list[np.ndarray] = []
-        data: list[bytes] = []
-        held = bits = 0
-
-        def close(kind: pa.DataType) -> pa.RecordBatch:
-            rows = [[part], [number], [first], [names], [sizes], [np.concatenate(marks)], [b"".join(data)]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], names=["part", "block", "first", "doc_ids", "n_tokens", "checkpoints", "payload"])
-
-        kind = pa.int64()
         for batch in batches:
-            kind = batch.column("doc_id").type
-            for doc, n, mark, piece in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "marks", "coded")), strict=True):
-                names.append(doc)
-                sizes.append(n)
-                marks.append(np.array(mark, dtype=np.int64) + bits)
-                data.append(piece)
-                bits += 8 * len(piece)
-                held += n
-                if held >= most:
-                    yield close(kind)
-                    number, first = number + 1, first + held
-                    names, sizes, marks, data, held, bits = [], [], [], [], 0, 0
-        if names:
-            yield close(kind)
-
-    ordered.mapInArrow(block, BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-
-
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (tokens of all documents before it), n_tokens and the decoded ids (little-endian, 4 bytes each)."""
+            for at, some in _id_slices(batch):
+                since = 0
+                for i, x in enumerate(some):
+                    parts.append(x)
+                    held += len(x)
+                    if held >= most:
+                        names.append(batch.column("doc_id").slice(at + since, i + 1 - since))
+                        yield close()
+                        number, first, since = number + 1, first + held, i + 1
+                        names, parts, held = [], [], 0
+                if since < len(some):
+                    names.append(batch.column("doc_id").slice(at + since, len(some) - since))
+        if parts:
+            yield close()
+
+    ordered.select("doc_id", "wide", "ids").mapInArrow(block, BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+
+
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (tokens of all documents before it), n_tokens, the checksum of the decoded ids and, if wanted, these (little-endian, 4 bytes each)."""
     blocks = spark.read.parquet(f"{path}/blocks")
     book = spark.read.parquet(f"{path}/codes").first()
     shared = spark.sparkContext.broadcast((np.array(book["lengths"], dtype=np.uint8), book["stride"]))
@@ -268,13 +271,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 data = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 names = whole.slice(at, 16).column("doc_ids").flatten()
-                yield pa.RecordBatch.from_arrays([names, pa.array(starts.astype(np.int64)), pa.array(sizes), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                columns = [names, pa.array(starts.astype(np.int64)), pa.array(sizes), pa.array([zlib.crc32(x) for x in data], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(data, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return blocks.join(F.broadcast(before), "part").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
+    return blocks.join(F.broadcast(before), "part").mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def token_file_round_trip(docs: DataFrame, config: FileConfig = FileConfig()) -> DataFrame:
+def token_file_round_trip(docs: DataFrame, config: FileConfig = FileConfig(), with_ids: bool = True) -> DataFrame:
     """Writes the documents' token files to the shared folder and reads them back."""
     path = fresh_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, config)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, with_ids)

@@ -1,11 +1,14 @@
 """Each operator on odd input: nulls in any column, empty and very long texts, ties, repeated rows, clashing extra columns, empty tables."""
 
+import collections
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from lernspur.llm import fingerprint, html_blocks, langid, licenses, mixing, neardup, packing, quality, token_files, tokens, warc
 
@@ -232,10 +235,14 @@ def test_language_id(spark, none):
 
 
 def test_packing(spark, odd, none):
-    encode = tokens.encoder(tokens.default_tokenizer())
+    library = Tokenizer.from_file(tokens.default_tokenizer())
     got = packing.pack(odd).collect()
-    total = sum(len(encode.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for (t,) in odd.select("text").collect())
-    assert sum(r.length for r in got) == total
+    want = collections.Counter()
+    for doc, text in odd.select("doc_id", "text").collect():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        want.update((doc, s, min(1024, len(ids) - s), zlib.crc32(ids[s : s + 1024].tobytes()), len(ids)) for s in range(0, len(ids), 1024))
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    assert sorted({r.sequence_id for r in got}) == list(range(max(r.sequence_id for r in got) + 1))
     sequences, whole = {}, {}
     for r in got:
         sequences.setdefault(r.sequence_id, []).append(r)
@@ -246,10 +253,6 @@ def test_packing(spark, odd, none):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and (pieces[0].padded == 1024 or pieces[0].padded == at)
-    ids = encode.encode([BASE], 0)[0]
-    for r in got:
-        if r.doc_id == 0:
-            assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert packing.pack(none).count() == 0
 
 
@@ -257,7 +260,7 @@ def test_packing_plan_uses_every_length_once():
     r = np.random.default_rng(2)
     for window, size in ((16, 200), (64, 3000)):
         histogram = np.bincount(np.minimum(window, r.geometric(0.08, size)), minlength=window + 1)
-        plan = packing.plan_patterns(histogram, window)
+        plan, _ = packing.plan_patterns(histogram, packing.PackConfig(window=window))
         used = np.zeros(window + 1, dtype=int)
         for lengths, n in plan:
             assert sum(lengths) <= window
@@ -267,10 +270,31 @@ def test_packing_plan_uses_every_length_once():
         assert (histogram * np.arange(window + 1)).sum() / (window * sum(n for _, n in plan)) > 0.95
 
 
+def test_packing_fit_is_least_squares():
+    """The fit places nearly all of a large histogram, and its residual is that of a plain projected-gradient solution."""
+    r = np.random.default_rng(4)
+    histogram = np.bincount(r.integers(1, 33, 40_000), minlength=33)
+    combos = packing.filling_combinations(32)
+    config = packing.PackConfig(window=32, lean=0.0)
+    x = packing.fit_repeats(histogram, combos, config)
+    a = np.zeros((33, len(combos)))
+    for i, c in enumerate(combos):
+        for m in c[c > 0]:
+            a[m, i] += 1
+    y = np.zeros(len(combos))
+    step = 1 / np.linalg.norm(a.T @ a, 2)
+    for _ in range(20_000):
+        y = np.maximum(0, y - step * (a.T @ (a @ y - histogram)))
+    plain, own = ((a @ v - histogram)[1:] @ (a @ v - histogram)[1:] for v in (y, x))
+    assert (x >= 0).all() and own <= plain * 1.01 + 1 and (x > 0).sum() <= 40
+    plan, fitted = packing.plan_patterns(np.where(np.arange(33) < 32, histogram, 0), config)
+    assert sum(len(lengths) * n for lengths, n in plan[:fitted]) > 0.5 * histogram[:32].sum()
+
+
 def test_token_files(spark, odd, none):
     got = token_files.token_file_round_trip(odd).collect()
     assert len(got) == odd.count()
-    encode = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    encode = Tokenizer.from_file(tokens.default_tokenizer())
     want = {}
     for r in odd.select("doc_id", "text").collect():
         want.setdefault(r.doc_id, []).append([*encode.encode(r.text or "", add_special_tokens=False).ids, 2])
@@ -300,10 +324,21 @@ def test_huffman_codes():
 
 
 def test_chunked_tokens_equal_whole_text_tokens():
-    encode = tokens.encoder(tokens.default_tokenizer())
-    odd_texts = ["", " ", "\n\n", "a  b\n c\t\td ", "it's  they're", "<|endoftext|> a", "1 2\r\n3", "x" * 300, "a b　 c", " lead", "漢字 und Ünïcode"]
-    for text in odd_texts + [t for t in TEXTS if t and len(t) < 5000]:
-        assert encode.encode([text], 2)[0].tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    encode, library = tokens.encoder(tokens.default_tokenizer()), Tokenizer.from_file(tokens.default_tokenizer())
+    texts = ["", None, " ", "\n\n", "a  b\n c\t\td ", "it's  they're", "<|endoftext|> a", "b<|endoftext|><|endoftext|>", "1 2\r\n3", "x" * 300, "a b\u3000 c", " lead", "a\n\nb c", "a \nb", "漢字 und Ünïcode", "a×b÷c ß´ …. «q»"]
+    r = random.Random(8)
+    parts = [" ", "\n", "\t", "a", "B", "1", ".", "'s", "é", "–", "\u2003", "日", "'", "ll", "x\r", "word", "<|endoftext|>"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randint(1, 25))) for _ in range(3000)] + [t for t in TEXTS if t]
+    for text, ids in zip(texts, encode.encode(pa.array(texts), 2), strict=True):
+        assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = tokens.default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k")
+    texts = ["Some words, and  more", None, "", "line\nends"]
+    library = Tokenizer.from_file(path)
+    for text, ids in zip(texts, tokens.encoder(path).encode(pa.array(texts), 2), strict=True):
+        assert ids.tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_licenses(spark, none):
