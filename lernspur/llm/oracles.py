@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lernspur.llm.licenses import KNOWN, SPELLINGS
 from lernspur.llm.mixing import MixConfig
-from lernspur.llm.quality import METRICS, QualityConfig
+from lernspur.llm.quality import COUNTED, METRICS, QualityConfig
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -42,17 +42,18 @@ def mix_sql(config: MixConfig = MixConfig()) -> str:
 
 
 def quality_sql(config: QualityConfig = QualityConfig()) -> str:
-    cell = "(greatest(length(bin({0})) - 5, 0) * 64 + ({0} >> greatest(length(bin({0})) - 5, 0)))"
-    floor_of = "((({0}) % 64) << (({0}) // 64))"
+    cell = "(greatest(length(bin({0})) - 7, 0) * 256 + ({0} >> greatest(length(bin({0})) - 7, 0)))"
     metric = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {cell.format(m)} AS cell FROM passed" for m in METRICS)
 
-    def quartiles(keys: str, by: str) -> str:
-        return f"""SELECT {keys} metric, max(docs) AS docs, {floor_of.format('min(cell) FILTER (WHERE run * 4 >= docs)')} AS q1, {floor_of.format('min(cell) FILTER (WHERE run * 4 >= docs * 3)')} AS q3
+    def quartiles(keys: str) -> str:
+        at = "min(cell) FILTER (WHERE run * 4 >= docs * {})"
+        return f"""SELECT {keys} metric, max(docs)::BIGINT AS docs, (({at.format(1)} % 256) << ({at.format(1)} // 256))::BIGINT AS q1, (((({at.format(3)} % 256) + 1) << ({at.format(3)} // 256)) - 1)::BIGINT AS q3
         FROM (SELECT {keys} metric, cell, sum(n) OVER (PARTITION BY {keys} metric ORDER BY cell ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY {keys} metric) AS docs
-              FROM (SELECT {keys} metric, cell, sum(n) AS n FROM cells GROUP BY {by} metric, cell)) GROUP BY {by} metric"""
+              FROM (SELECT {keys} metric, cell, sum(n) AS n FROM cells GROUP BY {keys} metric, cell)) GROUP BY {keys} metric"""
 
-    fences = ", ".join(f"max(greatest({least}, q3 + {config.reach} * (q3 - q1))) FILTER (WHERE metric = '{m}') AS max_{m}" for m, least in zip(METRICS, config.least, strict=True))
-    over = " OR ".join(f"coalesce(s.{m} > f.max_{m}, false)" for m in METRICS)
+    drawn = lambda n, q, parent: f"(({n} * {q} + {config.prior} * {parent}) // ({n} + {config.prior}))"
+    fences = ", ".join(f"max(q3 + {config.reach} * (q3 - q1)) FILTER (WHERE metric = '{m}') AS max_{m}" for m in METRICS)
+    over = " OR ".join(f"s.{count} * 1000 > f.max_{m} * s.{of} + {spare * 1000}" for m, (count, of, spare) in COUNTED.items())
     return rf"""
     WITH split AS (
         SELECT row_number() OVER () AS r, doc_id, lang, source, {_WORDS} AS w,
@@ -78,19 +79,18 @@ def quality_sql(config: QualityConfig = QualityConfig()) -> str:
         FROM counted),
     passed AS (SELECT * FROM scored WHERE NOT base_failed),
     cells AS (SELECT lang, source, metric, cell, count(*) AS n FROM ({metric}) GROUP BY ALL),
-    g AS ({quartiles('lang, source,', 'lang, source,')}),
-    l AS ({quartiles('lang,', 'lang,')}),
-    e AS ({quartiles('', '')}),
+    g AS ({quartiles('lang, source,')}),
+    l AS ({quartiles('lang,')}),
+    e AS ({quartiles('')}),
+    ld AS (SELECT l.lang, l.metric, {drawn('l.docs', 'l.q1', 'e.q1')} AS q1, {drawn('l.docs', 'l.q3', 'e.q3')} AS q3 FROM l JOIN e USING (metric)),
     used AS (
-        SELECT g.lang, g.source, g.metric,
-               CASE WHEN g.docs >= {config.min_docs} THEN g.q1 WHEN l.docs >= {config.min_docs} THEN l.q1 ELSE e.q1 END AS q1,
-               CASE WHEN g.docs >= {config.min_docs} THEN g.q3 WHEN l.docs >= {config.min_docs} THEN l.q3 ELSE e.q3 END AS q3
-        FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN e ON g.metric = e.metric),
+        SELECT g.lang, g.source, g.metric, {drawn('g.docs', 'g.q1', 'ld.q1')} AS q1, {drawn('g.docs', 'g.q3', 'ld.q3')} AS q3
+        FROM g JOIN ld ON g.lang IS NOT DISTINCT FROM ld.lang AND g.metric = ld.metric),
     f AS (
-        SELECT lang, source, {fences}, max(least(2000, q1 - {config.reach} * (q3 - q1))) FILTER (WHERE metric = 'word_len') AS min_word_len
+        SELECT lang, source, {fences}, max(q1 - {config.reach} * (q3 - q1)) FILTER (WHERE metric = 'word_len') AS min_word_len
         FROM used GROUP BY lang, source)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND NOT ({over} OR coalesce(s.word_len < f.min_word_len, false)) AS kept
+           NOT base_failed AND NOT coalesce(s.word_len > f.max_word_len OR s.word_len < f.min_word_len OR {over}, false) AS kept
     FROM scored s LEFT JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source"""
 
 

@@ -1,18 +1,21 @@
 """Quality rules with adaptive cutoffs (built-in functions only).
 
 Every document gets counts of words, symbols, repeated lines and repeated
-three-word windows. For each (lang, source) group the four ratios are
-summarised by a histogram sketch with logarithmic cells: a cell count can be
-added across tasks, groups and runs, and a quantile read from it is within
-1/16 of the true value. The upper fence of a ratio is
-
-    max(floor, q3 + reach * (q3 - q1))      over the group's documents
-
-and a document is rejected when a ratio lies above its group's fence (mean
-word length also has a lower fence). Groups with fewer than ``min_docs``
-documents use the merged sketch of their language, and languages with fewer
-use the merged sketch of all documents, so cutoffs never rest on a handful of
-rows.
+three-word windows. For each (lang, source) group four ratios (in thousandths)
+are summarised by a histogram sketch with logarithmic cells: a cell count can be
+added across tasks, groups and runs, and a quantile read from it is within 1/64
+of the true value. No cutoff is fixed. The fence of a ratio is
+
+    q3 + reach * (q3 - q1)
+
+over the documents of the group that pass the base rule, where each quartile of
+a group of n documents is drawn towards that of its language, and that of the
+language towards that of all, by ``prior`` documents: (n q + prior parent) /
+(n + prior). Small groups so lean on their language at every size, without a
+switch. A document is rejected when its count lies above its fence by more than
+``spare`` events (as many happen in any text, and a share of a short text says
+little), when its mean word length lies above its fence, or below the lower
+fence q1 - reach * (q3 - q1).
 
 Defined results: null, empty and blank texts have zero counts and fail the
 base rule; null lang and null source are groups of their own; repeated rows
@@ -30,18 +33,19 @@ from pyspark.sql import Window as W
 from lernspur.llm.common import WORD, materialize, words
 
 SYMBOLS = r"[#*$%&|<>]"
-#: ratio name: (scale, least upper fence, has a lower fence)
+#: ratios, in thousandths; all but the first are counts per word or line
 METRICS = ("word_len", "symbols", "dup_lines", "repeat_words")
+#: ratio: its count, what it is counted in, and the events that any text may hold
+COUNTED = {"symbols": ("n_symbols", "n_words", 10), "dup_lines": ("n_dup_lines", "n_lines", 10), "repeat_words": ("n_repeat_words", "n_words", 90)}
 
 
 @dataclass(frozen=True)
 class QualityConfig:
     min_words: int = 50
     max_repeat_percent: int = 50
-    min_docs: int = 200
     reach: int = 6
-    #: least upper fences in thousandths: fences never fall below these
-    least: tuple[int, int, int, int] = (12_000, 100, 500, 450)
+    #: documents that a language weighs in its groups' quartiles, and all documents in the language's
+    prior: int = 50
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -80,16 +84,16 @@ def _thousandths() -> dict[str, Column]:
 
 
 def sketch_cell(v: Column) -> Column:
-    """Cell of a whole number >= 0: exact below 32, then 16 cells to each power of two."""
-    bits = F.length(F.bin(v))
-    drop = F.greatest(bits - 5, F.lit(0))
-    return (drop * 64 + F.call_function("shiftright", v, drop).cast("int")).cast("int")
+    """Cell of a whole number >= 0: exact below 128, then 64 cells to each power of two."""
+    drop = F.greatest(F.length(F.bin(v)) - 7, F.lit(0))
+    return (drop * 256 + F.call_function("shiftright", v, drop).cast("int")).cast("int")
 
 
-def cell_floor(cell: Column) -> Column:
-    """Least value of a cell."""
-    drop = F.floor(cell / 64).cast("int")
-    return F.call_function("shiftleft", (cell - drop * 64).cast("long"), drop)
+def cell_bounds(cell: Column) -> tuple[Column, Column]:
+    """Least and greatest value of a cell."""
+    drop = F.floor(cell / 256).cast("int")
+    low = (cell - drop * 256).cast("long")
+    return F.call_function("shiftleft", low, drop), F.call_function("shiftleft", low + 1, drop) - 1
 
 
 def quantile_sketches(scored: DataFrame) -> DataFrame:
@@ -104,25 +108,24 @@ def _quartiles(cells: DataFrame, keys: list[str]) -> DataFrame:
     by = W.partitionBy(*keys, "metric")
     run = F.sum("n").over(by.orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
     counted = merged.select(*keys, "metric", "cell", run.alias("run"), F.sum("n").over(by).alias("docs"))
-    at = lambda q: cell_floor(F.min(F.when(F.col("run") * 4 >= F.col("docs") * q, F.col("cell"))))
-    return counted.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("docs") * q, F.col("cell")))
+    return counted.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), cell_bounds(at(1))[0].alias("q1"), cell_bounds(at(3))[1].alias("q3"))
 
 
 def adaptive_fences(scored: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per (lang, source) with an upper fence per metric and a lower fence of the word length."""
     cells = quantile_sketches(scored)
+    named = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
     groups = _quartiles(cells, ["lang", "source"])
-    langs = _quartiles(cells, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("metric").alias("l_metric"), F.struct("docs", "q1", "q3").alias("l"))
-    every = _quartiles(cells.withColumn("all", F.lit(1)), ["all"]).select(F.col("metric").alias("e_metric"), F.struct("docs", "q1", "q3").alias("e"))
-    joined = groups.join(langs, groups["lang"].eqNullSafe(langs["l_lang"]) & (groups["metric"] == langs["l_metric"])).join(every, F.col("metric") == F.col("e_metric"))
-    use = F.when(F.col("docs") >= config.min_docs, F.struct("docs", "q1", "q3")).when(F.col("l.docs") >= config.min_docs, F.col("l")).otherwise(F.col("e"))
-    q = joined.select("lang", "source", "metric", use.alias("q"))
-    spread = F.col("q.q3") - F.col("q.q1")
-    out = []
-    for name, least in zip(METRICS, config.least, strict=True):
-        out.append(F.max(F.when(F.col("metric") == name, F.greatest(F.lit(least).cast("long"), F.col("q.q3") + spread * config.reach))).alias(f"max_{name}"))
-    low = F.max(F.when(F.col("metric") == "word_len", F.least(F.lit(2000).cast("long"), F.col("q.q1") - spread * config.reach))).alias("min_word_len")
-    return q.groupBy("lang", "source").agg(*out, low)
+    langs = named(_quartiles(cells, ["lang"]), "l")
+    every = named(_quartiles(cells.withColumn("all", F.lit(1)), ["all"]), "e")
+    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(every, F.col("metric") == F.col("e_metric"))
+    drawn = lambda n, q, parent: F.expr(f"({n} * {q} + {config.prior} * {parent}) div ({n} + {config.prior})")
+    for q in ("q1", "q3"):
+        joined = joined.withColumn(f"l_{q}", drawn("l_docs", f"l_{q}", f"e_{q}")).withColumn(q, drawn("docs", q, f"l_{q}"))
+    spread = (F.col("q3") - F.col("q1")) * config.reach
+    tops = [F.max(F.when(F.col("metric") == name, F.col("q3") + spread)).alias(f"max_{name}") for name in METRICS]
+    return joined.groupBy("lang", "source").agg(*tops, F.max(F.when(F.col("metric") == "word_len", F.col("q1") - spread)).alias("min_word_len"))
 
 
 def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig(), with_text: bool = True) -> DataFrame:
@@ -139,11 +142,10 @@ def score_quality(docs: DataFrame, config: QualityConfig = QualityConfig(), with
     fences = adaptive_fences(scored.where(~F.col("base_failed")).select("lang", "source", *METRICS), config)
     fences = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     held = scored.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    over = F.lit(False)
-    for name in METRICS:
-        over = over | F.coalesce(F.col(name) > F.col(f"max_{name}"), F.lit(False))
-    over = over | F.coalesce(F.col("word_len") < F.col("min_word_len"), F.lit(False))
-    return held.withColumn("kept", ~F.col("base_failed") & ~over)
+    over = (F.col("word_len") > F.col("max_word_len")) | (F.col("word_len") < F.col("min_word_len"))
+    for name, (count, of, spare) in COUNTED.items():
+        over = over | (F.col(count) * 1000 > F.col(f"max_{name}") * F.col(of) + spare * 1000)
+    return held.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:

@@ -66,9 +66,30 @@ def test_quality(spark, odd, none):
 
 
 def test_quality_fences_follow_the_group(spark):
-    rows = [(i, prose(100, i) + " #" * (0 if i < 290 else 200), "en", "s") for i in range(300)]
+    """Two groups with unlike texts get unlike fences: what is common in one is rejected in the other."""
+    r = random.Random(6)
+
+    def text(words, symbols):
+        w = [prose(1, r.random())[:4] * words for _ in range(100)]
+        for _ in range(symbols):
+            w.insert(r.randrange(len(w)), "|")
+        return " ".join(w)
+
+    rows = [(i, text(1, r.randint(0, 2)), "en", "plain") for i in range(300)] + [(1000 + i, text(2, r.randint(20, 60)), "en", "tables") for i in range(300)]
+    rows += [(500, text(1, 200), "en", "plain"), (501, text(4, 0), "en", "plain"), (1500, text(2, 70), "en", "tables"), (1501, text(2, 900), "en", "tables"), (2000, text(2, 40), "en", "tables")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert sorted(r.doc_id for r in quality.keep_good(df).collect()) == list(range(290))
+    kept = {r.doc_id for r in quality.keep_good(df).collect()}
+    assert {1500, 2000} <= kept and not {500, 501, 1501} & kept
+    assert len(kept) > 0.97 * len(rows)
+    # whole numbers in, whole numbers out: quartiles of all are within a cell of the true ones
+    cells = spark.range(2000).selectExpr("id * id as v").select("v", quality.sketch_cell(quality.F.col("v")).alias("c")).select("v", *quality.cell_bounds(quality.F.col("c"))).toDF("v", "low", "high").collect()
+    assert all(x.low <= x.v <= x.high <= max(x.low, x.low * 65 // 64) for x in cells)
+
+
+def test_quality_keeps_equal_documents(spark):
+    for n in (1, 3, 400):
+        df = spark.createDataFrame([(i, prose(120, 2), "en", "s") for i in range(n)], "doc_id long, text string, lang string, source string")
+        assert quality.keep_good(df).count() == n
 
 
 def test_mixing(spark, odd, none):
