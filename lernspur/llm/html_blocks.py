@@ -13,18 +13,22 @@ whose labels are known because the generator places them (``train_pages`` of
 them, a fixed number that does not depend on the corpus); its few thousand
 weights are broadcast. Every page of the input is read whole.
 
-Scripts, styles, templates, form controls, comments in the markup and the head
+Scripts, styles, templates, form controls, comments in the markup and the title
 never become blocks. Inline tags and <br> are white space or nothing inside a
-block. Missing end tags close where the parent closes; a paragraph, list item
-or cell also closes where the next one begins.
+block, and so are formulas and drawings, whose text stays. Missing end tags close
+where the parent closes; a paragraph, list item or cell also closes where the
+next one begins. Markup is read in one pass, in time linear in the page.
 
 Defined results: a null or empty page, and one without article blocks, has the
-empty text; markup that never closes runs to the end of the page; repeated rows
-get equal texts; an empty table gives an empty result.
+empty text; a comment or script that never closes runs to the end of the page,
+and a "<" that no ">" follows is text; repeated rows get equal texts; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import html
 import random
 import re
@@ -54,17 +58,84 @@ class BlockConfig:
         return self.path_size + self.word_size + 8
 
 
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|option|button|object|canvas|audio|video"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page, up to their end tag; the second kind only where there is one.
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+RAW_IF_CLOSED = frozenset("annotation annotation-xml desc metadata".split())
+#: Elements whose text is left out with everything inside them.
+SKIPPED = frozenset("template select option optgroup datalist button object canvas audio video".split())
+TAG = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|(?P<odd>[a-z/!?]))", re.I)
+NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+TAG_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base col embed hr input link meta param source track".split())
+HEAD = frozenset("head base link meta".split())
 #: What a start tag closes when it is still open in the same parent.
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: How many of the innermost open elements describe a block.
+DEEPEST = 48
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, stop, tag, whether an end tag, attributes) of every piece of markup, in one pass; no tag for comments.
+
+    A raw element is one piece with its content. A ``<`` that no ``>`` follows is text; quotes that never close do not count.
+    """
+    at, last, quotes, unclosed = 0, page.rfind(">"), True, set()
+    while m := TAG.search(page, at):
+        start, tag, end, rest = m.start(), m["tag"], bool(m["end"]), m["rest"] or ""
+        stop = m.end()
+        if tag is None:
+            named = NAME.match(page, start)
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 2) + 3
+                stop = stop if stop > 2 else len(page)
+            elif named is None:
+                close = page.find("]]>", start) if page.startswith("<![CDATA[", start) and "]]>" not in unclosed else -1
+                if close < 0:
+                    unclosed.add("]]>")
+                stop = close + 3 if close >= 0 else (page.find(">", start) + 1 or len(page))
+            elif start > last:
+                at = start + 1
+                continue
+            else:
+                stop = named.end()
+                while quotes:
+                    q = TAG_END.search(page, stop)
+                    if q is None:
+                        quotes = False  # from here on no tag ends outside quotes: they are no quotes
+                        break
+                    stop = q.end()
+                    if q[0] == ">":
+                        break
+                    close = page.find(q[0], stop) if q[0] not in unclosed else -1
+                    if close < 0:
+                        unclosed.add(q[0])
+                    stop = close + 1 or stop
+                if not quotes:
+                    stop = page.index(">", named.end()) + 1
+                end, tag, rest = bool(named[1]), named[2], page[named.end() : stop - 1]
+            if tag is None:
+                yield start, stop, "", False, ""
+                at = stop
+                continue
+        tag = tag.lower()
+        if not end and (tag in RAW or (tag in RAW_IF_CLOSED and tag not in unclosed)):
+            close = _end_of(tag).search(page, stop)
+            if close:
+                stop = page.find(">", close.end() - 1) + 1 or len(page)
+            elif tag in RAW:
+                stop = len(page)
+            else:
+                unclosed.add(tag)
+        yield start, stop, tag, end, rest
+        at = stop
+
+
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?:[\s/>]|\Z)", re.I)
 
 
 def _element(tag: str, rest: str) -> tuple[str, ...]:
@@ -76,11 +147,13 @@ def _element(tag: str, rest: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, ...], ...]]]:
-    """(text, characters inside links, open elements) of every leaf block with text, in page order."""
+    """(text, characters inside links, innermost open elements) of every leaf block with text, in page order."""
     out: list[tuple[str, int, tuple[tuple[str, ...], ...]]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_tags: collections.Counter[str] = collections.Counter()
     parts: list[str] = []
-    linked, in_link, in_head, at = 0, False, False, 0
+    linked, in_link, at = 0, False, 0
+    skipped = foreign = 0  # depth at which a left-out element stands; open math and svg elements
 
     def flush() -> None:
         nonlocal linked
@@ -88,43 +161,64 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, ...], ...]]]
             text = "".join(parts)
             parts.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
-            if text and not in_head:
-                out.append((text, min(linked, len(text)), tuple(e for _, e in stack)))
+            if text:
+                out.append((text, min(linked, len(text)), tuple(e for _, e in stack[-DEEPEST:])))
         linked = 0
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def close(depth: int) -> None:
+        for tag, _ in stack[depth:]:
+            open_tags[tag] -= 1
+        del stack[depth:]
+
+    for start, stop, tag, end, rest in markup(page):
+        if start > at and not skipped:
+            parts.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
+                linked += start - at
+        at = stop
+        if not tag or tag in RAW or tag in RAW_IF_CLOSED:
+            continue
+        if tag in ("math", "svg"):
+            foreign = max(0, foreign + (-1 if end else not rest.endswith("/")))
             continue
-        tag, end = tag.lower(), m["end"]
-        if tag in INLINE:
+        if foreign and tag in ENDS_P:
+            foreign = 0
+        if tag in INLINE or foreign:
             if tag == "a":
                 in_link = not end
-            elif tag in ("br", "img", "wbr"):
+            elif tag in ("br", "img", "wbr") and not skipped:
                 parts.append(" ")
             continue
-        flush()
-        if tag == "head":
-            in_head = not end
-        elif tag == "body":
-            in_head = False
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    in_link = False
-                    break
-        elif tag not in VOID:
-            closes = CLOSES.get(tag, frozenset())
-            while stack and (stack[-1][0] in closes or (stack[-1][0] == "p" and tag in ENDS_P)):
-                stack.pop()
-            stack.append((tag, _element(tag, m["rest"])))
-    if at < len(page):
+            if not open_tags[tag]:
+                if not skipped and tag not in SKIPPED:
+                    flush()
+                continue
+            depth = len(stack) - 1
+            while stack[depth][0] != tag:
+                depth -= 1
+            if skipped and depth + 1 > skipped:
+                close(depth)
+            elif skipped and depth + 1 == skipped:
+                close(depth)
+                skipped = 0
+            else:
+                flush()
+                close(depth)
+                skipped, in_link = 0, False
+            continue
+        if not skipped and tag not in SKIPPED:
+            flush()
+        if tag in VOID:
+            continue
+        closes = CLOSES.get(tag, frozenset())
+        while stack and len(stack) > skipped and (stack[-1][0] in closes or (stack[-1][0] == "p" and tag in ENDS_P) or (stack[-1][0] == "head" and tag not in HEAD)):
+            close(len(stack) - 1)
+        stack.append((tag, _element(tag, rest)))
+        open_tags[tag] += 1
+        if not skipped and tag in SKIPPED:
+            skipped = len(stack)
+    if at < len(page) and not skipped:
         parts.append(page[at:])
     flush()
     return out
@@ -325,8 +419,9 @@ def generated_page(rng: random.Random) -> str:
     return "<html><head><title>x</title></head><body>" + "".join(body) + rng.choice(["</body></html>", ""])
 
 
+@functools.cache
 def train(config: BlockConfig = BlockConfig()) -> list[np.ndarray]:
-    """Weights fitted to generated pages; the same configuration gives the same weights."""
+    """Weights fitted to generated pages, once a session; the same configuration gives the same weights."""
     rng = random.Random(config.seed)
     blocks, starts, truth = [], [0], []
     for _ in range(config.train_pages):

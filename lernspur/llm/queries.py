@@ -32,7 +32,8 @@ def op4_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    records = warc.derivatives(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    return records.withColumn("record_length", F.length(warc.record_bytes()).cast("long"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """WARC derivative builder: metadata and plain-text conversion records of response records.
 
 Every response gives two records that refer to it. The ``metadata`` record
-(application/warc-fields) lists title, language, character counts, outgoing
-links and the source's digests; the ``conversion`` record (text/plain) holds the
+(application/warc-fields) lists title, language, sizes, outgoing links and the
+source's headers and digests; the ``conversion`` record (text/plain) holds the
 text of the page. Both carry WARC-Refers-To with the response's record id, its
-target URI and date, and their own block digest; the response's own headers and
-digests are kept with them. Record ids are name-based: building twice gives the
-same ids.
+target URI and date, and their own block digest. What the source says of itself
+is carried unchanged: record id, date, headers, block and payload digest; only
+what it lacks is made here (an id from its content, the digest of its payload).
+Record ids are name-based: building twice gives the same ids.
+
+``read_responses`` reads response records from WARC files (plain or gzip, one
+member a record or one for all); ``record_bytes`` writes records in WARC/1.1.
 
 Defined results: a null or empty payload gives an empty conversion block with
-the digest of nothing; a response without target URI or date leaves those
-headers out; a response without a record id gets one from its content; repeated
-responses give repeated records; an empty table gives an empty result.
+the digest of nothing; a response without target URI or date leaves the headers
+that refer to it out, and its derivatives are dated ``undated``; line ends in
+header values are percent-encoded; repeated responses give repeated records; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,18 +27,20 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lernspur.llm.html_blocks import leaf_blocks
+from lernspur.llm.html_blocks import leaf_blocks, markup
 
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-COLUMNS = ("record_id", "record_type", "refers_to", "target_uri", "date", "content_type", "content_length", "block_digest", "source_payload_digest", "source_headers", "block")
+LANG = re.compile(r"(?:^|\s)lang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+HREF = re.compile(r"(?:^|[\s\"'/])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.I)
+RESPONSE = ("record_id", "target_uri", "date", "headers", "block_digest", "payload_digest", "payload")
+COLUMNS = ("record_id", "record_type", "refers_to", "target_uri", "source_date", "date", "content_type", "content_length", "block_digest", "source_block_digest", "source_payload_digest", "source_headers", "block")
 
 
 def digest(data: bytes) -> str:
@@ -45,35 +52,68 @@ def record_id(*parts: object) -> str:
 
 
 def responses_from_pages(pages: DataFrame) -> DataFrame:
-    """Response records (page_id, record_id, target_uri, date, headers, payload) of fetched pages; capture dates are not known here."""
-    headers = F.map_from_arrays(F.array(F.lit("Content-Type"), F.lit("X-Page-Id")), F.array(F.lit("text/html; charset=utf-8"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    return pages.select("page_id", F.lit(None).cast("string").alias("record_id"), F.col("url").alias("target_uri"), F.lit(None).cast("string").alias("date"), F.to_json(headers).alias("headers"), F.col("html").alias("payload"))
+    """Response records of a table of pages, which knows their address and text only."""
+    nothing = F.lit(None).cast("string")
+    headers = F.to_json(F.map_from_arrays(F.array(F.lit("WARC-Target-URI")), F.array("url")))
+    return pages.select("page_id", nothing.alias("record_id"), F.col("url").alias("target_uri"), nothing.alias("date"), F.when(F.col("url").isNotNull(), headers).alias("headers"), nothing.alias("block_digest"), nothing.alias("payload_digest"), F.encode("html", "utf-8").alias("payload"))
+
+
+def decoded(payload: bytes, headers: str | None) -> str:
+    """A payload as text: in the charset of its headers, or of its first kilobyte, or UTF-8; bytes that are none are replaced."""
+    found = CHARSET.search((headers or "").encode()) or CHARSET.search(payload[:1024])
+    try:
+        return payload.decode(found[1].decode() if found else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def described(page: str) -> list[tuple[str, str]]:
+    """(name, value) of title, language and outgoing links of a page, in page order."""
+    out, titled, spoken = [], False, False
+    for start, stop, tag, end, rest in markup(page):
+        if end:
+            continue
+        if tag == "title" and not titled:
+            inner = page[start:stop]
+            inner = inner[inner.find(">") + 1 :]
+            cut = inner.lower().rfind("</title")
+            out.append(("title", " ".join(html.unescape(inner if cut < 0 else inner[:cut]).split())))
+            titled = True
+        elif tag == "html" and not spoken:
+            found = LANG.search(rest)
+            if found:
+                out.append(("language", found[1]))
+                spoken = True
+        elif tag == "a":
+            found = HREF.search(rest)
+            if found:
+                out.append(("outlink", " ".join(html.unescape(found[1] or found[2] or found[3] or "").split())))
+    return out
 
 
-def derive(source_id: str | None, uri: str | None, date: str | None, headers: str | None, payload: str | None) -> list[tuple]:
+def derive(source_id: str | None, uri: str | None, date: str | None, headers: str | None, block_digest: str | None, payload_digest: str | None, payload: bytes | None, undated: str) -> list[tuple]:
     """The metadata and the conversion record of one response, as tuples of COLUMNS."""
-    page = payload or ""
-    raw = page.encode()
-    source_digest = digest(raw)
-    source_id = source_id or record_id("response", uri, source_digest)
+    raw = payload or b""
+    payload_digest = payload_digest or digest(raw)
+    source_id = source_id or record_id("response", uri, digest(raw))
+    page = decoded(raw, headers)
     text = "\n".join(t for t, _, _ in leaf_blocks(page))
-    title, lang = TITLE.search(page), LANG.search(page)
-    fields = [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("language", lang[1])] if lang else []
-    fields += [("source-length", str(len(raw))), ("text-characters", str(len(text))), ("source-payload-digest", source_digest)]
-    fields += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in LINK.findall(page)]
-    described = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    fields = [*described(page), ("source-length", str(len(raw))), ("text-characters", str(len(text)))]
+    fields += [("source-block-digest", block_digest)] if block_digest else []
+    fields += [("source-payload-digest", payload_digest)]
+    fields += [("source-header", f"{k}: {v}") for k, v in json.loads(headers or "{}").items()]
+    lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
     out = []
-    for kind, content, block in (("metadata", "application/warc-fields", described), ("conversion", "text/plain; charset=utf-8", text)):
-        data = block.encode()
-        out.append((record_id(kind, source_id), kind, source_id, uri, date, content, len(data), digest(data), source_digest, headers, block))
+    for kind, content, block in (("metadata", "application/warc-fields", lines), ("conversion", "text/plain; charset=utf-8", text)):
+        data = block.encode("utf-8", "replace")
+        out.append((record_id(kind, source_id), kind, source_id, uri, date, date or undated, content, len(data), digest(data), block_digest, payload_digest, headers, data.decode()))
     return out
 
 
-def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
+def derivatives(responses: DataFrame, key: str = "page_id", undated: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Two derived records for every response, with the column ``key`` of the response."""
-    wanted = responses.select(key, "record_id", "target_uri", "date", "headers", "payload")
-    types = ["string"] * 6 + ["long"] + ["string"] * 4
+    wanted = responses.select(key, *RESPONSE)
+    types = ["long" if c == "content_length" else "string" for c in COLUMNS]
     schema = wanted.select(key).schema
     for name, kind in zip(COLUMNS, types, strict=True):
         schema = schema.add(name, kind)
@@ -82,7 +122,7 @@ def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [derive(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "headers", "payload")), strict=True)]
+                rows = [derive(*r, undated) for r in zip(*(batch.column(c).to_pylist() for c in RESPONSE), strict=True)]
                 flat = list(zip(*(r for pair in rows for r in pair), strict=True))
                 keys = batch.column(key).take(pa.array([i for i in range(batch.num_rows) for _ in range(2)]))
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(flat, types, strict=True))], names=schema.fieldNames())
@@ -90,8 +130,65 @@ def derivatives(responses: DataFrame, key: str = "page_id") -> DataFrame:
     return wanted.mapInArrow(build, schema)
 
 
-def record_text(records: DataFrame) -> DataFrame:
-    """Adds ``record``: the whole record in WARC/1.1 form, header lines, blank line, block and two line ends."""
-    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c).cast("string"), F.lit("\r\n"))).otherwise(F.lit(""))
-    names = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Date": "date", "WARC-Refers-To-Date": "date", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
-    return records.withColumn("record", F.concat(F.lit("WARC/1.1\r\n"), *[line(n, c) for n, c in names.items()], F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")))
+def record_bytes() -> Column:
+    """The whole record of a row of COLUMNS in WARC/1.1: header lines, blank line, block and two line ends."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "\r", "%0D"), "\n", "%0A")
+    line = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}: "), safe(c), F.lit("\r\n"))).otherwise(F.lit(""))
+    names = {"WARC-Type": "record_type", "WARC-Record-ID": "record_id", "WARC-Date": "date", "WARC-Refers-To": "refers_to", "WARC-Target-URI": "target_uri", "WARC-Refers-To-Target-URI": "target_uri", "WARC-Refers-To-Date": "source_date", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
+    return F.encode(F.concat(F.lit("WARC/1.1\r\n"), *[line(n, c) for n, c in names.items()], F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")), "utf-8")
+
+
+def inflated(data: bytes) -> bytes:
+    """A file's bytes; gzip members are unpacked one after another."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out)
+
+
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of a WARC file; a cut-off last record is left out."""
+    at = 0
+    while (start := data.find(b"WARC/", at)) >= 0:
+        stop = data.find(b"\r\n\r\n", start)
+        if stop < 0:
+            return
+        lines = data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0))
+        at = stop + 4 + size
+        if at > len(data):
+            return
+        yield headers, data[stop + 4 : at]
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """Response records of WARC files: file, RESPONSE columns; ``headers`` holds the HTTP and WARC headers as JSON. A file is read by one task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = []
+                for own, block in parse_records(inflated(content.as_py())):
+                    said = {k.lower(): v for k, v in own.items()}
+                    if said.get("warc-type") != "response":
+                        continue
+                    head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+                    http = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
+                    rows.append((file, said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), json.dumps({**http, **own}), said.get("warc-block-digest"), said.get("warc-payload-digest"), payload))
+                    if len(rows) == 256:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=["file", *RESPONSE])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(read, "file string, " + ", ".join(f"{c} {'binary' if c == 'payload' else 'string'}" for c in RESPONSE))

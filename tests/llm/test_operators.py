@@ -410,7 +410,7 @@ def test_warc(spark):
     for r in got:
         assert r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
         assert r.refers_to == next(x for x in got if x.page_id == r.page_id).refers_to
-    texts = {r.record_type: r.record for r in warc.record_text(warc.derivatives(warc.responses_from_pages(pages)).where("page_id = 1")).collect()}
+    texts = {r.record_type: bytes(r.record).decode() for r in warc.derivatives(warc.responses_from_pages(pages)).where("page_id = 1").withColumn("record", warc.record_bytes()).collect()}
     assert texts["conversion"].startswith("WARC/1.1\r\nWARC-Type: conversion\r\n") and f"WARC-Refers-To: {one['conversion'].refers_to}" in texts["conversion"]
     assert warc.derivatives(warc.responses_from_pages(pages.limit(0))).count() == 0
 
