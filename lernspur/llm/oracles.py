@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lernspur.llm.licenses import KNOWN, SPELLINGS
+from lernspur.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS, WHOLE_TEXTS
 from lernspur.llm.mixing import MixConfig
 from lernspur.llm.quality import COUNTED, METRICS, QualityConfig
 
@@ -95,19 +95,25 @@ def quality_sql(config: QualityConfig = QualityConfig()) -> str:
 
 
 def license_sql() -> str:
+    """Word lists and a map of spellings, where the query replaces inside the text."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    single = [(a, b) for a, b in SPELLINGS if " " not in a]
+    spelled = f"MAP {{{', '.join(f'{quoted(a)}: {quoted(b)}' for a, b in single)}}}"
+
     def form(text: str) -> str:
-        out = rf"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$', '', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-        out = f"(' ' || {out} || ' ')"
+        words = rf"string_split_regex(regexp_replace(lower(coalesce({text}, '')), {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g'), '[^\p{{L}}\p{{N}}]+')"
+        out = f"' ' || array_to_string(list_transform(list_filter({words}, lambda w: w <> ''), lambda w: coalesce({spelled}[w], w)), '  ') || ' '"
         for said, meant in SPELLINGS:
-            out = f"replace({out}, ' {said} ', ' {meant} ')"
-        return f"trim({out})"
+            if " " in said:
+                out = f"replace({out}, ' {said.replace(' ', '  ')} ', ' {meant.replace(' ', '  ')} ')"
+        return f"trim(replace({out}, '  ', ' '))"
 
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    whole = ", ".join(f"({quoted(h)}, {quoted(i)})" for i, h in WHOLE_TEXTS)
     return f"""
     WITH known AS (
-        SELECT sha256(form) AS h, min(license_id) AS license_id
-        FROM (SELECT license_id, {form('body')} AS form FROM (VALUES {rows}) AS v(license_id, body)) GROUP BY 1)
+        SELECT h, min(license_id) AS license_id
+        FROM (SELECT sha256({form('body')}) AS h, license_id FROM (VALUES {rows}) AS v(license_id, body) UNION ALL SELECT * FROM (VALUES {whole}) AS w(h, license_id)) GROUP BY 1)
     SELECT doc_id, canonical_sha256, license_id
     FROM (SELECT doc_id, sha256({form('text')}) AS canonical_sha256 FROM documents) d LEFT JOIN known ON d.canonical_sha256 = known.h"""
 

@@ -370,6 +370,55 @@ def test_licenses(spark, none):
     assert licenses.match_licenses(none, licenses.known_licenses(spark)).count() == 0
 
 
+ISC_PUBLISHED = """Copyright (c) 4-digit year, Company or Person's Name
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_licenses_wrapped_respelled_and_with_holders(spark):
+    """Every known text matches at every line width, in capitals, respelled, and under copyright lines; SQL agrees on all of them."""
+    import textwrap
+
+    import duckdb
+
+    from lernspur.llm.oracles import license_sql
+
+    rows, want = [], []
+    for name, text in licenses.KNOWN:
+        forms = ["\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n")) for width in (20, 43, 72, 100)]
+        forms += ["Copyright (c) 2001-2020 Some Holder\n  * Copyright 2020 <b@c.d>\n© Another\r\nAll rights reserved.\n\n" + text, text.upper(), text.replace("license", "licence").replace("License", "Licence"), text.replace("holder", "owner"), "// " + text.replace("\n", "\n// ")]
+        for f in forms:
+            rows.append((len(rows), f, "x", "y"))
+            want.append(name)
+    rows.append((len(rows), ISC_PUBLISHED, "x", "y"))
+    want.append("ISC")
+    others = ["licence licence licence", "copyright", "Copyright notice only", "(c) You must retain", None, "", "MIT " * 200_000, "licence\u2028copyright 2020\u2028x"]
+    rows += [(len(rows) + i, t, "x", "y") for i, t in enumerate(others)]
+    want += [None] * len(others)
+    df = spark.createDataFrame(rows, "doc_id long, text string, license_id string, known_sha256 string")
+    got = licenses.match_licenses(df, licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license_id for r in got] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert con.execute(license_sql() + " ORDER BY doc_id").fetchall() == [(r.doc_id, r.canonical_sha256, r.license_id) for r in got]
+    plain = spark.createDataFrame([("licence licence licence",)], "t string").select(licenses.canonical(licenses.F.col("t"))).first()[0]
+    assert plain == "license license license"
+    tied = licenses.match_licenses(spark.createDataFrame([(1, "same words")], "doc_id long, text string"), licenses.known_licenses(spark, (("Z-1", "Same words."), ("A-1", "same WORDS")))).collect()
+    assert [r.license_id for r in tied] == ["A-1"]
+
+
 def test_license_scan_finds_lines_passages_and_full_texts(spark, none):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT" and t.startswith("Permission"))
     body = "start here " + "words of a long licence text\ncopyright holders may wrap\n" * 300 + "end"
