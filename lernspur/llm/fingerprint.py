@@ -82,6 +82,10 @@ def likeness(a: Column, b: Column, config: FingerprintConfig = FingerprintConfig
     return F.when((a == "") | (b == ""), (a == b).cast("double")).when(a == b, F.lit(1.0)).otherwise(fair)
 
 
+#: Rows of a key range: ranges grow in number with the rows, up to a plan's reasonable length, and in size beyond it.
+ROWS_PER_RANGE = 20_000
+
+
 def with_next(docs: DataFrame, key: str, carry: list[str], blocks: int | None = None) -> DataFrame:
     """Adds struct ``next`` with the ``carry`` columns of the next row by ``key``, the first row after the last.
 
@@ -89,8 +93,8 @@ def with_next(docs: DataFrame, key: str, carry: list[str], blocks: int | None =
     range are also sent to the range before it, so that no range needs another
     and no task holds more than one range.
     """
-    n = blocks or 2 * shuffle_partitions(docs.sparkSession)
-    at = docs.agg(F.percentile_approx(key, [i / n for i in range(n)], 10_000).alias("q")).first()["q"]
+    n = blocks or max(2 * shuffle_partitions(docs.sparkSession), min(20_000, docs.count() // ROWS_PER_RANGE + 1))
+    at = docs.agg(F.percentile_approx(key, [i / n for i in range(n)], max(10_000, 4 * n)).alias("q")).first()["q"]
     bounds = sorted(set(at or []))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     inner = F.array(*[F.lit(b) for b in bounds[1:]]) if len(bounds) > 1 else F.array().cast("array<bigint>")

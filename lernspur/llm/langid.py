@@ -5,10 +5,19 @@ labelled text, whole, and adds the counts up by (language, bucket). The model
 is a matrix of log-probabilities, buckets x languages, whose size depends on
 the number of languages alone; it is broadcast. Scoring works on Arrow batches:
 all texts of a batch become one array of code points, its grams one array of
-buckets, and the sums of each text's rows of the matrix are its log-likelihoods.
+buckets (a sparse matrix in row form, with the buckets of each text one after the
+other), and its product with the broadcast matrix gives each text's log-likelihoods.
+
+The score is the posterior of the predicted language times how typical the text
+is of it: posteriors of long texts saturate, whatever they are written in. The
+model knows the mean log-probability of its own grams; a text whose grams are
+less likely than that by d nats a gram is exp(-d) typical, one whose grams are
+as likely or more is 1. A text in a language that was never learned has a low
+score, although some learned language must come nearest.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
-so is every text if there is nothing to learn from. Rows with a null language
+so is every text if there is nothing to learn from. More languages than
+``most_languages`` are an error, since the model would outgrow the driver. Rows with a null language
 or a null text teach nothing. Equal texts get equal predictions; ties go to the
 language that sorts first. An empty table gives an empty result.
 """
@@ -37,6 +46,7 @@ class LangConfig:
     bucket_bits: int = 15
     smoothing: float = 0.5
     max_chars: int = 3
+    most_languages: int = 1000
 
 
 @dataclass(frozen=True)
@@ -94,8 +104,11 @@ def train(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
 
     usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.lower("text").alias("text"), "lang")
     counts = usable.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most languages x buckets rows
+    # one row more than the bound allows tells that it is passed
+    found = counts.limit(config.most_languages * ((1 << config.bucket_bits) + 1) + 1).toPandas()
     languages = sorted(found["lang"].unique())
+    if len(languages) > config.most_languages:
+        raise ValueError(f"more than {config.most_languages} languages to learn")
     if not languages:
         return LangModel()
     column = found["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy()
@@ -109,8 +122,8 @@ def train(labelled: DataFrame, config: LangConfig = LangConfig()) -> LangModel:
 
 
 def log_likelihoods(points: np.ndarray, bounds: np.ndarray, model: LangModel, config: LangConfig) -> np.ndarray:
-    """(texts, languages) sums of log-probabilities."""
-    out = np.tile(model.prior, (len(bounds) - 1, 1))
+    """(texts, languages) sums of log-probabilities of their grams."""
+    out = np.zeros((len(bounds) - 1, len(model.languages)))
     columns = [np.ascontiguousarray(model.weights[:, j]) for j in range(len(model.languages))]
     for bucket, inside in gram_buckets(points, bounds, config):
         for j, column in enumerate(columns):
@@ -119,8 +132,25 @@ def log_likelihoods(points: np.ndarray, bounds: np.ndarray, model: LangModel, co
     return out
 
 
+def own_means(model: LangModel) -> np.ndarray:
+    """Mean log-probability of each language's grams under its own model (the negative entropy)."""
+    weights = model.weights.astype(np.float64)
+    return (np.exp(weights) * weights).sum(axis=0)
+
+
+def judge(sums: np.ndarray, chars: np.ndarray, model: LangModel, usual: np.ndarray, config: LangConfig) -> tuple[np.ndarray, np.ndarray]:
+    """The best language (the number of languages where a text is empty) and the score of each text."""
+    likely = sums + model.prior
+    best = likely.argmax(axis=1)
+    odds = np.exp(likely - likely.max(axis=1, keepdims=True))
+    grams = sum(np.maximum(chars - n, 0) for n in range(config.max_chars))
+    typical = np.exp(np.minimum(0.0, sums[np.arange(len(best)), best] / np.maximum(grams, 1) - usual[best]))
+    empty = chars == 0
+    return np.where(empty, len(model.languages), best), np.where(empty, 0.0, odds.max(axis=1) / odds.sum(axis=1) * typical)
+
+
 def predict(docs: DataFrame, model: LangModel, config: LangConfig = LangConfig(), row: str = "row") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (posterior of the predicted language, 0 to 1) to rows with columns ``text`` and ``row``."""
+    """Adds ``lang_pred`` and ``score`` (posterior of the predicted language times how typical the text is of it, 0 to 1) to rows with columns ``text`` and ``row``."""
     if not model.languages:
         return docs.drop("text").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.prior))
@@ -128,14 +158,11 @@ def predict(docs: DataFrame, model: LangModel, config: LangConfig = LangConfig()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LangModel(*shared.value)
-        names = np.array([*known.languages, UNKNOWN])
+        names, usual = np.array([*known.languages, UNKNOWN]), own_means(known)
         for batch in (whole.slice(a, b - a) for whole in batches for a, b in text_groups(whole.column("__letters"), AT_A_TIME)):
             points, bounds = code_points(batch.column("__letters"))
-            likely = log_likelihoods(points, bounds, known, config)
-            empty = np.diff(bounds) == 0
-            best = np.where(empty, len(known.languages), likely.argmax(axis=1))
-            odds = np.exp(likely - likely.max(axis=1, keepdims=True))
-            sure = np.where(empty, 0.0, odds.max(axis=1) / odds.sum(axis=1))
+            sums = log_likelihoods(points, bounds, known, config)
+            best, sure = judge(sums, np.diff(bounds), known, usual, config)
             rest = [batch.column(c) for c in batch.schema.names if c != "__letters"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best].tolist(), pa.string()), pa.array(sure)], names=schema.fieldNames())
 
@@ -156,6 +183,6 @@ def identify(docs: DataFrame, config: LangConfig = LangConfig(), with_text: bool
     return scored
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.5, config: LangConfig = LangConfig()) -> DataFrame:
+def keep_known(docs: DataFrame, min_score: float = 0.3, config: LangConfig = LangConfig()) -> DataFrame:
     """The documents whose language is known with a score of at least ``min_score``, with their own columns."""
     return identify(docs, config).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

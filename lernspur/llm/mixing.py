@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lernspur.llm.common import WORD, materialize, words
+from lernspur.llm.common import WHITE, WORD, materialize
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -105,15 +105,22 @@ def mix(docs: DataFrame, config: MixConfig = MixConfig(), with_text: bool = True
     return placed.select("row", "size", "source_size", "target", epochs.cast("int").alias("epochs"), part.alias("part"), (epochs * F.col("size") + part).cast("long").alias("taken"))
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word, unchanged; it must have more than n words."""
+    led = F.regexp_like(text, F.lit(f"^{WHITE}")).cast("int")
+    rest = F.element_at(F.split(text, WHITE, n + 1 + led), -1)
+    return F.regexp_replace(F.substr(text, F.lit(1), F.char_length(text) - F.char_length(rest)), f"{WHITE}$", "")
+
+
 def take_mix(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The mixed documents with their own columns, once for every time the mix takes them.
 
-    The last copy of a border document has its first ``part`` words, joined by single spaces.
+    The last copy of a border document is its text up to its ``part``-th word, with its white space as it is.
     """
     taken = mix(docs, config).where("taken > 0")
     whole = F.col("epochs") + (F.col("part") == F.col("size")).cast("int")
     cut = (F.col("part") > 0) & (F.col("part") < F.col("size"))
     copies = F.sequence(F.lit(1), whole + cut.cast("int"))
     each = taken.select("row", "part", whole.alias("whole"), F.explode(copies).alias("copy"))
-    text = F.when(F.col("copy") > F.col("whole"), F.array_join(F.slice(words(F.col("row.text")), 1, F.col("part").cast("int")), " ")).otherwise(F.col("row.text"))
+    text = F.when(F.col("copy") > F.col("whole"), first_words(F.col("row.text"), F.col("part").cast("int"))).otherwise(F.col("row.text"))
     return each.select(F.col("row").withField("text", text).alias("row")).select("row.*")

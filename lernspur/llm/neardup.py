@@ -268,12 +268,12 @@ def shared_shingles(hashed: DataFrame, nodes: DataFrame, config: NearDupConfig)
     return totals.join(owned, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the least node of its component."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
+    while True:
         # every node offers its root to its neighbours, and to the root it had before
         offered = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "root")
         best = offered.union(labels).groupBy("node").agg(F.min("root").alias("best"))
@@ -287,7 +287,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfig()) -> DataFrame:

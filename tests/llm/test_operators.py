@@ -397,7 +397,7 @@ def test_licenses_wrapped_respelled_and_with_holders(spark):
     rows, want = [], []
     for name, text in licenses.KNOWN:
         forms = ["\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n")) for width in (20, 43, 72, 100)]
-        forms += ["Copyright (c) 2001-2020 Some Holder\n  * Copyright 2020 <b@c.d>\n© Another\r\nAll rights reserved.\n\n" + text, text.upper(), text.replace("license", "licence").replace("License", "Licence"), text.replace("holder", "owner"), "// " + text.replace("\n", "\n// ")]
+        forms += ["Copyright (c) 2001-2020 Some Holder\n  * Copyright 2020 <b@c.d>\n© Another\r\nAll rights reserved.\n\n" + text, text.upper(), re.sub(r"\b([Ll])icense", r"\1icence", text), text.replace("holder", "owner"), "// " + text.replace("\n", "\n// ")]
         for f in forms:
             rows.append((len(rows), f, "x", "y"))
             want.append(name)
