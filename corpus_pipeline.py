@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model knows with a score of at least 1/2."""
+    """Documents whose language the model knows with a score of at least 0.3, which texts in a language never learned do not reach."""
     return langid.keep_known(docs)
 
 
