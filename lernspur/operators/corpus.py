@@ -47,9 +47,14 @@ def dedup_prefer(df: DataFrame, key: str, final: Column, order: str) -> DataFram
     return best.select(F.when(F.col("__f"), F.col("__a")).otherwise(F.col("__b")).alias("__r")).select("__r.*")
 
 
-def split_signers_per_sign(df: DataFrame, sign: str, signer: str, train: float = 0.70, val: float = 0.15, seed: str = "42") -> DataFrame:
-    """Signers of each sign, whole, into train, val or test by greedy fill in seeded order."""
-    signers = df.groupBy(sign, signer).agg(F.count("*").alias("n"))
+def named_signers(df: DataFrame, signer: str, key: str) -> DataFrame:
+    """Rows without a signer as signers of their own, named after the row."""
+    return df.withColumn(signer, F.coalesce(F.col(signer), F.concat(F.lit("_anon_"), F.col(key).cast("string"))))
+
+
+def split_signers_per_sign(df: DataFrame, sign: str, signer: str, key: str, train: float = 0.70, val: float = 0.15, seed: str = "42") -> DataFrame:
+    """Signers of each sign, whole, into train, val or test by greedy fill in seeded order; a row without a signer is one of its own."""
+    signers = named_signers(df, signer, key).groupBy(sign, signer).agg(F.count("*").alias("n"))
     order = W.partitionBy(sign).orderBy(seeded(F.col(signer), seed), signer)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("n").over(W.partitionBy(sign))
@@ -60,9 +65,9 @@ def split_signers_per_sign(df: DataFrame, sign: str, signer: str, train: float =
     return first.withColumn("split", F.when(F.col("is_train"), "train").when(is_val, "val").otherwise("test")).select(sign, signer, "n", "split")
 
 
-def split_signers(df: DataFrame, signer: str, fraction: float = 0.2, seed: str = "42") -> DataFrame:
-    """Whole signers: val is the first max(1, round(n * fraction)) in seeded order."""
-    ranked = hash_rank(df.select(signer).distinct(), [], signer, seed)
+def split_signers(df: DataFrame, signer: str, key: str, fraction: float = 0.2, seed: str = "42") -> DataFrame:
+    """Whole signers: val is the first max(1, round(n * fraction)) in seeded order; a row without a signer is one of its own."""
+    ranked = hash_rank(named_signers(df, signer, key).select(signer).distinct(), [], signer, seed)
     n_val = F.greatest(F.lit(1), F.bround(F.col("group_size") * fraction))
     return ranked.select(signer, F.when(F.col("rank") <= n_val, "val").otherwise("train").alias("split"))
 
@@ -186,17 +191,26 @@ def attach_signer(rows: DataFrame, manifest: DataFrame, key: str, signer: str, s
 
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: str = "42") -> DataFrame:
-    """n draws with replacement by weight: draw i takes the row whose share of the total weight covers its uniform number."""
-    runs = df.select(key, weight.cast("double").alias("__w")).withColumn("__s", F.substring(seeded(F.col(key), seed), 1, 2))
+    """n draws with replacement by weight: draw i takes the row whose share of the total weight covers its uniform number.
+
+    Rows stand in slices by hash and by key inside them. Draws are put among the rows of their slice at their place in
+    the running weight, and each takes the row before it; rows without weight are never drawn.
+    """
+    runs = df.select(key, weight.cast("double").alias("__w")).where("__w > 0").withColumn("__s", F.substring(seeded(F.col(key), seed), 1, 2))
     per = runs.groupBy("__s").agg(F.sum("__w").alias("__n"))
-    per = per.select("__s", F.coalesce(F.sum("__n").over(W.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__shift"), "__n", F.sum("__n").over(W.partitionBy(F.lit(0))).alias("__total"))
+    everything = W.partitionBy(F.lit(0))
+    per = per.select("__s", F.coalesce(F.sum("__n").over(everything.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__shift"), "__n", F.sum("__n").over(everything).alias("__total"))
     digits = F.conv(F.substring(seeded(F.col("draw"), seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("__u", digits)
-    sliced = draws.join(F.broadcast(per), (F.col("__u") * F.col("__total") >= F.col("__shift")) & (F.col("__u") * F.col("__total") < F.col("__shift") + F.col("__n")))
-    inside = W.partitionBy("__s").orderBy(key)
-    spans = runs.withColumn("__to", F.sum("__w").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    at = F.col("__u") * F.col("__total") - F.col("__shift")
-    return sliced.join(spans, "__s").where((at >= F.col("__to") - F.col("__w")) & (at < F.col("__to"))).select("draw", key)
+    # at most 256 slices, so a list of their bounds finds each draw's
+    bounds = per.agg(F.array_sort(F.collect_list(F.struct("__shift", "__n", "__total", "__s"))).alias("__b"))
+    placed = draws.crossJoin(bounds).withColumn("__at", F.col("__u") * F.get("__b", F.lit(0))["__total"])
+    mine = F.element_at(F.filter("__b", lambda b: b["__shift"] <= F.col("__at")), -1)
+    asked = placed.where(F.size("__b") > 0).select(F.lit(None).cast(df.schema[key].dataType).alias(key), "draw", mine["__s"].alias("__s"), (F.col("__at") - mine["__shift"]).alias("__p"))
+    start = F.sum("__w").over(W.partitionBy("__s").orderBy(key).rowsBetween(W.unboundedPreceding, 0)) - F.col("__w")
+    rows = runs.select(key, F.lit(None).cast("long").alias("draw"), "__s", start.alias("__p"))
+    order = W.partitionBy("__s").orderBy("__p", F.col("draw").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    return rows.unionByName(asked).withColumn("__k", F.last(key, ignorenulls=True).over(order)).where("draw IS NOT NULL").select("draw", F.col("__k").alias(key))
 
 
 def category_order(items: DataFrame, category: str, rank: str, last: str | None = None) -> DataFrame:

@@ -39,12 +39,19 @@ def mirror(traj: Column, permutation: list[int], signs: list[float]) -> Column:
 
 
 def body_mirror(width: int = 100) -> tuple[list[int], list[float]]:
-    """Permutation and signs that swap the two hand slots and negate x, for the 100-wide layout (hands 0:42 and 42:84, pose 84:100)."""
-    if width != 100:
+    """Permutation and signs that swap the two hands and negate x, for hands of 21 points and a pose of 8 points.
+
+    Width 100 has the points alone, 108 four more values a hand (location and orientation, x and y), 356 an embedding
+    of 128 values a hand, which changes place but not sign.
+    """
+    extra = {100: 0, 108: 4, 356: 128}
+    if width not in extra:
         raise ValueError(f"no mirror for width {width}")
+    slot = 42 + extra[width]
+    hand = [-1.0 if i % 2 == 0 and i < (46 if width == 108 else 42) else 1.0 for i in range(slot)]
     pose = [0, 1, 3, 2, 5, 4, 7, 6]  # left and right change places
-    order = [*range(42, 84), *range(42), *(84 + 2 * p + c for p in pose for c in (0, 1))]
-    return order, [-1.0 if i % 2 == 0 else 1.0 for i in range(100)]
+    order = [*range(slot, 2 * slot), *range(slot), *(2 * slot + 2 * p + c for p in pose for c in (0, 1))]
+    return order, [*hand, *hand, *[-1.0, 1.0] * 8]
 
 
 def resample(df: DataFrame, steps: int) -> DataFrame:
@@ -115,37 +122,62 @@ def medoid(df: DataFrame) -> DataFrame:
     return sums.groupBy("sign").agg(F.min_by("clip", F.struct("total", "clip")).alias("clip"), F.min("total").alias("total"))
 
 
+def template_arrays(templates: DataFrame) -> DataFrame:
+    """One row per sign, with mean and var as arrays over time of arrays of features, from one row per (sign, t, f)."""
+    rows = templates.groupBy("sign", "t").agg(F.array_sort(F.collect_list(F.struct("f", "mean", "var"))).alias("r"))
+    steps = rows.groupBy("sign").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("s"))
+    return steps.select("sign", F.transform("s", lambda x: F.transform(x["r"], lambda y: y["mean"])).alias("mean"), F.transform("s", lambda x: F.transform(x["r"], lambda y: y["var"])).alias("var"))
+
+
+def mask_other_hand(templates: DataFrame, flags: DataFrame, first: int = 42, last: int = 83) -> DataFrame:
+    """Templates of one-handed signs without the features of the second hand, which then do not count in scores. ``flags`` has sign and one_handed."""
+    known = templates.join(flags.select("sign", "one_handed"), "sign", "left")
+    masked = F.transform("mean", lambda row: F.transform(row, lambda v, f: F.when(~f.between(first, last), v)))
+    return known.withColumn("mean", F.when(F.col("one_handed"), masked).otherwise(F.col("mean"))).drop("one_handed")
+
+
 def gaussian_scores(df: DataFrame, templates: DataFrame) -> DataFrame:
-    """Mean of squared deviation over variance of every clip against every template; templates hold one row per (sign, t, f)."""
-    x = long_form(df).where("v IS NOT NULL").select("clip", F.col("sign").alias("label"), "t", "f", "v")
-    z = x.join(templates.select("sign", "t", "f", "mean", "var").where("mean IS NOT NULL"), ["t", "f"])
-    return z.groupBy("clip", "label", "sign").agg(F.avg((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean")) / F.col("var")).alias("score"))
+    """Mean of squared deviation over variance of every clip against every template, in the clip's own row; ``templates`` is one row per sign (template_arrays)."""
+    each = templates.select("sign", F.flatten("mean").alias("m"), F.flatten("var").alias("s"))
+    met = df.select("clip", F.col("sign").alias("label"), F.flatten("traj").alias("x")).crossJoin(each)
+    z = F.zip_with(F.zip_with("x", "m", lambda x, m: (x - m) * (x - m)), "s", lambda d, v: d / v)
+    seen = met.select("clip", "label", "sign", F.explode(F.array(F.filter(z, lambda v: v.isNotNull()))).alias("z")).where(F.size("z") > 0)
+    return seen.select("clip", "label", "sign", (F.aggregate("z", F.lit(0.0), lambda s, v: s + v) / F.size("z")).alias("score"))
 
 
-def dtw_scores(df: DataFrame, templates: DataFrame, radius: int = 8) -> DataFrame:
+def dtw_scores(df: DataFrame, templates: DataFrame, radius: int = 8, at_a_time: int = 256) -> DataFrame:
     """Banded dynamic time warping of every clip against every template (sign, mean, var as arrays), over 2T.
 
-    A cell is the mean squared deviation over the template step's variance; a cell without values costs 1e9.
+    A cell is the mean squared deviation over the template step's variance; a cell without values costs 1e9. Pairs of
+    one shape are warped together: the recursion runs over cells, each cell over all pairs.
     """
 
+    def warp(x: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+        d = (x[:, :, None, :] - m[:, None]) ** 2 / s[:, None]
+        n = (~np.isnan(d)).sum(axis=3)
+        cost = np.where(n > 0, np.nansum(d, axis=3) / np.maximum(n, 1), 1e9)
+        rows, columns = cost.shape[1:]
+        acc = np.full((rows + 1, columns + 1, len(x)), np.inf)
+        acc[0, 0] = 0.0
+        for i in range(rows):
+            for j in range(max(0, i - radius), min(columns, i + radius + 1)):
+                acc[i + 1, j + 1] = cost[:, i, j] + np.minimum(np.minimum(acc[i, j + 1], acc[i + 1, j]), acc[i, j])
+        return acc[-1, -1] / (2 * columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = lambda v: np.array([[np.nan if y is None else y for y in row] for row in v], dtype=np.float64)
         for batch in batches:
+            x, m, s = (batch.column(c).to_pylist() for c in ("traj", "mean", "var"))
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for r in range(batch.num_rows):
+                shapes.setdefault((len(x[r]), len(m[r])), []).append(r)
             out = np.empty(batch.num_rows)
-            for r, (x, m, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("traj", "mean", "var")), strict=True)):
-                x, m, s = dense(x), dense(m), dense(s)
-                d = (x[:, None, :] - m[None]) ** 2 / s[None]
-                n = (~np.isnan(d)).sum(axis=2)
-                cost = np.where(n > 0, np.nansum(d, axis=2) / np.maximum(n, 1), 1e9)
-                acc = np.full((len(x) + 1, len(m) + 1), np.inf)
-                acc[0, 0] = 0.0
-                for i in range(1, len(x) + 1):
-                    for j in range(max(1, i - radius), min(len(m), i + radius) + 1):
-                        acc[i, j] = cost[i - 1, j - 1] + min(acc[i - 1, j], acc[i, j - 1], acc[i - 1, j - 1])
-                out[r] = acc[-1, -1] / (2 * len(m))
+            for rows in shapes.values():
+                for at in range(0, len(rows), at_a_time):
+                    some = rows[at : at + at_a_time]
+                    out[some] = warp(*(np.array([v[r] for r in some], dtype=np.float64) for v in (x, m, s)))
             yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("label"), batch.column("sign"), pa.array(out)], names=["clip", "label", "sign", "score"])
 
-    pairs = df.select("clip", F.col("sign").alias("label"), "traj").join(F.broadcast(templates.select("sign", "mean", "var")))
+    pairs = df.select("clip", F.col("sign").alias("label"), "traj").crossJoin(templates.select("sign", "mean", "var"))
     return pairs.mapInArrow(run, "clip long, label long, sign long, score double")
 
 
@@ -237,9 +269,9 @@ def trim_fraction(traj: Column, start: float, stop: float, least: int = 3) -> Co
 
 
 def nearest_clip_scores(df: DataFrame, references: DataFrame, variance: float = 0.05) -> DataFrame:
-    """Least mean squared distance over a fixed variance of every clip to the reference clips of each sign. References are few and broadcast."""
+    """Least mean squared distance over a fixed variance of every clip to the reference clips of each sign. For few references; nearest_in_blocks takes any number."""
     refs = references.select(F.col("sign").alias("ref_sign"), F.col("clip").alias("ref"), F.col("traj").alias("ref_traj"))
-    pairs = df.join(F.broadcast(refs), F.col("clip") != F.col("ref"))
+    pairs = df.join(refs, F.col("clip") != F.col("ref"))
     return pairs.groupBy("clip", "sign", "ref_sign").agg(F.min(clip_distance(F.col("traj"), F.col("ref_traj")) / variance).alias("score"))
 
 

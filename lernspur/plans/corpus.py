@@ -36,11 +36,6 @@ def quota(s, d):
 
 
 def present(s, d):
-    c = clips(s, d)
-    return C.present_classes(c.where("clip_id % 20 = 0"), c.where("clip_id % 20 = 1"), c.where("signer <> 'src3'"), "signer")
-
-
-def present_by_split(s, d):
     c = C.split_clips_per_sign(clips(s, d).select("clip_id", "sign", "signer"), "sign", "clip_id")
     return C.present_classes(c.where("split = 'train'"), c.where("split = 'val'"), clips(s, d).where("signer <> 'src3'"), "signer")
 
@@ -52,7 +47,7 @@ def leaks(s, d):
 
 def signers_by_split(s, d):
     c = clips(s, d).select("clip_id", "signer")
-    return C.signer_counts(c.join(C.split_signers(c, "signer"), "signer"), "signer")
+    return C.signer_counts(c.join(C.split_signers(c, "signer", "clip_id"), "signer"), "signer")
 
 
 def lessons(s, d):
@@ -86,11 +81,12 @@ def text_parts(s, d):
 
 
 def embeds(s, d):
-    return table(s, d, "pages").select("page_id", F.array_join(T.embed_ids(F.concat(F.col("html"), F.lit(" embed/abcdefghij"), F.pmod("page_id", F.lit(10)).cast("string"), F.lit(" embed/abcdefghij0"))), ",").alias("ids"))
+    """Links of a page stand in for embeds: the first 11 letters of their last part."""
+    return table(s, d, "pages").select("page_id", F.array_join(T.embed_ids(F.regexp_replace("html", r"href=[\"']?/?([a-z]+)/", "embed/$1_____________/")), ",").alias("ids"))
 
 
 def drawn(s, d):
-    return C.weighted_sample(clips(s, d).select("clip_id", "n_chars"), "clip_id", F.col("n_chars"), 500).groupBy("draw").agg(F.count("*").alias("rows")).where("rows <> 1")
+    return C.weighted_sample(clips(s, d).select("clip_id", "n_chars"), "clip_id", F.col("n_chars"), 500)
 
 
 H = "md5('42|' || CAST({0} AS VARCHAR))"
@@ -105,12 +101,12 @@ QUERIES = {
     "skip_reasons": (lambda s, d: C.skip_reasons(clips(s, d), {"short": F.col("n_chars") < 300, "one-signer": F.col("signer") == "src1", "long": F.col("n_chars") > 9000}), f"WITH {CLIPS} SELECT CASE WHEN n_chars < 300 THEN 'short' WHEN signer = 'src1' THEN 'one-signer' WHEN n_chars > 9000 THEN 'long' END AS reason, count(*) AS n FROM clips GROUP BY 1 HAVING reason IS NOT NULL"),
     "dedup_within": (lambda s, d: C.dedup_within(clips(s, d), F.coalesce("signer", F.concat(F.lit("_anon_"), F.col("clip_id").cast("string"))), "hash", "clip_id"), f"WITH {CLIPS} SELECT * FROM clips QUALIFY row_number() OVER (PARTITION BY coalesce(signer, '_anon_' || clip_id), hash ORDER BY clip_id) = 1"),
     "dedup_prefer": (repeated_ids, "SELECT l_partkey, l_returnflag, l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS pos FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END, CASE WHEN l_returnflag = 'A' THEN l_orderkey * 10 + l_linenumber ELSE -(l_orderkey * 10 + l_linenumber) END) = 1"),
-    "split_signers_per_sign": (lambda s, d: C.split_signers_per_sign(clips(s, d), "sign", "signer"), f"""WITH {CLIPS}, g AS (SELECT sign, signer, count(*) AS n FROM clips GROUP BY 1, 2),
+    "split_signers_per_sign": (lambda s, d: C.split_signers_per_sign(clips(s, d), "sign", "signer", "clip_id"), f"""WITH {CLIPS}, g AS (SELECT sign, signer, count(*) AS n FROM clips GROUP BY 1, 2),
         b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY sign ORDER BY {H.format('signer')}, signer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY sign) AS total FROM g),
         t AS (SELECT *, before < greatest(1, floor(total * 0.7::DOUBLE)) AS tr FROM b),
         u AS (SELECT *, sum(CASE WHEN tr THEN n ELSE 0 END) OVER (PARTITION BY sign) AS in_train FROM t)
         SELECT sign, signer, n, CASE WHEN tr THEN 'train' WHEN before - in_train < greatest(1, floor(total * 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM u"""),
-    "split_signers": (lambda s, d: C.split_signers(clips(s, d), "signer"), f"WITH {CLIPS} SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, round_even(count(*) OVER () * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)"),
+    "split_signers": (lambda s, d: C.split_signers(clips(s, d), "signer", "clip_id"), f"WITH {CLIPS} SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, round_even(count(*) OVER () * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)"),
     "split_clips_per_sign": (lambda s, d: C.split_clips_per_sign(clips(s, d).select("clip_id", "sign", "signer"), "sign", "clip_id"), f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT * FROM split"),
     "split_items": (lambda s, d: C.split_items(table(s, d, "orders").select("o_orderkey"), "o_orderkey"), f"SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {H.format('o_orderkey')}) <= greatest(1, floor(count(*) OVER () * 0.05::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM orders"),
     "split_per_source": (lambda s, d: C.split_items(clips(s, d).select("clip_id", "signer"), "clip_id", 0.03, 8, groups=["signer"]), f"WITH {CLIPS} SELECT clip_id, signer, CASE WHEN row_number() OVER (PARTITION BY signer ORDER BY {H.format('clip_id')}) <= greatest(8, floor(count(*) OVER (PARTITION BY signer) * 0.03::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM clips"),
@@ -123,8 +119,8 @@ QUERIES = {
     "quota_select": (quota, f"WITH {CLIPS}, h AS (SELECT signer, count(*) AS have FROM clips WHERE clip_id % 10 = 0 GROUP BY 1) SELECT clip_id, signer FROM clips LEFT JOIN h USING (signer) QUALIFY row_number() OVER (PARTITION BY signer ORDER BY clip_id) <= greatest(0, 20 - coalesce(have, 0))"),
     "thin_signs": (lambda s, d: C.thin_groups(_counts(s, d).select("pair", "n"), _vocab(s, d), "pair", 15), f"WITH {PAIRS}, v AS (SELECT pair, count(*) AS n FROM pairs GROUP BY 1 UNION ALL SELECT 'xx:none', 0) SELECT pair, n, 15 - n AS need FROM v WHERE n < 15"),
     "missing_signs": (lambda s, d: C.missing(_vocab(s, d), _pairs(s, d).where("n_chars > 2000"), "pair"), f"WITH {PAIRS}, v AS (SELECT DISTINCT pair FROM pairs UNION ALL SELECT 'xx:none') SELECT pair FROM v WHERE pair NOT IN (SELECT pair FROM pairs WHERE n_chars > 2000)"),
-    "present_classes": (present, f"WITH {CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM clips WHERE clip_id % 20 IN (0, 1) AND signer <> 'src3')"),
-    "present_classes_all": (present_by_split, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM split WHERE signer <> 'src3')"),
+    "present_classes": (present, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM split WHERE signer <> 'src3')"),
+    "present_classes_all": (present, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, row_number() OVER (ORDER BY signer) - 1 AS index FROM (SELECT DISTINCT signer FROM split WHERE signer <> 'src3')"),
     "split_leaks": (leaks, f"WITH {CLIPS}, {SPLIT_CLIPS} SELECT signer, count(DISTINCT split) AS splits FROM split GROUP BY 1 HAVING splits > 1"),
     "signer_counts": (signers_by_split, f"WITH {CLIPS}, v AS (SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, round_even(count(*) OVER () * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)) SELECT split, count(DISTINCT signer) AS signers, count(*) AS clips FROM clips JOIN v USING (signer) GROUP BY 1"),
     "class_range": (lambda s, d: C.class_range(_pairs(s, d), "pair"), f"WITH {PAIRS}, n AS (SELECT count(*) AS n FROM pairs GROUP BY pair) SELECT min(n) AS least, list_sort(list(n))[count(*) // 2 + 1] AS middle, max(n) AS most FROM n"),
@@ -134,8 +130,11 @@ QUERIES = {
     "resolve_gloss": (glosses, "WITH p AS (SELECT p_partkey, p_type || ' ' || upper(p_name) AS gloss, trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9]+', '_', 'g'), '_') AS g, p_size FROM part), v AS (SELECT DISTINCT g AS slug FROM p WHERE p_size < 10), a AS (SELECT * FROM (VALUES ('economy_small_ring', 'ring'), ('large_bolt', 'bolt')) t(alias, s)) SELECT p_partkey, gloss, coalesce(slug, s) AS resolved FROM p LEFT JOIN v ON g = slug LEFT JOIN a ON g = alias"),
     "text_parts": (text_parts, r"""WITH p AS (SELECT page_id, url, split_part(url, '?', 1) AS path FROM pages), b AS (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM p)
         SELECT page_id, base, lower(regexp_extract(base, '\.([^.]+)$', 1)) AS ext, CASE WHEN starts_with(url, 'https://') THEN 's://' || substr(url, 9) ELSE url END AS swapped, replace(lower(url), '-', '_') AS slug, regexp_replace(lower(url), '[^a-z]', '', 'g') AS norm, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS direct, nullif(lower(regexp_extract(base, '\.([^.]+)$', 1)), '') AS ext_or_null FROM b"""),
-    "embed_ids": (embeds, r"SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'abcdefghij0' ELSE 'abcdefghij' || page_id % 10 || ',abcdefghij0' END AS ids FROM pages"),
-    "weighted_sample_misses": (drawn, "SELECT CAST(0 AS BIGINT) AS draw, CAST(0 AS BIGINT) AS rows WHERE false"),
+    "embed_ids": (embeds, r"""WITH p AS (SELECT page_id, regexp_replace(html, 'href=["'']?/?([a-z]+)/', 'embed/\1_____________/', 'g') AS html FROM pages), f AS (SELECT page_id, regexp_extract_all(html, '(?:embed/|watch\?v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1) AS l FROM p)
+        SELECT page_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x)))[1:3], lambda i: l[i]), ',') AS ids FROM f"""),
+    "weighted_sample": (drawn, f"""WITH {CLIPS}, r AS (SELECT clip_id, n_chars::DOUBLE AS w, substr({H.format('clip_id')}, 1, 2) AS s FROM clips WHERE n_chars > 0), p AS (SELECT clip_id, sum(w) OVER (ORDER BY s, clip_id) AS hi, w, sum(w) OVER () AS total FROM r),
+        d AS (SELECT draw, CAST('0x' || substr({H.format('draw')}, 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u FROM range(500) g(draw)) SELECT draw, clip_id FROM d JOIN p ON u * total >= hi - w AND u * total < hi"""),
+    "weighted_sample_misses": (lambda s, d: drawn(s, d).groupBy("draw").agg(F.count("*").alias("rows")), "SELECT range AS draw, 1 AS rows FROM range(500)"),
     "category_order": (lambda s, d: C.category_order(table(s, d, "part").select("p_type", "p_size"), "p_type", "p_size", "ECONOMY"), "WITH p AS (SELECT p_type, avg(p_size) AS mean_rank, count(*) AS n FROM part GROUP BY 1) SELECT *, row_number() OVER (ORDER BY CAST(p_type = 'ECONOMY' AS INTEGER), mean_rank NULLS LAST, p_type) AS position FROM p"),
     "top_groups": (lambda s, d: C.top_groups(_pairs(s, d), "pair", 10, "clip_id").select("clip_id", "pair"), f"WITH {PAIRS} SELECT clip_id, pair FROM pairs WHERE pair IN (SELECT pair FROM pairs GROUP BY 1 ORDER BY count(*) DESC, min(clip_id) LIMIT 10)"),
     "split_groups": (lambda s, d: C.split_groups(clips(s, d).select("clip_id", "signer"), "signer", 0.3), f"WITH {CLIPS}, v AS (SELECT signer, CASE WHEN row_number() OVER (ORDER BY {H.format('signer')}) <= greatest(1, floor(count(*) OVER () * 0.3::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT signer FROM clips)) SELECT clip_id, signer, split FROM clips JOIN v USING (signer)"),

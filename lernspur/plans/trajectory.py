@@ -16,12 +16,6 @@ def trajs(s, d):
 
 
 def series(s, d):
-    e = table(s, d, "events").where("user_id % 5 = 0")
-    return e.select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
-
-
-def every(s, d):
-    """The series of all users; ``series`` has a fifth of them, as its SQL does."""
     return table(s, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("value")).alias("v"))
 
 
@@ -34,10 +28,12 @@ def mirrored(s, d):
 
 
 def templates(s, d):
-    g = T.fit_gaussian(trajs(s, d))
-    rows = g.groupBy("sign", "t").agg(F.array_sort(F.collect_list(F.struct("f", "mean", "var"))).alias("r"))
-    steps = rows.groupBy("sign").agg(F.array_sort(F.collect_list(F.struct("t", "r"))).alias("s"))
-    return steps.select("sign", F.transform("s", lambda x: F.transform(x["r"], lambda y: y["mean"])).alias("mean"), F.transform("s", lambda x: F.transform(x["r"], lambda y: y["var"])).alias("var"))
+    return T.template_arrays(T.fit_gaussian(trajs(s, d)))
+
+
+def one_handed_scores(s, d):
+    flags = T.motion_ratio(trajs(s, d).withColumn("traj", T.to_dense(F.col("traj"))), 4, 1.0)
+    return T.gaussian_scores(trajs(s, d), T.mask_other_hand(templates(s, d), flags, 4, 7)).withColumn("score", F.round("score", 7))
 
 
 def keyed(s, d):
@@ -48,7 +44,7 @@ def keyed(s, d):
 FLAT = "flat AS (SELECT vec_id AS clip, CAST(label AS BIGINT) AS sign, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), lng AS (SELECT clip, sign, CAST(i // 8 AS INTEGER) AS t, CAST(i % 8 AS INTEGER) AS f, CASE WHEN i % 13 <> clip % 13 THEN x END AS v FROM flat)"
 GAUSS = f"{FLAT}, gauss AS (SELECT sign, t, f, avg(v) AS mean, greatest(var_pop(v), 0.001) AS var FROM lng GROUP BY 1, 2, 3)"
 PAIRS = f"{FLAT}, pairs AS (SELECT a.sign, a.clip AS a, b.clip AS b, avg((a.v - b.v) * (a.v - b.v)) AS distance FROM lng a JOIN lng b ON a.sign = b.sign AND a.t = b.t AND a.f = b.f AND a.clip < b.clip GROUP BY 1, 2, 3)"
-SER = "ser AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events WHERE user_id % 5 = 0)"
+SER = "ser AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)"
 QUERIES = {
     "valid_trajectory": (lambda s, d: T.valid_trajectory(trajs(s, d)).select("clip"), f"WITH {FLAT} SELECT DISTINCT clip FROM lng WHERE v IS NOT NULL"),
     "to_dense": (lambda s, d: _long(trajs(s, d).withColumn("traj", T.to_dense(F.col("traj")))), f"WITH {FLAT} SELECT clip, t, f, round(coalesce(v, 0), 9) AS v FROM lng"),
@@ -62,8 +58,8 @@ QUERIES = {
     "motion_ratio": (lambda s, d: T.motion_ratio(trajs(s, d).withColumn("traj", T.to_dense(F.col("traj"))), 4).withColumn("ratio", F.round("ratio", 9)), f"WITH {FLAT}, d AS (SELECT sign, clip, f, stddev_pop(coalesce(v, 0)) AS s FROM lng GROUP BY 1, 2, 3), r AS (SELECT sign, avg(s) FILTER (WHERE f >= 4) / greatest(avg(s) FILTER (WHERE f < 4), 1e-6) AS ratio FROM d GROUP BY 1) SELECT sign, round(ratio, 9) AS ratio, ratio < 0.3::DOUBLE AS one_handed FROM r"),
     "clip_pairs": (lambda s, d: T.pairwise(trajs(s, d)).withColumn("distance", F.round("distance", 9)), f"WITH {PAIRS} SELECT sign, a, b, round(distance, 9) AS distance FROM pairs"),
     "medoid": (lambda s, d: T.medoid(trajs(s, d)).withColumn("total", F.round("total", 7)), f"WITH {PAIRS}, u AS (SELECT sign, a AS clip, distance FROM pairs UNION ALL SELECT sign, b, distance FROM pairs), t AS (SELECT sign, clip, sum(distance) AS total FROM u GROUP BY 1, 2) SELECT sign, first(clip ORDER BY total, clip) AS clip, round(min(total), 7) AS total FROM t GROUP BY 1"),
-    "gaussian_scores": (lambda s, d: T.gaussian_scores(trajs(s, d), T.fit_gaussian(trajs(s, d))).withColumn("score", F.round("score", 7)), f"WITH {GAUSS} SELECT l.clip, l.sign AS label, g.sign, round(avg((v - mean) * (v - mean) / var), 7) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3"),
-    "gaussian_predictions": (lambda s, d: T.predict(T.gaussian_scores(trajs(s, d), T.fit_gaussian(trajs(s, d)))).withColumn("confidence", F.round("confidence", 7)), f"WITH {GAUSS}, sc AS (SELECT l.clip, l.sign AS label, g.sign, avg((v - mean) * (v - mean) / var) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT clip, label, first(sign ORDER BY score, sign) AS best, round(max(exp(-score)) / sum(exp(-score)), 7) AS confidence FROM sc GROUP BY 1, 2"),
+    "gaussian_scores": (lambda s, d: T.gaussian_scores(trajs(s, d), templates(s, d)).withColumn("score", F.round("score", 7)), f"WITH {GAUSS} SELECT l.clip, l.sign AS label, g.sign, round(avg((v - mean) * (v - mean) / var), 7) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3"),
+    "gaussian_predictions": (lambda s, d: T.predict(T.gaussian_scores(trajs(s, d), templates(s, d))).withColumn("confidence", F.round("confidence", 7)), f"WITH {GAUSS}, sc AS (SELECT l.clip, l.sign AS label, g.sign, avg((v - mean) * (v - mean) / var) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT clip, label, first(sign ORDER BY score, sign) AS best, round(max(exp(-score)) / sum(exp(-score)), 7) AS confidence FROM sc GROUP BY 1, 2"),
     "dtw_scores": (lambda s, d: T.dtw_scores(trajs(s, d), templates(s, d)).withColumn("score", F.round("score", 7)), None),
     "forward_fill": (lambda s, d: T.forward_fill(series(s, d), "user_id", ["ts", "event_id"], "v").select("event_id", "filled"), f"WITH {SER} SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled FROM ser"),
     "interpolate_keys": (keyed, """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN length(text)::DOUBLE END AS v FROM conversations), b AS (SELECT c.conv_id, c.turn, max(k.turn) FILTER (WHERE k.turn <= c.turn) AS lo, min(k.turn) FILTER (WHERE k.turn >= c.turn) AS hi FROM c JOIN c k ON k.conv_id = c.conv_id AND k.v IS NOT NULL GROUP BY 1, 2)
@@ -75,18 +71,10 @@ QUERIES = {
     "match_streaks": (lambda s, d: T.streaks(series(s, d), "user_id", ["ts", "event_id"], F.coalesce(F.col("v") <= 10, F.lit(False))).select("event_id", "streak", "unlocked"), f"WITH {SER}, h AS (SELECT *, coalesce(v <= 10, false) AS hit FROM ser), i AS (SELECT *, sum(CAST(NOT hit AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS isl FROM h), k AS (SELECT *, CAST(sum(CAST(hit AS INTEGER)) OVER (PARTITION BY user_id, isl ORDER BY ts, event_id) AS BIGINT) AS streak FROM i) SELECT event_id, streak, max(streak) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 3 AS unlocked FROM k"),
     "drop_empty_steps": (lambda s, d: T.drop_empty_steps(series(s, d).withColumn("slot", F.col("event_id") % 700), "slot", F.col("v") > 60).select("event_id"), f"WITH {SER}, n AS (SELECT event_id, v, sum(CAST(v > 60 AS INTEGER)) OVER (PARTITION BY event_id % 700) AS n FROM ser) SELECT event_id FROM n WHERE v > 60 OR n < 2"),
     "trim_fraction": (lambda s, d: _long(trajs(s, d).withColumn("traj", T.trim_fraction(F.col("traj"), 0.2, 0.8))), f"WITH {FLAT} SELECT clip, CAST(t - 2 AS INTEGER) AS t, f, round(v, 9) AS v FROM lng WHERE t >= 2 AND t < 6"),
-    "nearest_clip_scores": (lambda s, d: T.nearest_clip_scores(trajs(s, d), trajs(s, d).where("clip < 40")).withColumn("score", F.round("score", 7)), f"WITH {FLAT}, p AS (SELECT a.clip, a.sign, b.sign AS ref_sign, b.clip AS ref, avg((a.v - b.v) * (a.v - b.v)) / 0.05::DOUBLE AS s FROM lng a JOIN lng b ON a.t = b.t AND a.f = b.f AND a.clip <> b.clip WHERE b.clip < 40 GROUP BY 1, 2, 3, 4) SELECT clip, sign, ref_sign, round(min(s), 7) AS score FROM p GROUP BY 1, 2, 3"),
+    "nearest_clip_scores": (lambda s, d: T.nearest_in_blocks(trajs(s, d), trajs(s, d)).withColumn("score", F.round("score", 7)), f"WITH {FLAT}, p AS (SELECT a.clip, a.sign, b.sign AS ref_sign, b.clip AS ref, avg((a.v - b.v) * (a.v - b.v)) / 0.05::DOUBLE AS s FROM lng a JOIN lng b ON a.t = b.t AND a.f = b.f AND a.clip <> b.clip GROUP BY 1, 2, 3, 4) SELECT clip, sign, ref_sign, round(min(s), 7) AS score FROM p GROUP BY 1, 2, 3"),
 }
 
-#: The queries above that read a part of the rows, over all of them.
-OVER = ("user_id", ["ts", "event_id"])
-WHOLE = {
-    "forward_fill": lambda s, d: T.forward_fill(every(s, d), *OVER, "v").select("event_id", "filled"),
-    "median3": lambda s, d: T.median3(every(s, d).where("v IS NOT NULL"), *OVER, "v").select("event_id", "smooth"),
-    "ema": lambda s, d: T.ema(every(s, d), *OVER, "v").select("event_id", F.round("smooth", 9).alias("smooth")),
-    "active_window": lambda s, d: T.active_window(every(s, d), *OVER, F.col("v") > 20).select("event_id"),
-    "match_streaks": lambda s, d: T.streaks(every(s, d), *OVER, F.coalesce(F.col("v") <= 10, F.lit(False))).select("event_id", "streak", "unlocked"),
-    "drop_empty_steps": lambda s, d: T.drop_empty_steps(every(s, d).withColumn("slot", F.col("event_id") % 700), "slot", F.col("v") > 60).select("event_id"),
-    "nearest_clip_scores": lambda s, d: T.nearest_in_blocks(trajs(s, d), trajs(s, d)).withColumn("score", F.round("score", 7)),
-}
-QUERIES |= {f"{name}_all": (query, QUERIES[name][1].replace(" WHERE user_id % 5 = 0", "").replace(" WHERE b.clip < 40", "")) for name, query in WHOLE.items()}
+#: Second names of queries over whole tables, from when the first names read a part of them.
+QUERIES |= {f"{name}_all": QUERIES[name] for name in ("forward_fill", "median3", "ema", "active_window", "match_streaks", "drop_empty_steps", "nearest_clip_scores")}
+QUERIES["one_handed_scores"] = (one_handed_scores, f"""WITH {GAUSS}, d AS (SELECT sign, clip, f, stddev_pop(coalesce(v, 0)) AS s FROM lng GROUP BY 1, 2, 3), r AS (SELECT sign, avg(s) FILTER (WHERE f >= 4) / greatest(avg(s) FILTER (WHERE f < 4), 1e-6) < 1 AS one FROM d GROUP BY 1)
+    SELECT l.clip, l.sign AS label, g.sign, round(avg((v - mean) * (v - mean) / var), 7) AS score FROM lng l JOIN gauss g USING (t, f) JOIN r ON r.sign = g.sign WHERE v IS NOT NULL AND (f < 4 OR NOT one) GROUP BY 1, 2, 3""")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import boxes, corpus, evaluation, learner, trajectory
+from lernspur.plans import boxes, corpus, evaluation, landmarks, learner, trajectory
 
-PLANS = (learner, corpus, evaluation, boxes, trajectory)
+PLANS = (learner, corpus, evaluation, boxes, trajectory, landmarks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
