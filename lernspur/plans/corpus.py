@@ -81,8 +81,8 @@ def text_parts(s, d):
 
 
 def embeds(s, d):
-    """Links of a page stand in for embeds: the first 11 letters of their last part."""
-    return table(s, d, "pages").select("page_id", F.array_join(T.embed_ids(F.regexp_replace("html", r"href=[\"']?/?([a-z]+)/", "embed/$1_____________/")), ",").alias("ids"))
+    """The words of a page stand in for embeds: those of 11 letters or more give an id."""
+    return table(s, d, "pages").select("page_id", F.array_join(T.embed_ids(F.replace("html", F.lit(" "), F.lit(" embed/"))), ",").alias("ids"))
 
 
 def drawn(s, d):
@@ -130,7 +130,7 @@ QUERIES = {
     "resolve_gloss": (glosses, "WITH p AS (SELECT p_partkey, p_type || ' ' || upper(p_name) AS gloss, trim(regexp_replace(lower(p_type || ' ' || p_name), '[^a-z0-9]+', '_', 'g'), '_') AS g, p_size FROM part), v AS (SELECT DISTINCT g AS slug FROM p WHERE p_size < 10), a AS (SELECT * FROM (VALUES ('economy_small_ring', 'ring'), ('large_bolt', 'bolt')) t(alias, s)) SELECT p_partkey, gloss, coalesce(slug, s) AS resolved FROM p LEFT JOIN v ON g = slug LEFT JOIN a ON g = alias"),
     "text_parts": (text_parts, r"""WITH p AS (SELECT page_id, url, split_part(url, '?', 1) AS path FROM pages), b AS (SELECT *, regexp_extract(path, '[^/]*$') AS base FROM p)
         SELECT page_id, base, lower(regexp_extract(base, '\.([^.]+)$', 1)) AS ext, CASE WHEN starts_with(url, 'https://') THEN 's://' || substr(url, 9) ELSE url END AS swapped, replace(lower(url), '-', '_') AS slug, regexp_replace(lower(url), '[^a-z]', '', 'g') AS norm, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') AS direct, nullif(lower(regexp_extract(base, '\.([^.]+)$', 1)), '') AS ext_or_null FROM b"""),
-    "embed_ids": (embeds, r"""WITH p AS (SELECT page_id, regexp_replace(html, 'href=["'']?/?([a-z]+)/', 'embed/\1_____________/', 'g') AS html FROM pages), f AS (SELECT page_id, regexp_extract_all(html, '(?:embed/|watch\?v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1) AS l FROM p)
+    "embed_ids": (embeds, r"""WITH p AS (SELECT page_id, replace(html, ' ', ' embed/') AS html FROM pages), f AS (SELECT page_id, regexp_extract_all(html, '(?:embed/|watch\?v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1) AS l FROM p)
         SELECT page_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda x: list_position(l, x)))[1:3], lambda i: l[i]), ',') AS ids FROM f"""),
     "weighted_sample": (drawn, f"""WITH {CLIPS}, r AS (SELECT clip_id, n_chars::DOUBLE AS w, substr({H.format('clip_id')}, 1, 2) AS s FROM clips WHERE n_chars > 0), p AS (SELECT clip_id, sum(w) OVER (ORDER BY s, clip_id) AS hi, w, sum(w) OVER () AS total FROM r),
         d AS (SELECT draw, CAST('0x' || substr({H.format('draw')}, 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE AS u FROM range(500) g(draw)) SELECT draw, clip_id FROM d JOIN p ON u * total >= hi - w AND u * total < hi"""),

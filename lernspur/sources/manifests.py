@@ -9,10 +9,12 @@ RECORD = "clip_id string, sign_id string, source string, signer_id string, split
 
 
 def read_manifest(spark: SparkSession, paths: list[str], record: str = RECORD) -> DataFrame:
-    """Records of JSON envelopes whose list is ``records``, ``clips`` or ``items``."""
+    """Records of JSON files that are a bare list, or an envelope whose list is ``records``, ``clips`` or ``items``."""
     item = f"array<struct<{', '.join(f'{n}: {t}' for n, t in (f.strip().split(' ') for f in record.split(',')))}>>"
-    raw = spark.read.schema(f"records {item}, clips {item}, items {item}").option("multiLine", True).json(paths)
-    return raw.select(F.inline(F.coalesce("records", "clips", "items")))
+    raw = spark.read.option("wholetext", True).text(paths)
+    envelope = F.from_json("value", f"struct<records: {item}, clips: {item}, items: {item}>")
+    bare = F.when(F.ltrim("value").startswith("["), F.from_json("value", item))
+    return raw.select(bare.alias("bare"), envelope.alias("e")).select(F.inline(F.coalesce("bare", "e.records", "e.clips", "e.items")))
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
