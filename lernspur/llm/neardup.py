@@ -59,6 +59,8 @@ class NearDupConfig:
     bands: int = 25
     rows: int = 5
     seed: int = 42
+    #: pairs with one text that are compared in one place
+    pairs_per_slice: int = 1000
 
     @property
     def size(self) -> int:
@@ -233,7 +235,7 @@ def word_hashes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, hashed: DataFrame, config: NearDupConfig) -> DataFrame:
-    """Adds the exact Jaccard distance of the shingle sets of each pair (a, b)."""
+    """Adds the exact Jaccard distance of the shingle sets of each pair (a, b); ``n`` is about how many pairs have the same a."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -247,9 +249,13 @@ def verify(pairs: DataFrame, hashed: DataFrame, config: NearDupConfig) -> DataFr
                 union = np.bincount(o, minlength=batch.num_rows) - shared
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1.0 - shared / np.maximum(union, 1))], names=["a", "b", "distance"])
 
-    left = hashed.select(F.col("node").alias("a"), F.col("w").alias("wa"))
+    # a text that very many meet is sent once to each slice of them, and theirs once each
+    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / config.pairs_per_slice)).cast("int")
+    met = pairs.groupBy("a").agg(F.max("n").alias("n"))
+    left = hashed.join(big(met), hashed["node"] == met["a"]).select("a", F.col("w").alias("wa"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     right = hashed.select(F.col("node").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(big(left), "a").join(big(right), "b").select("a", "b", "wa", "wb").mapInArrow(measure, "a binary, b binary, distance double")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), slices).cast("int").alias("slice"))
+    return dealt.join(big(right), "b").join(big(left), ["a", "slice"]).select("a", "b", "wa", "wb").mapInArrow(measure, "a binary, b binary, distance double")
 
 
 def shared_shingles(hashed: DataFrame, nodes: DataFrame, config: NearDupConfig) -> DataFrame:
@@ -299,9 +305,9 @@ def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfi
     # the member that meets the most others leads: the text that copies were made from, where it is there
     known = seats.groupBy("node").agg(F.sum("n").alias("met"))
     leaders = seats.join(big(known), "node").groupBy(*place).agg(F.max(F.struct("met", "node"))["node"].alias("leader"))
-    seats = materialize(seats.select(*place, "node").join(big(leaders), place), "seats")
+    seats = materialize(seats.select(*place, "node", "n").join(big(leaders), place), "seats")
     hashed = word_hashes(docs, seats.select("node"))
-    stars = materialize(seats.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    stars = materialize(seats.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "n").groupBy("a", "b").agg(F.max("n").alias("n")), "candidates")
     stars = materialize(verify(stars, hashed, config), "stars")
     allowed = 1.0 - config.threshold + 1e-12
     edges = stars.where(F.col("distance") <= allowed).select("a", "b")
@@ -337,7 +343,8 @@ def near_duplicate_classes(docs: DataFrame, config: NearDupConfig = NearDupConfi
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     if pairs.isEmpty():
         return roots
-    late = materialize(verify(pairs, hashed, config), "late").where(F.col("distance") <= allowed).select("a", "b")
+    met = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    late = materialize(verify(pairs.join(big(met), "a"), hashed, config), "late").where(F.col("distance") <= allowed).select("a", "b")
     if late.isEmpty():
         return roots
     return components(edges.union(late))
