@@ -213,9 +213,9 @@ QUERIES = {
         c AS (SELECT sign, st.clip, avg(spread) AS spread, avg(step) AS step FROM st LEFT JOIN sp ON sp.clip = st.clip AND sp.t = st.t WHERE whole GROUP BY 1, 2 HAVING count(*) >= 2), per AS (SELECT sign, avg(spread) AS spread, avg(step) AS step FROM c GROUP BY 1), va AS (SELECT sign, avg(CAST(whole AS INTEGER)) AS valid FROM st GROUP BY 1)
         SELECT sign, round(valid, 7) AS valid, round(spread, 7) AS spread, round(step, 7) AS step, round(step / spread, 7) AS ratio, coalesce(spread > 0.2 AND step / spread < 0.6 AND valid > 0.6, false) AS usable FROM va LEFT JOIN per USING (sign)"""),
     "difficulty_rank": (ranked, "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_size % 4 > 0 THEN p_size END NULLS LAST, p_brand, p_retailprice, p_type, p_name || ' ' || p_partkey) AS difficulty_rank FROM part"),
-    "gaussian_smooth": (lambda s, d: _long(dense(s, d).withColumn("traj", L.gaussian_smooth(F.col("traj")))).withColumn("v", F.round("v", 7)), f"WITH {FLAT}, {_KERNEL} SELECT l.clip, l.t, l.f, round(sum(coalesce(x.v, 0) * w), 7) AS v FROM lng l, kern JOIN lng x ON x.clip = l.clip AND x.f = l.f AND x.t = greatest(0, least(7, l.t + k)) GROUP BY 1, 2, 3"),
+    "gaussian_smooth": (lambda s, d: _long(dense(s, d).withColumn("traj", L.gaussian_smooth(F.col("traj")))), f"WITH {FLAT}, {_KERNEL} SELECT l.clip, l.t, l.f, round(sum(coalesce(x.v, 0) * w), 9) AS v FROM lng l, kern JOIN lng x ON x.clip = l.clip AND x.f = l.f AND x.t = greatest(0, least(7, l.t + k)) GROUP BY 1, 2, 3"),
     "loop_close": (lambda s, d: _long(dense(s, d).withColumn("traj", L.loop_close(F.col("traj")))), f"WITH {FLAT} SELECT l.clip, l.t, l.f, round(CASE WHEN l.t >= 2 THEN (1 - (l.t - 1) / 6.0::DOUBLE) * coalesce(l.v, 0) + (l.t - 1) / 6.0::DOUBLE * coalesce(o.v, 0) ELSE coalesce(l.v, 0) END, 9) AS v FROM lng l JOIN lng o ON o.clip = l.clip AND o.f = l.f AND o.t = 0"),
-    "unit_rows": (lambda s, d: _long(dense(s, d).withColumn("traj", L.unit_rows(F.col("traj")))).withColumn("v", F.round("v", 7)), f"WITH {FLAT}, n AS (SELECT clip, t, sqrt(sum(coalesce(v, 0) * coalesce(v, 0))) AS n FROM lng GROUP BY 1, 2) SELECT l.clip, l.t, l.f, round(CASE WHEN n > 1e-6 THEN coalesce(v, 0) / n ELSE 0 END, 7) AS v FROM lng l JOIN n USING (clip, t)"),
+    "unit_rows": (lambda s, d: _long(dense(s, d).withColumn("traj", L.unit_rows(F.col("traj")))), f"WITH {FLAT}, n AS (SELECT clip, t, sqrt(sum(coalesce(v, 0) * coalesce(v, 0))) AS n FROM lng GROUP BY 1, 2) SELECT l.clip, l.t, l.f, round(CASE WHEN n > 1e-6 THEN coalesce(v, 0) / n ELSE 0 END, 9) AS v FROM lng l JOIN n USING (clip, t)"),
     "average_hash": (hashes, "WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)) AS p FROM embeddings), b AS (SELECT vec_id, list_transform(p, lambda v: CASE WHEN v > list_sum(p) / len(p) THEN 1 ELSE 0 END) AS b FROM q) SELECT vec_id, array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', (1 + b[i * 4 + 1] * 8 + b[i * 4 + 2] * 4 + b[i * 4 + 3] * 2 + b[i * 4 + 4])::BIGINT, 1)), '') AS hash FROM b"),
     "first_seen_ids": (hits, "WITH o AS (SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber, l_orderkey, l_quantity) = 1) SELECT l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey, l_partkey) AS INTEGER) AS place FROM o WHERE l_quantity <= 30 QUALIFY place <= 5"),
     "subsample_mix": (mixed, "SELECT o_orderkey, false AS extra FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL (SELECT o_orderkey, true FROM orders WHERE o_orderpriority = '5-LOW' QUALIFY row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 300)"),
