@@ -188,8 +188,8 @@ def uncovered_confusions(confusion: DataFrame, hints: DataFrame, least: int = 2)
 
 def slice_eval(scores: DataFrame, slices: DataFrame) -> DataFrame:
     """Top-1 inside each slice of classes. ``slices`` has slice and class; rows count where label and class are both in it."""
-    candidates = scores.join(F.broadcast(slices), "class")
-    inside = candidates.join(F.broadcast(slices.withColumnRenamed("class", "label")), ["slice", "label"])
+    candidates = scores.join(slices, "class")
+    inside = candidates.join(slices.withColumnRenamed("class", "label"), ["slice", "label"])
     best = inside.groupBy("slice", "item", "label").agg(F.min_by("class", F.struct("distance", "class")).alias("pred"))
     return best.groupBy("slice").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("int")).alias("top1"))
 

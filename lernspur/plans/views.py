@@ -88,7 +88,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = mean.groupBy(F.col("label").alias("class")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
     d2 = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    return e.join(F.broadcast(means)).select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label"), F.col("class").cast("long").alias("class"), F.round(F.sqrt(d2), 6).alias("distance"))
+    return e.crossJoin(means).select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label"), F.col("class").cast("long").alias("class"), F.round(F.sqrt(d2), 6).alias("distance"))
 
 
 SCORES = """flat AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
