@@ -5,6 +5,7 @@ from __future__ import annotations
 from lernspur.llm.licenses import COPYRIGHT_LINE, KNOWN, SPELLINGS, WHOLE_TEXTS
 from lernspur.llm.mixing import MixConfig
 from lernspur.llm.quality import COUNTED, METRICS, QualityConfig
+from lernspur.llm.url_rules import RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -118,8 +119,69 @@ def license_sql() -> str:
     FROM (SELECT doc_id, sha256({form('text')}) AS canonical_sha256 FROM documents) d LEFT JOIN known ON d.canonical_sha256 = known.h"""
 
 
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a string of digits and signs, bit by bit."""
+    bits = f"list_transform(range(8 * length({text})), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr({text}, i // 8 + 1, 1))::BIGINT ELSE 0 END)"
+    step = "xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+def merkle_sql(levels: int = 9, top_levels: int = 4) -> str:
+    """The tree level by level over all nodes, for up to 8 ** levels leaves of a language; each leaf's way up is a join a level."""
+    fields = [("doc_id", "CAST(doc_id AS VARCHAR)"), ("source", "source"), ("lang", "lang"), ("n_chars", "CAST(n_chars AS VARCHAR)")]
+    code = lambda v: f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    lead = " || ".join(code(v) for _, v in fields)
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def climb(name: str, key: str, first: str, n: int) -> str:
+        out = [f"{name}0 AS ({first})"]
+        for i in range(n):
+            out.append(f"""{name}{i + 1} AS (
+        SELECT {key}, r // 8 AS r, CASE WHEN max(m) > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h, (max(m) + 7) // 8 AS m FROM {name}{i} GROUP BY {key}, r // 8)""")
+            out.append(f"""{name}s{i} AS (
+        SELECT a.{key}, a.r, CASE WHEN max(a.m) > 1 THEN coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (WHERE b.r < a.r), '') END AS before,
+               CASE WHEN max(a.m) > 1 THEN coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (WHERE b.r > a.r), '') END AS after
+        FROM {name}{i} a JOIN {name}{i} b ON a.{key} IS NOT DISTINCT FROM b.{key} AND a.r // 8 = b.r // 8 GROUP BY a.{key}, a.r)""")
+        return ",\n    ".join(out)
+
+    up = lambda was, name, at, on, keep: f"""(SELECT {keep}, w.proof || coalesce(s.before || s.after, '') AS proof, CASE WHEN s.before IS NULL THEN w.h ELSE sha256(s.before || w.h || s.after) END AS h
+        FROM {was} w JOIN {name} s ON {on} AND s.r = {at})"""
+    ways = []
+    for i in range(levels):
+        ways.append(f"w{i + 1} AS {up(f'w{i}', f'ls{i}', f'w.r // {8**i}', 'w.lang IS NOT DISTINCT FROM s.lang', 'w.doc_id, w.lang, w.r, w.leaf, w.k')}")
+    for i in range(top_levels):
+        ways.append(f"w{levels + i + 1} AS {up(f'w{levels + i}', f'ts{i}', f'w.k // {8**i}', 's.one = 1', 'w.doc_id, w.lang, w.r, w.leaf, w.k')}")
+    return f"""
+    WITH leaves AS (
+        SELECT doc_id, lang, sha256({lead} || {code('text')}) AS leaf,
+               CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({lead} || {code(lower)}) END AS tampered
+        FROM documents),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS m, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS k
+        FROM leaves),
+    {climb('l', 'lang', 'SELECT lang, r, leaf AS h, m FROM placed', levels)},
+    {climb('t', 'one', f'SELECT 1 AS one, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, h, count(*) OVER () AS m FROM l{levels}', top_levels)},
+    w0 AS (SELECT doc_id, lang, r, leaf, k, '' AS proof, coalesce(tampered, leaf) AS h FROM placed),
+    {", ".join(ways)}
+    SELECT w.doc_id, w.leaf, l{levels}.h AS subroot, t{top_levels}.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = t{top_levels}.h AS verified
+    FROM w{levels + top_levels} w JOIN l{levels} ON w.lang IS NOT DISTINCT FROM l{levels}.lang CROSS JOIN t{top_levels}"""
+
+
+def url_sql() -> str:
+    """The rules one after the other, the longest first."""
+    longest = sorted(RULES, key=lambda r: (-len(r[1].split(".")), -len(r[2])))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in longest]
+    rule, verdict = (" ".join(f"WHEN {f} THEN '{x[i]}'" for f, *x in fits) for i in (0, 1))
+    return f"""
+    SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict
+    FROM (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_source_mix": mix_sql(),
     "op3_adaptive_quality": quality_sql(),
     "op9_license_digests": license_sql(),
+    "op11_merkle_manifest": merkle_sql(),
+    "op12_url_rules": url_sql(),
 }

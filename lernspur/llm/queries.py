@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lernspur.llm import fingerprint, html_blocks, langid, licenses, mixing, neardup, packing, quality, token_files, warc
+from lernspur.llm import fingerprint, html_blocks, langid, licenses, merkle, mixing, neardup, packing, quality, token_files, url_rules, warc, whitening
 from lernspur.llm.common import table
 
 
@@ -71,6 +71,23 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "class_id", "class_docs", "class_texts")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"tampered": merkle.tampered_leaf()})
+    checked = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), url_rules.rule_table(spark))
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = white.select("row.vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), F.explode(F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")).alias("c"), "identity_error")
+    return each.select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_source_mix": op2_source_mix,
@@ -83,4 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_digests": op9_license_digests,
     "op9_license_passages": op9_license_passages,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_rules": op12_url_rules,
+    "op13_feast_whitening": op13_feast_whitening,
 }
