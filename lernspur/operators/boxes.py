@@ -85,11 +85,30 @@ def bbox_from_points(points: DataFrame, key: list[str], pad: float = 0.15, least
     return seen.select(*key, (F.col("x0") - room).alias("x0"), (F.col("y0") - room).alias("y0"), (F.col("x1") + room).alias("x1"), (F.col("y1") + room).alias("y1"))
 
 
-def body_box_from_hands(df: DataFrame, width: float, height: float) -> DataFrame:
-    """Upper-body box of each frame from its hand boxes: union, grown 1.5 hand sides sideways, 3.5 up and 0.5 down, cut to the frame."""
-    b = xywh_to_xyxy(df).groupBy("frame").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max(F.greatest("w", "h")).alias("side"))
-    grow = lambda c, k: F.col(c) + F.col("side") * k
-    return b.select("frame", F.floor(F.greatest(F.lit(0.0), grow("x0", -1.5))).alias("x0"), F.floor(F.greatest(F.lit(0.0), grow("y0", -3.5))).alias("y0"), F.floor(F.least(F.lit(width), grow("x1", 1.5))).alias("x1"), F.floor(F.least(F.lit(height), grow("y1", 0.5))).alias("y1"))
+def body_box_from_hands(df: DataFrame, width: int, height: int, pad: float = 0.2, least: float = 0.4, aspect: float = 1.6) -> DataFrame:
+    """Upper-body box of each frame from its hand boxes.
+
+    The union grows by 1.5 times the widest hand to either side, 3.5 times the highest one up and 0.5 down, then by
+    ``pad`` of its longer side all around; sides under ``least`` of the frame's shorter side grow about their middle.
+    Cut to the frame in whole pixels; a side more than ``aspect`` times the other has the other one grown, downwards
+    first, or to the left first, as far as the frame goes. Frames without a box left go.
+    """
+    b = xywh_to_xyxy(df).groupBy("frame").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("w").alias("hw"), F.max("h").alias("hh"))
+    grown = b.select("frame", (F.col("x0") - F.col("hw") * 1.5).alias("x0"), (F.col("y0") - F.col("hh") * 3.5).alias("y0"), (F.col("x1") + F.col("hw") * 1.5).alias("x1"), (F.col("y1") + F.col("hh") * 0.5).alias("y1"))
+    room = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) * pad
+    grown = grown.withColumn("room", room).select("frame", *[(F.col(c) - F.col("room")).alias(c) for c in ("x0", "y0")], *[(F.col(c) + F.col("room")).alias(c) for c in ("x1", "y1")])
+    short = F.lit(least * min(width, height))
+    for a, z in (("x0", "x1"), ("y0", "y1")):
+        middle, side = (F.col(a) + F.col(z)) / 2, F.greatest(F.col(z) - F.col(a), short)
+        thin = F.col(z) - F.col(a) < short
+        grown = grown.withColumns({a: F.when(thin, middle - side / 2).otherwise(F.col(a)), z: F.when(thin, middle + side / 2).otherwise(F.col(z))})
+    cut = grown.select("frame", *[F.greatest(F.lit(0), F.floor(c)).cast("long").alias(c) for c in ("x0", "y0")], F.least(F.lit(width), F.floor("x1")).cast("long").alias("x1"), F.least(F.lit(height), F.floor("y1")).cast("long").alias("y1"))
+    kept = cut.where("x1 > x0 AND y1 > y0").withColumn("w", F.col("x1") - F.col("x0")).withColumn("h", F.col("y1") - F.col("y0"))
+    higher = F.when(F.col("w") > F.col("h") * aspect, F.floor(F.col("w") / aspect) - F.col("h")).otherwise(F.lit(0))
+    wider = F.when(F.col("h") > F.col("w") * aspect, F.floor(F.col("h") / aspect) - F.col("w")).otherwise(F.lit(0))
+    sized = kept.withColumn("down", F.least(higher, height - F.col("y1"))).withColumn("up", F.least(higher - F.col("down"), F.col("y0")))
+    sized = sized.withColumn("left", F.least(F.floor(wider / 2), F.col("x0"))).withColumn("right", F.least(wider - F.col("left"), width - F.col("x1")))
+    return sized.select("frame", (F.col("x0") - F.col("left")).alias("x0"), (F.col("y0") - F.col("up")).alias("y0"), (F.col("x1") + F.col("right")).alias("x1"), (F.col("y1") + F.col("down")).alias("y1"))
 
 
 def temporal_consistent(df: DataFrame, tolerance: float, least: int) -> DataFrame:

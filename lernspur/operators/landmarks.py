@@ -56,9 +56,9 @@ def recall_by_source(frames: DataFrame) -> DataFrame:
 
 
 def keypoint_error(pairs: DataFrame, by: str = "source") -> DataFrame:
-    """Error over visible points, all together, and per keypoint first and then averaged. ``pairs`` has keypoint, err and vis (0 or 1)."""
+    """Error over visible points, all together (null where none is visible), and per keypoint first and then averaged. ``pairs`` has keypoint, err and vis (0 or 1)."""
     per = pairs.groupBy(by, "keypoint").agg(F.sum(F.col("err") * F.col("vis")).alias("e"), F.sum("vis").alias("n"))
-    return per.groupBy(by).agg((F.sum("e") / F.sum("n")).alias("pooled"), F.avg(F.col("e") / F.greatest(F.col("n"), F.lit(1))).alias("by_keypoint"))
+    return per.groupBy(by).agg(F.try_divide(F.sum("e"), F.sum("n")).alias("pooled"), F.avg(F.col("e") / F.greatest(F.col("n"), F.lit(1))).alias("by_keypoint"))
 
 
 def signal_noise(z: DataFrame) -> DataFrame:
@@ -122,9 +122,9 @@ def average_hash(df: DataFrame, pixels: str, into: str = "hash") -> DataFrame:
 
 
 def first_seen_ids(rows: DataFrame, sign: str, key: str, order: list[str], duration: str, most_seconds: float, n: int) -> DataFrame:
-    """The first n distinct ids of each sign over its ordered searches that are short enough."""
+    """The first n distinct ids of each sign over its ordered searches that are short enough; a missing duration is no reason to drop one."""
     once = rows.groupBy(sign, key).agg(F.min(F.struct(*order, duration)).alias("__first"))
-    short = once.where(F.col(f"__first.{duration}") <= most_seconds)
+    short = once.where(F.coalesce(F.col(f"__first.{duration}") <= most_seconds, F.lit(True)))
     place = F.row_number().over(W.partitionBy(sign).orderBy(*[f"__first.{c}" for c in order], key))
     return short.withColumn("place", place).where(F.col("place") <= n).select(sign, key, "place")
 
@@ -243,21 +243,24 @@ def crop_box(box: list[Column], width: Column, height: Column, pad: float = 0.15
 
 
 def project(xyz: Column, fx: float, fy: float, cx: float, cy: float) -> Column:
-    """Pinhole projection of points [x, y, z] to [u, v]."""
-    return F.transform(xyz, lambda p: F.array(p[0] / p[2] * fx + cx, p[1] / p[2] * fy + cy))
+    """Pinhole projection of points [x, y, z] to [u, v]; both null for a point without depth or of fewer values."""
+    ratio = lambda p, i: F.try_divide(F.get(p, F.lit(i)), F.get(p, F.lit(2)))
+    return F.transform(xyz, lambda p: F.array(ratio(p, 0) * fx + cx, ratio(p, 1) * fy + cy))
 
 
 def relative_depth(xyz: Column, root: int = 0, tip: int = 9, least: float = 1e-3) -> Column:
-    """Depth of every point from the root over the palm's length; null where the palm is shorter than ``least``."""
+    """Depth of every point from the root over the palm's length; null where the palm is shorter than ``least`` or has a point of fewer than three values."""
     a, b = F.get(xyz, F.lit(root)), F.get(xyz, F.lit(tip))
-    palm = F.sqrt(sum((b[i] - a[i]) * (b[i] - a[i]) for i in range(3)))
-    return F.when(palm >= least, F.transform(xyz, lambda p: (p[2] - a[2]) / palm))
+    at = lambda p, i: F.get(p, F.lit(i))
+    palm = F.sqrt(sum((at(b, i) - at(a, i)) * (at(b, i) - at(a, i)) for i in range(3)))
+    return F.when(palm >= least, F.transform(xyz, lambda p: (at(p, 2) - at(a, 2)) / palm))
 
 
 def body_space(points: Column, neck: int, left: int, right: int) -> Column:
     """Points from the neck, in shoulder spans of at least 1e-6."""
     a, b, o = F.get(points, F.lit(left)), F.get(points, F.lit(right)), F.get(points, F.lit(neck))
-    span = F.greatest(F.sqrt(sum((b[i] - a[i]) * (b[i] - a[i]) for i in range(3))), F.lit(1e-6))
+    at = lambda p, i: F.get(p, F.lit(i))
+    span = F.greatest(F.sqrt(sum((at(b, i) - at(a, i)) * (at(b, i) - at(a, i)) for i in range(3))), F.lit(1e-6))
     return F.transform(points, lambda p: F.zip_with(p, o, lambda x, y: (x - y) / span))
 
 

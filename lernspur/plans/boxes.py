@@ -37,7 +37,12 @@ QUERIES = {
     "largest_box": (lambda s, d: B.largest_box(boxes(s, d)), f"WITH {BOXES}, t AS (SELECT * FROM boxes WHERE score >= 0.3::DOUBLE QUALIFY row_number() OVER (PARTITION BY frame ORDER BY score DESC, box) <= 5) SELECT frame, first(box ORDER BY w * h DESC, box) AS box, max(w * h) AS area FROM t GROUP BY 1"),
     "pad_box": (lambda s, d: B.pad_box(boxes(s, d), 0.15, 100.0, 120.0), f"WITH {BOXES} SELECT frame, box, greatest(0, x0 - w * 0.15::DOUBLE) AS x0, greatest(0, y0 - h * 0.15::DOUBLE) AS y0, least(100, x0 + w + w * 0.15::DOUBLE) AS x1, least(120, y0 + h + h * 0.15::DOUBLE) AS y1 FROM boxes"),
     "bbox_from_points": (points, f"WITH {BOXES}, p AS (SELECT frame, count(*) AS n, min(x0) AS a, min(y0) AS b, max(x0) AS c, max(y0) AS d FROM boxes WHERE w > 20 GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT *, greatest(c - a, d - b) * 0.15::DOUBLE AS room FROM p) SELECT frame, a - room AS x0, b - room AS y0, c + room AS x1, d + room AS y1 FROM r"),
-    "body_box_from_hands": (lambda s, d: B.body_box_from_hands(boxes(s, d), 320.0, 320.0), f"WITH {BOXES}, u AS (SELECT frame, min(x0) AS x0, min(y0) AS y0, max(x0 + w) AS x1, max(y0 + h) AS y1, max(greatest(w, h)) AS side FROM boxes GROUP BY 1) SELECT frame, floor(greatest(0, x0 - side * 1.5::DOUBLE))::BIGINT AS x0, floor(greatest(0, y0 - side * 3.5::DOUBLE))::BIGINT AS y0, floor(least(320, x1 + side * 1.5::DOUBLE))::BIGINT AS x1, floor(least(320, y1 + side * 0.5::DOUBLE))::BIGINT AS y1 FROM u"),
+    "body_box_from_hands": (lambda s, d: B.body_box_from_hands(boxes(s, d), 320, 200), f"""WITH {BOXES}, u AS (SELECT frame, min(x0) - max(w) * 1.5::DOUBLE AS x0, min(y0) - max(h) * 3.5::DOUBLE AS y0, max(x0 + w) + max(w) * 1.5::DOUBLE AS x1, max(y0 + h) + max(h) * 0.5::DOUBLE AS y1 FROM boxes GROUP BY 1),
+        p AS (SELECT frame, x0 - m AS x0, y0 - m AS y0, x1 + m AS x1, y1 + m AS y1 FROM (SELECT *, greatest(x1 - x0, y1 - y0) * 0.2::DOUBLE AS m FROM u)),
+        l AS (SELECT frame, CASE WHEN x1 - x0 < 80 THEN (x0 + x1) / 2 - 40 ELSE x0 END AS x0, CASE WHEN x1 - x0 < 80 THEN (x0 + x1) / 2 + 40 ELSE x1 END AS x1, CASE WHEN y1 - y0 < 80 THEN (y0 + y1) / 2 - 40 ELSE y0 END AS y0, CASE WHEN y1 - y0 < 80 THEN (y0 + y1) / 2 + 40 ELSE y1 END AS y1 FROM p),
+        c AS (SELECT frame, greatest(0, floor(x0))::BIGINT AS x0, greatest(0, floor(y0))::BIGINT AS y0, least(320, floor(x1))::BIGINT AS x1, least(200, floor(y1))::BIGINT AS y1 FROM l),
+        n AS (SELECT *, CASE WHEN (x1 - x0) > (y1 - y0) * 1.6::DOUBLE THEN floor((x1 - x0) / 1.6::DOUBLE)::BIGINT - (y1 - y0) ELSE 0 END AS hi, CASE WHEN (y1 - y0) > (x1 - x0) * 1.6::DOUBLE THEN floor((y1 - y0) / 1.6::DOUBLE)::BIGINT - (x1 - x0) ELSE 0 END AS wi FROM c WHERE x1 > x0 AND y1 > y0)
+        SELECT frame, x0 - least(wi // 2, x0) AS x0, y0 - least(hi - least(hi, 200 - y1), y0) AS y0, x1 + least(wi - least(wi // 2, x0), 320 - x1) AS x1, y1 + least(hi, 200 - y1) AS y1 FROM n"""),
     "temporal_consistent": (lambda s, d: B.temporal_consistent(dets(s, d), 30.0, 2).select("clip", "t"), f"WITH {DETS_SQL}, k AS (SELECT DISTINCT a.clip, a.t FROM dets a JOIN dets b ON a.clip = b.clip AND (b.t = a.t - 1 OR b.t = a.t + 1) WHERE pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 900) SELECT * FROM k WHERE clip IN (SELECT clip FROM k GROUP BY 1 HAVING count(DISTINCT t) >= 2)"),
     "temporal_filter_top": (lambda s, d: B.temporal_filter_top(dets(s, d), 12.0).select("clip", "t"), f"WITH {DETS_SQL}, w AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, coalesce(abs(x - lag(x) OVER o) <= 12 AND abs(y - lag(y) OVER o) <= 12, false) OR coalesce(abs(x - lead(x) OVER o) <= 12 AND abs(y - lead(y) OVER o) <= 12, false) AS near FROM dets WINDOW o AS (PARTITION BY clip ORDER BY t)) SELECT clip, t FROM w WHERE near OR n = 1"),
 }

@@ -31,7 +31,7 @@ def gate(s, d):
     facts = E.topk_accuracy(p).select("top1", (F.col("top1") + 0.01).alias("previous_top1"))
     facts = facts.join(per.where("n > 0").agg(F.min("recall").alias("worst_recall"))).join(E.demographic_gap(p, _bucket()).select("gap"))
     facts = facts.join(E.precision_threshold(_logits(s, d)).agg(F.max("threshold").alias("max_threshold"))).join(E.expected_calibration_error(p))
-    facts = facts.join(E.uncovered_confusions(E.confusion_matrix(p), hints).agg(F.count("*").alias("uncovered"))).withColumn("p95_ms", F.lit(None).cast("double"))
+    facts = facts.join(E.uncovered_confusions(E.confusion_matrix(p), hints).agg(F.count("*").alias("uncovered"))).withColumn("p95_ms", F.lit(None).cast("double")).withColumn("architecture", F.lit("tcn"))
     return _rounded(E.eval_gate(facts), "actual")
 
 
@@ -83,8 +83,10 @@ QUERIES = {
     "slice_eval": (slices, f"WITH {SCORES}, sl AS (SELECT DISTINCT i // 4 AS slice, (i * 7 + i // 4) % 10 AS class FROM (SELECT unnest(range(40)) AS i)), b AS (SELECT a.slice, item, label, first(a.class ORDER BY distance, a.class) AS pred FROM scores s JOIN sl a ON a.class = s.class JOIN sl b ON b.slice = a.slice AND b.class = s.label GROUP BY 1, 2, 3) SELECT slice, count(*) AS n, avg(CAST(label = pred AS INTEGER)) AS top1 FROM b GROUP BY 1"),
     "ablation_lift": (lift, f"WITH {L}, v AS (SELECT item, label, first(class ORDER BY logit + CAST(class = 3 AS INTEGER) DESC, class) AS pred, first(class ORDER BY logit DESC, class) AS base FROM logits GROUP BY 1, 2), h AS (SELECT CAST(label = base AS INTEGER) AS b, CAST(label = pred AS INTEGER) AS v FROM v) SELECT avg(b) AS base, avg(v) AS variant, avg(v) - avg(b) AS lift, count(*) FILTER (WHERE v > b) AS won, count(*) FILTER (WHERE v < b) AS lost FROM h"),
     "eval_gate": (gate, f"""WITH {PER}, {ECE}, {PT}, {GAP}, f AS (SELECT (SELECT avg(CAST(label = pred AS INTEGER)) FROM preds) AS top1, (SELECT min(recall) FROM percl WHERE n > 0) AS worst, (SELECT gap FROM gap) AS gap, (SELECT max(threshold) FROM pt) AS thr, (SELECT ece FROM ece) AS ece, (SELECT count(*) FROM conf WHERE label > pred AND n >= 2) AS unc),
-        r AS (SELECT 'top1' AS rule, top1 AS actual, top1 >= 0.85::DOUBLE AS ok FROM f UNION ALL SELECT 'per_sign', worst, worst >= 0.6::DOUBLE FROM f UNION ALL SELECT 'demographic_gap', gap, gap <= 0.1::DOUBLE FROM f UNION ALL SELECT 'thresholds', thr, thr < 1 FROM f UNION ALL SELECT 'latency', NULL, NULL UNION ALL SELECT 'regression', top1 + 0.01::DOUBLE - top1, true FROM f UNION ALL SELECT 'calibration', ece, ece <= 0.05::DOUBLE FROM f UNION ALL SELECT 'hint_coverage', unc, unc = 0 FROM f)
-        SELECT rule, round(actual, 9) AS actual, CASE WHEN actual IS NULL THEN 'SKIP' WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r UNION ALL SELECT 'overall', NULL, CASE WHEN bool_or(NOT ok) THEN 'FAIL' ELSE 'PASS' END FROM r"""),
+        r AS (SELECT 1 AS i, 'top1' AS rule, coalesce(top1, 0) AS actual, coalesce(top1, 0) >= 0.85::DOUBLE AS ok, 'at least 0.85' AS detail FROM f UNION ALL SELECT 2, 'per_sign', worst, worst IS NULL OR worst >= 0.6::DOUBLE, 'at least 0.60 for every class' FROM f UNION ALL SELECT 3, 'demographic_gap', gap, gap <= 0.1::DOUBLE, 'at most 0.10' FROM f
+              UNION ALL SELECT 4, 'thresholds', thr, thr IS NOT NULL AND thr < 1, 'all below 1' FROM f UNION ALL SELECT 5, 'latency', NULL, NULL, 'at most 600 ms' UNION ALL SELECT 6, 'regression', top1 + 0.01::DOUBLE - coalesce(top1, 0), true, 'at most 0.03 below the model before' FROM f UNION ALL SELECT 7, 'calibration', ece, ece <= 0.05::DOUBLE, 'at most 0.05' FROM f
+              UNION ALL SELECT 8, 'hint_coverage', unc, unc = 0, 'no repeated confusion without a hint' FROM f UNION ALL SELECT 9, 'architecture', NULL, true, 'trained from scratch')
+        SELECT rule, round(actual, 9) AS actual, CASE WHEN ok IS NULL THEN 'SKIP' WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict, detail FROM r UNION ALL SELECT 'overall', NULL, CASE WHEN bool_or(NOT ok) THEN 'FAIL' ELSE 'PASS' END, coalesce(string_agg(rule, ', ' ORDER BY i) FILTER (WHERE NOT ok), '') FROM r"""),
     "pass_threshold": (lambda s, d: E.pass_threshold(_preds(s, d), E.precision_threshold(_logits(s, d)).where("class <> 4")).select("item", "passed"), f"WITH {P}, {PT} SELECT item, pred = label AND top_prob >= coalesce(threshold, 0.5) AS passed FROM preds LEFT JOIN (SELECT * FROM pt WHERE class <> 4) q ON q.class = label"),
     "latency_p95": (lambda s, d: E.latency_p95(scores(s, d), "distance").withColumn("p95_ms", F.round("p95_ms", 7)), f"WITH {SCORES} SELECT round(quantile_cont(distance, 0.95), 7) AS p95_ms FROM scores"),
     "soft_gate": (lambda s, d: E.soft_gate(E.per_class(_preds(s, d)), E.per_class(_preds(s, d).where("item % 3 <> 0"))), f"WITH {PER}, b AS (SELECT label AS class, avg(CAST(label = pred AS INTEGER)) AS r FROM preds WHERE item % 3 <> 0 GROUP BY 1) SELECT class, recall AS before, r AS after FROM percl JOIN b USING (class) WHERE recall - r > 0.05::DOUBLE"),

@@ -43,7 +43,8 @@ def noise(s, d):
 
 def hits(s, d):
     l = table(s, d, "lineitem")  # noqa: E741
-    return L.first_seen_ids(l.select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey", "l_quantity"), "l_suppkey", "l_partkey", ["l_linenumber", "l_orderkey"], "l_quantity", 30, 5)
+    known = F.when(F.col("l_orderkey") % 7 > 0, F.col("l_quantity")).alias("l_quantity")
+    return L.first_seen_ids(l.select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey", known), "l_suppkey", "l_partkey", ["l_linenumber", "l_orderkey"], "l_quantity", 30, 5)
 
 
 def mixed(s, d):
@@ -217,7 +218,7 @@ QUERIES = {
     "loop_close": (lambda s, d: _long(dense(s, d).withColumn("traj", L.loop_close(F.col("traj")))), f"WITH {FLAT} SELECT l.clip, l.t, l.f, round(CASE WHEN l.t >= 2 THEN (1 - (l.t - 1) / 6.0::DOUBLE) * coalesce(l.v, 0) + (l.t - 1) / 6.0::DOUBLE * coalesce(o.v, 0) ELSE coalesce(l.v, 0) END, 9) AS v FROM lng l JOIN lng o ON o.clip = l.clip AND o.f = l.f AND o.t = 0"),
     "unit_rows": (lambda s, d: _long(dense(s, d).withColumn("traj", L.unit_rows(F.col("traj")))), f"WITH {FLAT}, n AS (SELECT clip, t, sqrt(sum(coalesce(v, 0) * coalesce(v, 0))) AS n FROM lng GROUP BY 1, 2) SELECT l.clip, l.t, l.f, round(CASE WHEN n > 1e-6 THEN coalesce(v, 0) / n ELSE 0 END, 9) AS v FROM lng l JOIN n USING (clip, t)"),
     "average_hash": (hashes, "WITH q AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 1000)) AS p FROM embeddings), b AS (SELECT vec_id, list_transform(p, lambda v: CASE WHEN v > list_sum(p) / len(p) THEN 1 ELSE 0 END) AS b FROM q) SELECT vec_id, array_to_string(list_transform(range(16), lambda i: substr('0123456789abcdef', (1 + b[i * 4 + 1] * 8 + b[i * 4 + 2] * 4 + b[i * 4 + 3] * 2 + b[i * 4 + 4])::BIGINT, 1)), '') AS hash FROM b"),
-    "first_seen_ids": (hits, "WITH o AS (SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber, l_orderkey, l_quantity) = 1) SELECT l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey, l_partkey) AS INTEGER) AS place FROM o WHERE l_quantity <= 30 QUALIFY place <= 5"),
+    "first_seen_ids": (hits, "WITH o AS (SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, CASE WHEN l_orderkey % 7 > 0 THEN l_quantity END AS l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_linenumber, l_orderkey, l_quantity) = 1) SELECT l_suppkey, l_partkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey, l_partkey) AS INTEGER) AS place FROM o WHERE coalesce(l_quantity <= 30, true) QUALIFY place <= 5"),
     "subsample_mix": (mixed, "SELECT o_orderkey, false AS extra FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL (SELECT o_orderkey, true FROM orders WHERE o_orderpriority = '5-LOW' QUALIFY row_number() OVER (ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 300)"),
     "resolve_gloss_variant": (variants, "WITH v AS (SELECT regexp_replace(lower(p_type), '[^a-z]', '', 'g') AS n, min(lower(p_type)) AS resolved FROM part WHERE p_size < 15 GROUP BY 1), g AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_type || '. 1' ELSE upper(p_type) || '2' END AS gloss FROM part) SELECT p_partkey, gloss, resolved FROM g LEFT JOIN v ON NOT contains(gloss, '.') AND n = regexp_replace(lower(gloss), '[^a-z]', '', 'g')"),
     "attach_files": (files, f"WITH l AS (SELECT lower({_BASE}) AS base, split_part(url, '?', 1) AS path FROM pages), b AS (SELECT base, first(path ORDER BY length(path), path) AS path FROM l GROUP BY 1), w AS (SELECT page_id, upper(CASE WHEN page_id % 3 <> 0 THEN {_BASE} ELSE 'none.mp4' END) AS file FROM pages) SELECT page_id, file, path, CASE WHEN path IS NULL THEN 'missing' ELSE 'ok' END AS status FROM w LEFT JOIN b ON base = lower(file)"),
@@ -245,6 +246,6 @@ QUERIES = {
     "delete_account": (deleted, """SELECT 'attempts' AS "table", count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_custkey <> 7 UNION ALL SELECT 'users', count(*), sum(c_custkey)::BIGINT FROM customer WHERE c_custkey <> 7"""),
     "candidate_urls": (urls, "WITH v AS (SELECT DISTINCT replace(lower(p_type), ' ', '_') AS slug FROM part), n AS (SELECT slug, slug AS name FROM v UNION SELECT slug, replace(slug, '_', '-') FROM v UNION SELECT slug, replace(slug, '_', '') FROM v UNION SELECT replace(lower(p_type), ' ', '_'), lower(p_brand) FROM part WHERE p_size = 1) SELECT slug, 'https://example.org/sign/' || name AS url FROM n"),
     "name_parts": (named, "SELECT o_orderkey, o_orderstatus || '_x' AS sign, o_orderstatus || '_x__' || o_custkey || '_fa' AS clip FROM orders"),
-    "json_fields": (fields, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events"),
+    "json_fields": (fields, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS missing FROM events"),
     "status_filter": (downloaded, "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 > 0"),
 }

@@ -76,7 +76,7 @@ def read_box_maps(spark: SparkSession, root: str, width: int = 1920, height: int
 
 
 def read_parallel_points(spark: SparkSession, xyz_path: str, k_path: str, unique: int = 32560) -> DataFrame:
-    """Row i of two parallel JSON arrays, points [x, y, z] and camera matrices, joined by place: points in pixels and their depth from the wrist."""
+    """Row i of two parallel JSON arrays, points [x, y, z] and camera matrices, joined by place: points in pixels (null for a point without depth) and their depth from the wrist."""
     from lernspur.operators.landmarks import relative_depth
 
     def rows(path: str, kind: str, name: str) -> DataFrame:
@@ -84,8 +84,8 @@ def read_parallel_points(spark: SparkSession, xyz_path: str, k_path: str, unique
         return whole.select(F.posexplode("a").alias("i", name))
 
     both = rows(xyz_path, "array<array<double>>", "xyz").where(F.col("i") < unique).join(rows(k_path, "array<array<double>>", "k"), "i")
-    dot = lambda row, p: sum(row[j] * p[j] for j in range(3))
-    flat = F.transform("xyz", lambda p: F.struct((dot(F.col("k")[0], p) / dot(F.col("k")[2], p)).alias("x"), (dot(F.col("k")[1], p) / dot(F.col("k")[2], p)).alias("y")))
+    dot = lambda row, p: sum(F.get(row, F.lit(j)) * F.get(p, F.lit(j)) for j in range(3))
+    flat = F.transform("xyz", lambda p: F.struct(*[F.try_divide(dot(F.get("k", F.lit(i)), p), dot(F.get("k", F.lit(2)), p)).alias(c) for i, c in enumerate("xy")]))
     return both.select("i", flat.alias("keypoints"), relative_depth(F.col("xyz")).alias("depth"))
 
 
@@ -121,5 +121,5 @@ def project_views(joints: DataFrame, cameras: DataFrame) -> DataFrame:
     usable = cameras.where((F.size("r") == 3) & (F.size("t") == 3) & F.col("fx").isNotNull() & F.col("fy").isNotNull())
     met = whole.crossJoin(usable)
     moved = F.transform("xyz", lambda p: F.array(*[sum(F.col("r")[i][j] * p[j] for j in range(3)) + F.col("t")[i] for i in range(3)]))
-    flat = F.transform("moved", lambda p: F.struct((p[0] / p[2] * F.col("fx") + F.col("cx")).alias("x"), (p[1] / p[2] * F.col("fy") + F.col("cy")).alias("y")))
+    flat = F.transform("moved", lambda p: F.struct((F.try_divide(p[0], p[2]) * F.col("fx") + F.col("cx")).alias("x"), (F.try_divide(p[1], p[2]) * F.col("fy") + F.col("cy")).alias("y")))
     return met.withColumn("moved", moved).withColumn("keypoints", flat).select(*[c for c in joints.columns if c != "xyz"], "camera", "keypoints")

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lernspur.operators import corpus, landmarks, trajectory
+from lernspur.operators import boxes, corpus, evaluation, landmarks, trajectory
 from lernspur.sources import annotations, manifests
 
 
@@ -128,3 +128,55 @@ def test_embeds_are_found(spark, sf_dir):
     import __spark_entry__ as entry
 
     assert entry.queries()["embed_ids"](spark, sf_dir).where("ids <> ''").count() > 0
+
+
+def test_zero_depths_and_missing_values_are_null(spark):
+    df = spark.createDataFrame([([[1.0, 2.0, 4.0], [1.0, 1.0, 0.0], [3.0], []],)], "xyz array<array<double>>")
+    (row,) = df.select(landmarks.project(F.col("xyz"), 4.0, 8.0, 1.0, 2.0).alias("p"), landmarks.relative_depth(F.col("xyz"), 0, 3).alias("d"), landmarks.body_space(F.col("xyz"), 0, 1, 2).alias("b")).collect()
+    assert row.p == [[2.0, 6.0], [None, None], [None, None], [None, None]] and row.d is None
+    pairs = spark.createDataFrame([("a", 1, 5.0, 0), ("a", 2, 5.0, 0), ("b", 1, 4.0, 1)], "source string, keypoint int, err double, vis int")
+    assert {r.source: r.pooled for r in landmarks.keypoint_error(pairs).collect()} == {"a": None, "b": 4.0}
+
+
+def test_ids_without_a_duration_stay(spark):
+    rows = spark.createDataFrame([("s", "a", 1, None), ("s", "b", 2, 61.0), ("s", "c", 3, 60.0), ("s", "a", 4, 99.0)], "sign string, id string, n int, d double")
+    assert [(r.id, r.place) for r in landmarks.first_seen_ids(rows, "sign", "id", ["n"], "d", 60, 5).orderBy("place").collect()] == [("a", 1), ("c", 2)]
+
+
+def test_gate_fails_on_absent_facts(spark):
+    schema = "top1 double, worst_recall double, gap double, max_threshold double, p95_ms double, previous_top1 double, ece double, uncovered long, architecture string"
+    verdicts = lambda *x: {r.rule: (r.verdict, r.detail) for r in evaluation.eval_gate(spark.createDataFrame([x], schema)).collect()}
+    none = verdicts(*[None] * 9)
+    assert {k: v for k, (v, _) in none.items()} == {"top1": "FAIL", "per_sign": "PASS", "demographic_gap": "SKIP", "thresholds": "FAIL", "latency": "SKIP", "regression": "SKIP", "calibration": "SKIP", "hint_coverage": "SKIP", "architecture": "PASS", "overall": "FAIL"}
+    assert none["overall"][1] == "top1, thresholds"
+    good = verdicts(0.9, 0.7, 0.05, 0.9, 500.0, 0.92, 0.01, 0, "tcn")
+    assert {v for v, _ in good.values()} == {"PASS"} and good["overall"][1] == ""
+    assert verdicts(0.9, 0.7, 0.05, 0.9, 500.0, 0.95, 0.01, 0, "other")["overall"] == ("FAIL", "regression, architecture")
+
+
+def plain_body_box(boxes, width, height):
+    x0, y0, x1, y1 = min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[0] + b[2] for b in boxes), max(b[1] + b[3] for b in boxes)
+    hw, hh = max(b[2] for b in boxes), max(b[3] for b in boxes)
+    x0, x1, y0, y1 = x0 - 1.5 * hw, x1 + 1.5 * hw, y0 - 3.5 * hh, y1 + 0.5 * hh
+    m, least = 0.2 * max(x1 - x0, y1 - y0), 0.4 * min(width, height)
+    (x0, x1), (y0, y1) = (((a + z) / 2 - least / 2, (a + z) / 2 + least / 2) if z - a < least else (a, z) for a, z in ((x0 - m, x1 + m), (y0 - m, y1 + m)))
+    x0, y0, x1, y1 = max(0, math.floor(x0)), max(0, math.floor(y0)), min(width, math.floor(x1)), min(height, math.floor(y1))
+    if x1 <= x0 or y1 <= y0:
+        return None
+    w, h = x1 - x0, y1 - y0
+    if w > h * 1.6:
+        need = math.floor(w / 1.6) - h
+        down = min(need, height - y1)
+        y0, y1 = y0 - min(need - down, y0), y1 + down
+    elif h > w * 1.6:
+        need = math.floor(h / 1.6) - w
+        left = min(need // 2, x0)
+        x0, x1 = x0 - left, x1 + min(need - left, width - x1)
+    return x0, y0, x1, y1
+
+
+def test_body_box_takes_each_axis_for_itself(spark):
+    frames = {1: [(100, 100, 10, 40)], 2: [(100, 100, 60, 8), (10, 150, 5, 5)], 3: [(0, 0, 3, 3)], 4: [(630, 300, 9, 50), (600, 10, 4, 90)], 5: [(900, 900, 5, 5)], 6: [(200, 350, 200, 5)]}
+    rows = [(f, i, *map(float, b)) for f, some in frames.items() for i, b in enumerate(some)]
+    got = {r[0]: tuple(r)[1:] for r in boxes.body_box_from_hands(spark.createDataFrame(rows, "frame int, box int, x0 double, y0 double, w double, h double"), 640, 480).collect()}
+    assert got == {f: b for f, some in frames.items() if (b := plain_body_box(some, 640, 480))}
