@@ -52,18 +52,18 @@ def record_id(*parts: object) -> str:
 
 
 def responses_from_pages(pages: DataFrame) -> DataFrame:
-    """Response records of a table of pages, which knows their address and text only."""
+    """Response records of a table of pages, which knows their address and text only. The text is written in UTF-8, and the headers say so, whatever the page says of itself."""
     nothing = F.lit(None).cast("string")
-    headers = F.to_json(F.map_from_arrays(F.array(F.lit("WARC-Target-URI")), F.array("url")))
-    return pages.select("page_id", nothing.alias("record_id"), F.col("url").alias("target_uri"), nothing.alias("date"), F.when(F.col("url").isNotNull(), headers).alias("headers"), nothing.alias("block_digest"), nothing.alias("payload_digest"), F.encode("html", "utf-8").alias("payload"))
+    headers = F.to_json(F.struct(F.lit("text/html; charset=utf-8").alias("Content-Type"), F.col("url").alias("WARC-Target-URI")))
+    return pages.select("page_id", nothing.alias("record_id"), F.col("url").alias("target_uri"), nothing.alias("date"), headers.alias("headers"), nothing.alias("block_digest"), nothing.alias("payload_digest"), F.encode("html", "utf-8").alias("payload"))
 
 
 def decoded(payload: bytes, headers: str | None) -> str:
-    """A payload as text: in the charset of its headers, or of its first kilobyte, or UTF-8; bytes that are none are replaced."""
+    """A payload as text: in the charset of its headers, or of its first kilobyte, or UTF-8, also where the name is no text encoding; bytes that are none are replaced."""
     found = CHARSET.search((headers or "").encode()) or CHARSET.search(payload[:1024])
     try:
         return payload.decode(found[1].decode() if found else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, ValueError):
         return payload.decode("utf-8", "replace")
 
 
@@ -138,51 +138,112 @@ def record_bytes() -> Column:
     return F.encode(F.concat(F.lit("WARC/1.1\r\n"), *[line(n, c) for n, c in names.items()], F.lit("\r\n"), F.col("block"), F.lit("\r\n\r\n")), "utf-8")
 
 
-def inflated(data: bytes) -> bytes:
-    """A file's bytes; gzip members are unpacked one after another."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join(out)
+#: Bytes unpacked at a time.
+CHUNK = 1 << 20
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record of a WARC file; a cut-off last record is left out."""
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """A file's bytes in chunks; gzip members are unpacked one after another, up to the first damaged one."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", start)
-        if stop < 0:
-            return
-        lines = data[start:stop].decode("utf-8", "replace").split("\r\n")[1:]
+    while data[at : at + 2] == b"\x1f\x8b":
+        member, rest = zlib.decompressobj(wbits=31), memoryview(data)[at:]
+        while not member.eof:
+            given = rest[:CHUNK] if not member.unconsumed_tail else member.unconsumed_tail
+            rest = rest[CHUNK:] if not member.unconsumed_tail else rest
+            try:
+                chunk = member.decompress(given, CHUNK)
+            except zlib.error:
+                return
+            if chunk:
+                yield chunk
+            elif not given:
+                return
+        at = len(data) - len(rest) - len(member.unused_data)
+
+
+def parse_records(chunks: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record of a WARC file, of which no more than a record and a chunk is held.
+
+    A cut-off last record is left out; one whose length is no number is skipped, up to the next that starts a line.
+    """
+    held, left = bytearray(), iter([chunks]) if isinstance(chunks, bytes) else chunks
+
+    def more() -> bool:
+        chunk = next(left, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0 or (stop := held.find(b"\r\n\r\n", start)) < 0:
+            if not more():
+                return
+        lines = held[start:stop].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0))
-        at = stop + 4 + size
-        if at > len(data):
-            return
-        yield headers, data[stop + 4 : at]
+        size = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+        if not (size.isascii() and size.isdigit()):
+            while (after := held.find(b"\nWARC/", stop)) < 0:
+                if not more():
+                    return
+            del held[: after + 1]
+            continue
+        end = stop + 4 + int(size)
+        while len(held) < end:
+            if not more():
+                return
+        yield headers, bytes(held[stop + 4 : end])
+        del held[:end]
+
+
+def plain_payload(payload: bytes, http: dict[str, str]) -> bytes:
+    """The payload without the transfer and content encodings that its HTTP headers name (chunked, gzip, deflate), as far as it can be read; others stay."""
+    said = {k.lower(): v.lower() for k, v in http.items()}
+    if "chunked" in said.get("transfer-encoding", ""):
+        out, at = [], 0
+        while (line := payload.find(b"\r\n", at)) >= 0:
+            size = payload[at:line].split(b";")[0].strip()
+            if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+                break
+            if not (n := int(size, 16)):
+                break
+            out.append(payload[line + 2 : line + 2 + n])
+            at = line + 2 + n + 2
+        payload = b"".join(out) if out else payload
+    coding = said.get("content-encoding", "")
+    if "gzip" in coding or "deflate" in coding:
+        unpack = zlib.decompressobj(wbits=47 if "gzip" in coding or payload[:1] == b"\x78" else -15)
+        try:
+            return unpack.decompress(payload)
+        except zlib.error:
+            return payload
+    return payload
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files: file, RESPONSE columns; ``headers`` holds the HTTP and WARC headers as JSON. A file is read by one task."""
+    """Response records of WARC files: file, RESPONSE columns; ``headers`` holds the HTTP and WARC headers as JSON.
+
+    A file is read by one task, which holds its bytes as they are stored and unpacks a record at a time; payloads come
+    without their transfer and content encodings. What cannot be read is left out: records whose length is no number,
+    and what follows damage in a packed file.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for own, block in parse_records(inflated(content.as_py())):
+                rows, held = [], 0
+                for own, block in parse_records(unpacked(content.as_py())):
                     said = {k.lower(): v for k, v in own.items()}
                     if said.get("warc-type") != "response":
                         continue
                     head, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
                     http = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-                    rows.append((file, said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), json.dumps({**http, **own}), said.get("warc-block-digest"), said.get("warc-payload-digest"), payload))
-                    if len(rows) == 256:
+                    rows.append((file, said.get("warc-record-id"), said.get("warc-target-uri"), said.get("warc-date"), json.dumps({**http, **own}), said.get("warc-block-digest"), said.get("warc-payload-digest"), plain_payload(payload, http)))
+                    held += len(payload)
+                    if len(rows) == 256 or held > 32 * CHUNK:
                         yield _batch(rows)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows)
 

@@ -166,3 +166,25 @@ def test_main_text_of_hand_written_pages(spark):
         right += sum(p in lines for p in STORY)
         wrong += sum(x not in STORY for x in lines)
     assert right >= 0.95 * len(STORY) * len(LAYOUTS) and wrong <= 1
+
+
+def test_made_up_responses_are_utf8_whatever_the_page_says(spark):
+    pages = spark.createDataFrame([(i, "http://x.org", f'<meta charset="{c}"><title>Élan</title><p>Élan vital</p>') for i, c in enumerate(["iso-8859-1", "idna", "undefined", "no such"])] + [(9, None, "<p>é</p>")], "page_id long, url string, html string")
+    got = warc.derivatives(warc.responses_from_pages(pages)).where("record_type = 'conversion'").collect()
+    assert {r.block for r in got if r.page_id < 9} == {"Élan vital"} and [r.block for r in got if r.page_id == 9] == ["é"]
+    for charset in ("idna", "undefined", "punycode", "base64", "latin-1"):
+        assert isinstance(warc.decoded("a é".encode(), f"charset={charset}"), str)
+
+
+def test_archives_that_cannot_be_read_whole(spark, tmp_path):
+    record = lambda i, body, size=None: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(body) if size is None else size}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    page = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n<p>one</p>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (gzip.compress(b"<p>two</p>")[:9], gzip.compress(b"<p>two</p>")[9:])) + b"0\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record(1, page) + record(2, b"lost", "x") + record(3, chunked) + record(4, page)[:-30])
+    long = gzip.compress(record(5, page + b" " * 5_000_000)) + gzip.compress(record(6, page)[:60]) + gzip.compress(record(6, page)[60:])
+    (tmp_path / "b.warc.gz").write_bytes(long + b"\x1f\x8b\x08 damaged")
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record(7, page)) + gzip.compress(record(8, page))[:25])
+    (tmp_path / "d.warc").write_bytes(b"")
+    got = {r.record_id: bytes(r.payload) for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert {k: v.rstrip() for k, v in got.items()} == {"1": b"<p>one</p>", "3": b"<p>two</p>", "5": b"<p>one</p>", "6": b"<p>one</p>", "7": b"<p>one</p>"}
+    assert len(got["5"]) == 5_000_010
