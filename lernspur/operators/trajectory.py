@@ -54,6 +54,47 @@ def body_mirror(width: int = 100) -> tuple[list[int], list[float]]:
     return order, [*hand, *hand, *[-1.0, 1.0] * 8]
 
 
+def dense(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, values with NaN where missing) of a list<list<double>> column, for each shape that occurs; rows that are empty or of unlike widths are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten()
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    steps, widths = (np.nan_to_num(c.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for c in (column, rows))
+    first, start = np.concatenate([[0], np.cumsum(steps)]), np.concatenate([[0], np.cumsum(widths)])
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, n in enumerate(steps.tolist()):
+        own = widths[first[i] : first[i + 1]]
+        if n and own[0] and (own == own[0]).all():
+            shapes.setdefault((n, int(own[0])), []).append(i)
+    return [(np.array(at), np.stack([values[start[first[i]] : start[first[i + 1]]].reshape(shape) for i in at])) for shape, at in shapes.items()]
+
+
+def nested(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Values (B, n, F) as a list<list<double>> column, NaN as null."""
+    size, n, width = x.shape
+    values = pa.array(x.ravel(), from_pandas=True)
+    rows = pa.ListArray.from_arrays(np.arange(size * n + 1, dtype=np.int32) * width, values)
+    return pa.ListArray.from_arrays(np.arange(size + 1, dtype=np.int32) * n, rows).cast(kind)
+
+
+def resampled(x: np.ndarray, steps: int) -> np.ndarray:
+    """Trajectories (B, n, F) on ``steps`` even times: linear between present values, end values beyond them, missing where a feature has none."""
+    size, n, width = x.shape
+    if n == 1:
+        return np.repeat(x, steps, axis=1)
+    there, at = ~np.isnan(x), np.arange(n)[None, :, None]
+    before = np.maximum.accumulate(np.where(there, at, -1), axis=1)
+    after = np.minimum.accumulate(np.where(there, at, n)[:, ::-1], axis=1)[:, ::-1]
+    grid = np.linspace(0, n - 1, steps)
+    lo, hi = before[:, np.floor(grid).astype(int)], after[:, np.ceil(grid).astype(int)]
+    lo, hi = np.where(lo < 0, hi, lo), np.where(hi >= n, lo, hi)
+    none = (lo < 0) | (lo >= n)
+    lo, hi = np.where(none, 0, lo), np.where(none, 0, hi)
+    a, b = np.take_along_axis(x, lo, axis=1), np.take_along_axis(x, hi, axis=1)
+    share = np.where(hi > lo, (grid[None, :, None] - lo) / np.maximum(hi - lo, 1), 0.0)
+    return np.where(none, np.nan, a + (b - a) * np.clip(share, 0.0, 1.0))
+
+
 def resample(df: DataFrame, steps: int) -> DataFrame:
     """``traj`` on ``steps`` even times: linear between present values, end values beyond them, null where a feature has none.
 
@@ -61,23 +102,19 @@ def resample(df: DataFrame, steps: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for traj in batch.column("traj").to_pylist():
-                x = np.array([[np.nan if v is None else v for v in row] for row in traj or []], dtype=np.float64)
-                if len(x) == 0 or len(x) == steps:
-                    out.append(traj)
-                    continue
-                if len(x) == 1:
-                    y = np.repeat(x, steps, axis=0)
-                else:
-                    grid, y = np.linspace(0, len(x) - 1, steps), np.full((steps, x.shape[1]), np.nan)
-                    for f in range(x.shape[1]):
-                        there = np.flatnonzero(~np.isnan(x[:, f]))
-                        if len(there):
-                            y[:, f] = np.interp(grid, there, x[there, f])
-                out.append([[None if np.isnan(v) else float(v) for v in row] for row in y])
-            yield pa.RecordBatch.from_arrays([pa.array(out, batch.schema.field("traj").type) if c == "traj" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                old = batch.column("traj")
+                done: list = [None] * batch.num_rows
+                for rows, x in dense(old):
+                    if x.shape[1] != steps:
+                        for i, y in zip(rows.tolist(), resampled(x, steps), strict=True):
+                            done[i] = y
+                # what is of the right length, empty, null or of unlike widths stays
+                parts = [nested(y[None], old.type) if y is not None else old.slice(i, 1) for i, y in enumerate(done)]
+                traj = pa.concat_arrays(parts) if parts else old
+                yield pa.RecordBatch.from_arrays([traj if c == "traj" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
@@ -89,14 +126,14 @@ def fit_gaussian(df: DataFrame, least_clips: int = 5, least_var: float = 0.001)
     return fitted.join(enough, "sign").withColumn("var", F.greatest(F.col("var"), F.lit(least_var)))
 
 
-def motion_ratio(df: DataFrame, half: int, threshold: float = 0.30) -> DataFrame:
-    """Mean deviation over time of the second half of the features over that of the first; one-handed under the threshold.
+def motion_ratio(df: DataFrame, half: int, threshold: float = 0.30, until: int | None = None) -> DataFrame:
+    """Mean deviation over time of the features from ``half`` on (before ``until``) over that of those before; one-handed under the threshold.
 
-    A missing mean counts as ratio 1.
+    Where a feature of a clip has no value at all, the ratio is 1, as it is where a side has no feature.
     """
-    spread = long_form(df).groupBy("sign", "clip", "f").agg(F.stddev_pop("v").alias("s"), F.count_if(F.col("v").isNull()).alias("gaps"))
-    side = F.when(F.col("f") < half, "a").otherwise("b")
-    per = spread.groupBy("sign").agg(*[F.avg(F.when(side == x, F.col("s"))).alias(x) for x in ("a", "b")], F.max("gaps").alias("gaps"))
+    spread = long_form(df).groupBy("sign", "clip", "f").agg(F.stddev_pop("v").alias("s"))
+    side = F.when(F.col("f") < half, "a").when(F.lit(until is None) | (F.col("f") < (until or 0)), "b")
+    per = spread.groupBy("sign").agg(*[F.avg(F.when(side == x, F.col("s"))).alias(x) for x in ("a", "b")], F.count_if(side.isNotNull() & F.col("s").isNull()).alias("gaps"))
     ratio = F.when(F.col("gaps") > 0, 1.0).otherwise(F.coalesce(F.col("b") / F.greatest(F.col("a"), F.lit(1e-6)), F.lit(1.0)))
     return per.select("sign", ratio.alias("ratio")).withColumn("one_handed", F.col("ratio") < threshold)
 
@@ -145,42 +182,6 @@ def gaussian_scores(df: DataFrame, templates: DataFrame) -> DataFrame:
     return seen.select("clip", "label", "sign", (F.aggregate("z", F.lit(0.0), lambda s, v: s + v) / F.size("z")).alias("score"))
 
 
-def dtw_scores(df: DataFrame, templates: DataFrame, radius: int = 8, at_a_time: int = 256) -> DataFrame:
-    """Banded dynamic time warping of every clip against every template (sign, mean, var as arrays), over 2T.
-
-    A cell is the mean squared deviation over the template step's variance; a cell without values costs 1e9. Pairs of
-    one shape are warped together: the recursion runs over cells, each cell over all pairs.
-    """
-
-    def warp(x: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
-        d = (x[:, :, None, :] - m[:, None]) ** 2 / s[:, None]
-        n = (~np.isnan(d)).sum(axis=3)
-        cost = np.where(n > 0, np.nansum(d, axis=3) / np.maximum(n, 1), 1e9)
-        rows, columns = cost.shape[1:]
-        acc = np.full((rows + 1, columns + 1, len(x)), np.inf)
-        acc[0, 0] = 0.0
-        for i in range(rows):
-            for j in range(max(0, i - radius), min(columns, i + radius + 1)):
-                acc[i + 1, j + 1] = cost[:, i, j] + np.minimum(np.minimum(acc[i, j + 1], acc[i + 1, j]), acc[i, j])
-        return acc[-1, -1] / (2 * columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, m, s = (batch.column(c).to_pylist() for c in ("traj", "mean", "var"))
-            shapes: dict[tuple[int, int], list[int]] = {}
-            for r in range(batch.num_rows):
-                shapes.setdefault((len(x[r]), len(m[r])), []).append(r)
-            out = np.empty(batch.num_rows)
-            for rows in shapes.values():
-                for at in range(0, len(rows), at_a_time):
-                    some = rows[at : at + at_a_time]
-                    out[some] = warp(*(np.array([v[r] for r in some], dtype=np.float64) for v in (x, m, s)))
-            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("label"), batch.column("sign"), pa.array(out)], names=["clip", "label", "sign", "score"])
-
-    pairs = df.select("clip", F.col("sign").alias("label"), "traj").crossJoin(templates.select("sign", "mean", "var"))
-    return pairs.mapInArrow(run, "clip long, label long, sign long, score double")
-
-
 def predict(scores: DataFrame) -> DataFrame:
     """Best sign of each clip, least score first, with its softmax confidence over negative scores."""
     of = W.partitionBy("clip")

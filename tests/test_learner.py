@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lernspur.functions import scheduler as S
-from lernspur.operators import evaluation, learner, trajectory
+from lernspur.operators import evaluation, learner, matching, trajectory
 from lernspur.plans import trajectory as plans
 
 NOW = datetime.datetime(2026, 5, 19, 12)
@@ -73,7 +73,7 @@ def test_mirror_twice_is_identity(spark):
 def test_dtw_against_plain_recursion(spark, sf_dir):
     x = plans.trajs(spark, sf_dir).limit(6).collect()
     t = plans.templates(spark, sf_dir).collect()
-    got = {(r.clip, r.sign): r.score for r in trajectory.dtw_scores(plans.trajs(spark, sf_dir), plans.templates(spark, sf_dir)).collect()}
+    got = {(r.clip, r.sign): r.score for r in matching.dtw_scores(plans.trajs(spark, sf_dir), plans.templates(spark, sf_dir)).collect()}
     for c in x:
         for m in t[:3]:
             a, mean, var = (np.array([[np.nan if v is None else v for v in row] for row in y], dtype=float) for y in (c.traj, m["mean"], m["var"]))
