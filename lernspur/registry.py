@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import boxes, corpus, evaluation, landmarks, learner, tracking, trajectory
+from lernspur.plans import boxes, corpus, evaluation, hints, landmarks, learner, tracking, trajectory
 
-PLANS = (learner, corpus, evaluation, boxes, trajectory, landmarks, tracking)
+PLANS = (learner, corpus, evaluation, boxes, trajectory, landmarks, tracking, hints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
