@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lernspur.operators.landmarks import settled
 from lernspur.operators.trajectory import dense, nested, resampled
 
 HAND = "struct<bbox: array<double>, keypoints: array<array<double>>>"
@@ -250,10 +251,11 @@ def expressive_pick(clips: DataFrame) -> DataFrame:
     named = F.transform(whole, lambda p: F.struct(*[seen(at(p, i)).alias(n) for n, i in (("neck", 1), ("rs", 2), ("ls", 3), ("rw", 6), ("lw", 7))]))
     both = lambda f: f["neck"].isNotNull() & f["rs"].isNotNull() & f["ls"].isNotNull()
     spans = F.transform(F.filter("f", both), lambda f: F.hypot(at(f["rs"], 0) - at(f["ls"], 0), at(f["rs"], 1) - at(f["ls"], 1)))
-    held = clips.select("sign", "clip", named.alias("f")).where(F.size("f") >= 8).withColumn("n", F.size("f"))
-    held = held.withColumn("all", spans).withColumn("det", F.size("all") / F.col("n")).where("det >= 0.8")
-    held = held.withColumn("wide", F.array_sort(F.filter("all", lambda s: s > 1e-3)))
+    held = settled(clips.select("sign", "clip", named.alias("f")), "f").where(F.size("f") >= 8).withColumn("n", F.size("f"))
+    held = settled(held.withColumn("all", spans), "all").withColumn("det", F.size("all") / F.col("n")).where("det >= 0.8")
+    held = settled(held.withColumn("wide", F.array_sort(F.filter("all", lambda s: s > 1e-3))), "wide")
     held = held.withColumn("span", F.when(F.size("wide") > 0, (F.get("wide", ((F.size("wide") - 1) / 2).cast("int")) + F.get("wide", (F.size("wide") / 2).cast("int"))) / 2).otherwise(1.0))
+    held = settled(held, "span")
 
     def wrist(w: str) -> Column:
         there = F.filter("f", lambda f: f["neck"].isNotNull() & f[w].isNotNull())
@@ -268,7 +270,8 @@ def expressive_pick(clips: DataFrame) -> DataFrame:
         middle = lambda i: F.greatest(F.least(v(i - 1), v(i)), F.least(F.greatest(v(i - 1), v(i)), v(i + 1)))
         return F.transform("p", lambda p, i: F.when((i == 0) | (i == last), p[a]).otherwise(middle(i)))
 
-    sides = sides.withColumn("xs", median("x")).withColumn("ys", median("y")).withColumn("sorted", F.array_sort("ys"))
+    sides = settled(sides.withColumn("xs", median("x")).withColumn("ys", median("y")), "xs", "ys")
+    sides = settled(sides.withColumn("sorted", F.array_sort("ys")), "sorted")
     place = 0.1 * (F.size("sorted") - 1)
     low = F.floor(place).cast("int")
     tenth = F.get("sorted", low) + (F.get("sorted", F.least(low + 1, F.size("sorted") - 1)) - F.get("sorted", low)) * (place - low)
