@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lernspur.operators.ranking import running_sums
+
 #: Fixed value: the two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -148,10 +150,9 @@ def demographic_gap(preds: DataFrame, bucket: Column, least: int = 10) -> DataFr
 
 
 def precision_threshold(scores: DataFrame, precision: float = 0.9) -> DataFrame:
-    """Per class the lowest probability at which cumulative precision, walking down, reaches ``precision``; 1 if never."""
-    down = W.partitionBy("class").orderBy(F.desc("prob"), "item").rowsBetween(W.unboundedPreceding, 0)
-    p = with_probability(scores)
-    counted = p.withColumn("tp", F.sum((F.col("class") == F.col("label")).cast("int")).over(down)).withColumn("k", F.count("*").over(down))
+    """Per class the lowest probability at which cumulative precision, walking down, reaches ``precision``; 1 if never. A class is walked in slices of its probabilities."""
+    p = with_probability(scores).withColumn("hit", (F.col("class") == F.col("label")).cast("int")).withColumn("one", F.lit(1))
+    counted = running_sums(p.select("class", "prob", "item", "hit", "one"), "class", "prob", {"tp": "hit", "k": "one"}, descending=True, ties=["item"])
     ok = (F.col("tp") >= 1) & (F.col("tp") / F.col("k") >= precision)
     return counted.groupBy("class").agg(F.coalesce(F.min(F.when(ok, F.col("prob"))), F.lit(1.0)).alias("threshold"))
 
@@ -159,16 +160,19 @@ def precision_threshold(scores: DataFrame, precision: float = 0.9) -> DataFrame:
 def distance_threshold(scores: DataFrame, precision: float = 0.95, per_negative: int = 5) -> DataFrame:
     """Per class the first distance, going up, at which precision holds; else the first of best precision; infinity without positives.
 
-    Negatives are the first ``per_negative`` items of every other label; equal distances count together.
+    Negatives are the first ``per_negative`` items of every other label; equal distances count together, and a class is
+    walked in slices of its distances.
     """
-    place = F.row_number().over(W.partitionBy("class", "label").orderBy("item"))
-    used = scores.withColumn("__p", place).where((F.col("class") == F.col("label")) | (F.col("__p") <= per_negative)).withColumn("hit", (F.col("class") == F.col("label")).cast("int"))
-    up = W.partitionBy("class").orderBy("distance").rangeBetween(W.unboundedPreceding, 0)
-    counted = used.withColumn("tp", F.sum("hit").over(up)).withColumn("k", F.count("*").over(up))
-    at = counted.where("hit = 1").withColumn("precision", F.col("tp") / F.col("k"))
+    own = F.col("class") == F.col("label")
+    first = W.partitionBy("class", "label").orderBy("item")
+    few = scores.where(~own).withColumn("__p", F.row_number().over(first)).where(F.col("__p") <= per_negative).drop("__p")
+    used = scores.where(own).unionByName(few).withColumn("hit", F.coalesce(own, F.lit(False)).cast("int"))
+    per = used.groupBy("class", "distance").agg(F.sum("hit").alias("hits"), F.count("*").alias("rows"))
+    counted = running_sums(per, "class", "distance", {"tp": "hits", "k": "rows"})
+    at = counted.where("hits > 0").withColumn("precision", F.col("tp") / F.col("k"))
     first = F.min(F.when(F.col("precision") >= precision, F.col("distance")))
     best = F.min_by("distance", F.struct(-F.col("precision"), F.col("distance")))
-    return at.groupBy("class").agg(F.coalesce(first, best, F.lit(float("inf"))).alias("threshold"), F.count("*").alias("positives"))
+    return at.groupBy("class").agg(F.coalesce(first, best, F.lit(float("inf"))).alias("threshold"), F.sum("hits").alias("positives"))
 
 
 def score_quantiles(scores: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lernspur.functions import scheduler as S
 from lernspur.operators import evaluation, learner, matching, trajectory
+from lernspur.operators.ranking import running_sums
 from lernspur.plans import trajectory as plans
 
 NOW = datetime.datetime(2026, 5, 19, 12)
@@ -116,3 +117,21 @@ def test_refined_temperature_is_the_bounded_minimum(spark):
     loss = lambda t: -np.mean(np.log(np.exp(x / t)[range(400), y] / np.exp(x / t).sum(axis=1) + 1e-12))
     grid = np.arange(0.1, 1.0, 1e-4)
     assert abs(got - grid[np.argmin([loss(t) for t in grid])]) < 1e-3
+
+
+def test_running_sums_in_slices(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", r.choice([0.5, None, r.random(), r.random()]), i, r.randint(0, 9)) for i in range(3000)] + [(None, 0.1, 9000 + i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, v double, id int, x int")
+    for down in (False, True):
+        got = {x.id: (x.n, x.total) for x in running_sums(df.withColumn("one", F.lit(1)), "g", "v", {"n": "one", "total": "x"}, down, ["id"], rows_per_slice=100).collect()}
+        assert len(got) == len(rows)
+        for g in {x[0] for x in rows}:
+            own = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is None, 0 if x[1] is None else -x[1] if down else x[1], x[2]))
+            total = 0
+            for n, x in enumerate(own, 1):
+                total += x[3]
+                assert got[x[2]] == (n, total)
+    assert running_sums(df.limit(0), "g", "v", {"n": "x"}).count() == 0
