@@ -131,3 +131,49 @@ def temporal_filter_top(df: DataFrame, tolerance: float) -> DataFrame:
     for f in (F.lag, F.lead):
         near = near | F.coalesce((F.abs(F.col("x") - f("x").over(order)) <= tolerance) & (F.abs(F.col("y") - f("y").over(order)) <= tolerance), F.lit(False))
     return top.withColumn("near", near | (F.count("*").over(W.partitionBy("clip")) == 1)).where("near").drop("near")
+
+
+def clip_items(items: DataFrame, least: float = 1.0) -> DataFrame:
+    """Images (width, height, bboxes as arrays of corners) with their boxes cut to the image.
+
+    Boxes under ``least`` pixels a side after the cut go, and an image all of whose boxes went goes with them; an image
+    that had none is kept, as a negative. Images of unknown size (0 or null) pass as they are.
+    """
+    known = F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False))
+    at = lambda b, i: F.get(b, F.lit(i)).cast("double")
+    cut = lambda v, high: F.greatest(F.lit(0.0), F.least(v, F.col(high).cast("double")))
+    corners = F.transform("bboxes", lambda b: F.array(cut(at(b, 0), "width"), cut(at(b, 1), "height"), cut(at(b, 2), "width"), cut(at(b, 3), "height")))
+    alive = F.filter(corners, lambda b: (at(b, 2) - at(b, 0) >= least) & (at(b, 3) - at(b, 1) >= least))
+    boxes = F.when(known, alive).otherwise(F.transform("bboxes", lambda b: F.transform(b, lambda v: v.cast("double"))))
+    out = items.withColumn("__n", F.coalesce(F.size("bboxes"), F.lit(0))).withColumn("bboxes", F.coalesce(boxes, F.array().cast("array<array<double>>")))
+    return out.where((F.col("__n") == 0) | (F.size("bboxes") > 0)).drop("__n")
+
+
+def temporal_filter_least(df: DataFrame, tolerance: float, least: int) -> DataFrame:
+    """``temporal_filter_top`` for clips that keep at least ``least`` frames."""
+    kept = temporal_filter_top(df, tolerance)
+    enough = kept.groupBy("clip").agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("clip")
+    return kept.join(enough, "clip", "left_semi")
+
+
+def crop_records(trajectories: DataFrame, pad: float = 0.15, least: int = 8) -> DataFrame:
+    """One row per (clip, source frame, hand) of trajectories: where its crop lies in the source video.
+
+    ``trajectories`` has clip, fps and frame_size ([width, height]) of what was tracked, frames (structs of frame_idx and
+    hands with a bbox), and source_fps (30 where missing), source_width and source_height. A frame's number is scaled by
+    the frame rates, half to even; of frames that fall on one source frame the last one with a box counts. Boxes are
+    scaled by the sizes (not at all without a frame_size), padded by a share of the longer side, rounded and cut to the
+    source, and dropped under ``least`` pixels a side.
+    """
+    from lernspur.operators.landmarks import crop_box, scale_box
+
+    boxed = F.filter(F.transform("f.hands", lambda h, i: F.struct(i.alias("hand"), h["bbox"].alias("bbox"))), lambda x: F.size(x["bbox"]) == 4)
+    steps = trajectories.select("clip", "fps", "source_fps", "frame_size", "source_width", "source_height", F.explode("frames").alias("f"))
+    steps = steps.select("*", boxed.alias("hands")).where((F.size("hands") > 0) & (F.col("fps") > 0))
+    at = F.bround(F.col("f.frame_idx") * F.coalesce(F.when(F.col("source_fps") > 0, F.col("source_fps")), F.lit(30.0)) / F.col("fps")).cast("long")
+    last = steps.groupBy("clip", at.alias("source_frame")).agg(F.max_by(F.struct("frame_size", "source_width", "source_height", "hands"), F.struct("f.frame_idx", "hands")).alias("s"))
+    hands = last.select("clip", "source_frame", "s.*").select("*", F.inline("hands"))
+    size = lambda i, c: F.when(F.get("frame_size", F.lit(i)).isNull(), 1.0).otherwise(F.col(c) / F.greatest(F.get("frame_size", F.lit(i)), F.lit(1)))
+    scaled = scale_box([F.get("bbox", F.lit(i)) for i in range(4)], size(0, "source_width"), size(1, "source_height"))
+    crop = crop_box(scaled, F.col("source_width"), F.col("source_height"), pad, least)
+    return hands.select("clip", "source_frame", "hand", crop.alias("c")).where("c IS NOT NULL").select("clip", "source_frame", "hand", "c.*")

@@ -247,3 +247,64 @@ def own_rows(df: DataFrame, column: str, user: Column) -> DataFrame:
 def best_by(df: DataFrame, group: str, key: str, measure: str) -> DataFrame:
     """The key of least measure in each group, the lower key on ties."""
     return df.groupBy(group).agg(F.min_by(key, F.struct(measure, key)).alias(key), F.min(measure).alias(measure))
+
+
+def split_groups_capped(df: DataFrame, sign: str, group: str, key: str, fraction: float = 0.15, per_sign: int = 100, seed: str = "42") -> DataFrame:
+    """Whole groups of each sign to one side, max(1, int(groups * fraction)) of them to val; then at most ``per_sign`` rows of a sign in train and max(5, per_sign // 5) in val, in seeded order.
+
+    Neither groups nor rows of a sign are ordered in one task. Rows need a ``key`` of their own.
+    """
+    groups = hash_rank(df.select(sign, group).distinct(), [sign], group, seed)
+    side = F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("group_size") * fraction)), "val").otherwise("train")
+    placed = df.join(groups.select(sign, group, side.alias("split")), [sign, group])
+    most = F.when(F.col("split") == "val", max(5, per_sign // 5)).otherwise(per_sign)
+    return hash_rank(placed, [sign, "split"], key, f"{seed}-rows").where(F.col("rank") <= most).select(*df.columns, "split")
+
+
+def split_modulo_with(df: DataFrame, key: str, extra: DataFrame, every: int = 20) -> DataFrame:
+    """``df`` by every n-th key to val and the rest to train, and all of ``extra`` to train alone, told apart by ``extra``."""
+    own = df.withColumn("split", F.when(F.pmod(F.col(key), F.lit(every)) == 0, "val").otherwise("train")).withColumn("extra", F.lit(False))
+    return own.unionByName(extra.withColumn("split", F.lit("train")).withColumn("extra", F.lit(True)), allowMissingColumns=True)
+
+
+def dedup_counts(df: DataFrame, cohort: Column, hash_col: str) -> DataFrame:
+    """One row: how many rows ``dedup_within`` keeps and drops. Counted by (cohort, hash), so no copies gather."""
+    per = df.groupBy(cohort.alias("__c"), F.col(hash_col)).agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("kept"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dropped"))
+
+
+def attach_counts(rows: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows find their clip in the manifest, and how many do not."""
+    known = manifest.select(key).distinct().withColumn("__k", F.lit(1))
+    return rows.select(key).join(known, key, "left").agg(F.count("__k").alias("matched"), F.count_if(F.col("__k").isNull()).alias("unmatched"))
+
+
+def still_thin(counts: list[DataFrame], newer: list[DataFrame], vocab: DataFrame, key: str, target: int) -> DataFrame:
+    """Vocabulary entries below target by counts summed over manifests, and still below it with the newer ones: n, n_after, need and ``place`` by need, the neediest first.
+
+    Each table has the key and n; entries without rows count 0. Places are found over the vocabulary.
+    """
+
+    def total(tables: list[DataFrame], name: str) -> DataFrame:
+        out = tables[0].select(key, "n")
+        for t in tables[1:]:
+            out = out.unionByName(t.select(key, "n"))
+        return out.groupBy(key).agg(F.sum("n").alias(name))
+
+    both = vocab.select(key).distinct().join(total(counts, "n"), key, "left").join(total([*counts, *newer], "n_after"), key, "left").fillna(0, ["n", "n_after"])
+    thin = both.where((F.col("n") < target) & (F.col("n_after") < target)).withColumn("need", F.lit(target) - F.col("n_after"))
+    return thin.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("need"), key)))
+
+
+def lesson_groups_last(df: DataFrame, accuracy: str, last: Column, key: str, size: int = 16) -> DataFrame:
+    """Lessons of ``size`` by accuracy, best first, flagged signs after all others."""
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.coalesce(last, F.lit(False)).cast("int"), F.desc(accuracy), key))
+    return df.withColumn("lesson", (F.floor((place - 1) / size) + 1).cast("int"))
+
+
+def lesson_groups_by_category(df: DataFrame, accuracy: str, category: str, one_handed: Column, key: str, size: int = 16) -> DataFrame:
+    """Lessons of ``size``: categories by their mean accuracy, best first; in each one-handed signs first, then by accuracy."""
+    mean = df.groupBy(F.col(category).alias("__c")).agg(F.avg(accuracy).alias("__m"))
+    met = df.join(mean, F.col(category).eqNullSafe(F.col("__c")))
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("__m"), F.col(category).asc_nulls_first(), (~F.coalesce(one_handed, F.lit(False))).cast("int"), F.desc(accuracy), key))
+    return met.withColumn("lesson", (F.floor((place - 1) / size) + 1).cast("int")).drop("__c", "__m")

@@ -251,3 +251,60 @@ def soft_gate(before: DataFrame, after: DataFrame, most_drop: float = 0.05) -> D
     """Classes whose recall fell by more than ``most_drop`` between two per-class tables."""
     both = before.select("class", F.col("recall").alias("before")).join(after.select("class", F.col("recall").alias("after")), "class")
     return both.where(F.col("before") - F.col("after") > most_drop)
+
+
+def ablation_report(runs: dict[str, DataFrame], base: str, thresholds: DataFrame) -> DataFrame:
+    """One row for every run but the base, over the items that both have: n, correct and passed of each, their lifts, and how many items were won and lost.
+
+    A run has item, label, pred and true_score. An item passes if its true score is under its label's threshold, not at
+    it; without score or threshold it does not.
+    """
+    limit = thresholds.select(F.col("class").alias("label"), "threshold")
+
+    def marked(df: DataFrame, n: str) -> DataFrame:
+        met = df.join(limit, "label", "left")
+        return met.select("item", F.coalesce(F.col("pred") == F.col("label"), F.lit(False)).cast("int").alias(f"{n}_hit"), F.coalesce(F.col("true_score") < F.col("threshold"), F.lit(False)).cast("int").alias(f"{n}_pass"))
+
+    first, out = marked(runs[base], "b"), None
+    for name, run in runs.items():
+        if name == base:
+            continue
+        both = first.join(marked(run, "v"), "item")
+        row = both.agg(
+            F.count("*").alias("n"), *[F.coalesce(F.sum(f"{s}_{k}"), F.lit(0)).alias(f"{m}_{w}") for s, m in (("b", "base"), ("v", "variant")) for k, w in (("hit", "correct"), ("pass", "passed"))],
+            F.count_if(F.col("v_hit") > F.col("b_hit")).alias("won"), F.count_if(F.col("v_hit") < F.col("b_hit")).alias("lost"),
+        )
+        row = row.select(F.lit(name).alias("variant"), "*", (F.col("variant_correct") - F.col("base_correct")).alias("lift"), (F.col("variant_passed") - F.col("base_passed")).alias("pass_lift"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def ablation_items(base: DataFrame, variant: DataFrame) -> DataFrame:
+    """Every item of both runs with ``change``: lift where only the variant is right, regress where only the base is, else null."""
+    right = lambda df, n: df.select("item", "label", F.col("pred").alias(n))
+    both = right(base, "base_pred").join(right(variant, "variant_pred").drop("label"), "item")
+    b, v = (F.coalesce(F.col(c) == F.col("label"), F.lit(False)) for c in ("base_pred", "variant_pred"))
+    return both.withColumn("change", F.when(v & ~b, "lift").when(b & ~v, "regress"))
+
+
+def slice_summary(slices: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row over the slices of ``slice_eval``: how many, mean, best and worst top-1, and the top-1 over all classes."""
+    best = scores.groupBy("item", "label").agg(F.min_by("class", F.struct("distance", "class")).alias("pred"))
+    whole = best.agg(F.avg((F.col("label") == F.col("pred")).cast("int")).alias("global_top1"))
+    return slices.agg(F.count("*").alias("slices"), F.avg("top1").alias("mean"), F.max("top1").alias("best"), F.min("top1").alias("worst")).join(whole)
+
+
+def soft_report(latency: tuple[Column, Column], facts: DataFrame, hints: tuple[DataFrame, DataFrame], confusion: DataFrame, recalls: tuple[DataFrame, DataFrame], slower: float = 200.0, drop: float = 0.05, pairs: int = 10) -> DataFrame:
+    """What a reviewer should look at, one row each (rule, key, before, after): a p95 more than ``slower`` ms above the model before, a hint efficacy that fell by more than ``drop`` on one of the most frequent confusions, a recall that fell by more than ``drop``.
+
+    ``latency`` are the columns of ``facts`` (one row) before and after; hint tables have label, pred and efficacy,
+    recall tables class and recall. What one side lacks is not compared.
+    """
+    text = lambda *c: F.concat_ws(">", *[F.col(x).cast("string") for x in c])
+    row = lambda rule, key: (F.lit(rule).alias("rule"), key.alias("key"), F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))
+    slow = facts.select(latency[0].alias("before"), latency[1].alias("after")).where(F.col("after") - F.col("before") > slower)
+    top = confusion.where("label <> pred").orderBy(F.desc("n"), "label", "pred").limit(pairs).select("label", "pred")
+    on = lambda df, n: df.select("label", "pred", F.col("efficacy").alias(n))
+    helped = top.join(on(hints[0], "before"), ["label", "pred"]).join(on(hints[1], "after"), ["label", "pred"]).where(F.col("before") - F.col("after") > drop)
+    fell = soft_gate(recalls[0], recalls[1], drop)
+    return slow.select(*row("latency", F.lit(""))).unionByName(helped.select(*row("hint_efficacy", text("label", "pred")))).unionByName(fell.select(*row("recall", text("class"))))

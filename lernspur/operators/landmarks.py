@@ -325,3 +325,20 @@ def name_parts(path: Column) -> Column:
     """Sign (the stem before "__") and clip (the stem before its last "_f") of a file name."""
     stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
     return F.struct(F.substring_index(stem, "__", 1).alias("sign"), F.regexp_replace(stem, "^(.*)_f.*$", "$1").alias("clip"))
+
+
+def signal_verdict(per_sign: DataFrame) -> DataFrame:
+    """One row over the signs of ``signal_noise``: mean spread, ratio and valid share, each of figures rounded to three decimals, and whether they are usable as a whole. Signs without a spread do not count."""
+    rated = per_sign.where("spread IS NOT NULL").select(*[F.round(c, 3).alias(c) for c in ("spread", "ratio", "valid")])
+    mean = rated.agg(F.count("*").alias("signs"), *[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in ("spread", "ratio", "valid")])
+    return mean.withColumn("usable", F.coalesce((F.col("mean_spread") > 0.2) & (F.col("mean_ratio") < 0.6) & (F.col("mean_valid") > 0.6), F.lit(False)))
+
+
+def face_forward(points: DataFrame, group: str, wrists: tuple[int, int], damp: float = 0.35) -> DataFrame:
+    """Points in body space whose hands have positive depth: z is turned over in groups (clips) whose wrists lie below 0 on average, the two taken together, and damped in all."""
+    depth = lambda w: F.avg(F.get(F.get("points", F.lit(w)), F.lit(2)))
+    mean = points.groupBy(F.col(group).alias("__g")).agg((depth(wrists[0]) + depth(wrists[1])).alias("__z"))
+    met = points.join(mean, F.col(group).eqNullSafe(F.col("__g")))
+    sign = F.when(F.col("__z") < 0, -damp).otherwise(damp)
+    turned = F.transform("points", lambda p: F.transform(p, lambda v, i: F.when(i == 2, v * sign).otherwise(v)))
+    return met.withColumn("points", turned).drop("__g", "__z")

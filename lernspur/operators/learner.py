@@ -178,3 +178,38 @@ def rollback_signals(attempts: DataFrame) -> DataFrame:
     """Pass rate per model version and day, with the change from the day before."""
     daily = attempts.groupBy("model_id", F.to_date("submitted_at").alias("day")).agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("int")).alias("pass_rate"))
     return daily.withColumn("change", F.col("pass_rate") - F.lag("pass_rate").over(W.partitionBy("model_id").orderBy("day")))
+
+
+def time_to_mastery_by(history: DataFrame, users: DataFrame, bucket: str) -> DataFrame:
+    """Items mastered and their mean time to mastery (microseconds) for each bucket of users; users without one are null."""
+    per = time_to_mastery(history).join(users.select("user_id", bucket), "user_id", "left")
+    return per.groupBy(bucket).agg(F.count("*").alias("n"), F.avg("micros").alias("micros"))
+
+
+def release(models: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """The table of models with one new or known version (a row with model_id and other columns) as its only active one, promoted ``now``; a known version keeps what the row does not say."""
+    others = models.join(new.select("model_id"), "model_id", "left_anti").withColumn("is_active", F.lit(False))
+    given = [c for c in new.columns if c not in ("model_id", "is_active", "promoted_at")]
+    known = models.select("model_id", *[F.col(c).alias(f"__{c}") for c in models.columns if c != "model_id"])
+    row = new.select("model_id", *given).join(known, "model_id", "left")
+    value = lambda c: F.coalesce(F.col(c), F.col(f"__{c}")) if c in given else F.col(f"__{c}")
+    made = {"model_id": F.col("model_id"), "is_active": F.lit(True), "promoted_at": now}
+    return others.unionByName(row.select(*[made.get(c, value(c) if c not in made else None).alias(c) for c in models.columns]))
+
+
+def check_ranges(df: DataFrame, ranges: dict[str, tuple[float, float]], one_of: dict[str, Column] | None = None) -> DataFrame:
+    """(rule, violations): values outside low to high, and rows beyond the one that a condition may hold for."""
+    out = [df.agg(F.lit(f"range {c}").alias("rule"), F.count_if(~F.col(c).between(a, b)).alias("violations")) for c, (a, b) in ranges.items()]
+    out += [df.agg(F.lit(f"one {n}").alias("rule"), F.greatest(F.count_if(c) - 1, F.lit(0)).alias("violations")) for n, c in (one_of or {}).items()]
+    found = out[0]
+    for x in out[1:]:
+        found = found.union(x)
+    return found
+
+
+def rollback_report(attempts: DataFrame) -> DataFrame:
+    """Pass rate and share of disagreeing learners per model version and day, with the changes from the version's day before."""
+    rate = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    daily = attempts.groupBy("model_id", F.to_date("submitted_at").alias("day")).agg(F.count("*").alias("n"), rate("passed").alias("pass_rate"), rate("disagreed").alias("disagreed"))
+    order = W.partitionBy("model_id").orderBy("day")
+    return daily.withColumns({f"{c}_change": F.col(c) - F.lag(c).over(order) for c in ("pass_rate", "disagreed")})

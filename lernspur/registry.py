@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lernspur.plans import boxes, corpus, evaluation, hints, landmarks, learner, published, tracking, trajectory
+from lernspur.plans import boxes, corpus, curation, evaluation, hints, landmarks, learner, published, tracking, trajectory
 
-PLANS = (learner, corpus, evaluation, boxes, trajectory, landmarks, tracking, hints, published)
+PLANS = (learner, corpus, evaluation, boxes, trajectory, landmarks, tracking, hints, published, curation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -180,3 +180,22 @@ def test_body_box_takes_each_axis_for_itself(spark):
     rows = [(f, i, *map(float, b)) for f, some in frames.items() for i, b in enumerate(some)]
     got = {r[0]: tuple(r)[1:] for r in boxes.body_box_from_hands(spark.createDataFrame(rows, "frame int, box int, x0 double, y0 double, w double, h double"), 640, 480).collect()}
     assert got == {f: b for f, some in frames.items() if (b := plain_body_box(some, 640, 480))}
+
+
+def test_signs_are_usable_as_a_whole(spark):
+    rows = [("a", 0.5, 0.1, 0.9), ("b", 0.3, 0.3, 0.7), ("c", None, None, 0.1), ("d", 1e-7, None, 0.9)]
+    (r,) = landmarks.signal_verdict(spark.createDataFrame(rows, "sign string, spread double, ratio double, valid double")).collect()
+    assert (r.signs, r.mean_spread, r.mean_ratio, r.mean_valid, r.usable) == (3, 0.267, 0.2, 0.833, True)
+    none = landmarks.signal_verdict(spark.createDataFrame(rows[2:3], "sign string, spread double, ratio double, valid double")).first()
+    assert (none.signs, none.usable) == (0, False)
+
+
+def test_crops_and_items_on_odd_input(spark):
+    frame = "struct<frame_idx: int, hands: array<struct<bbox: array<double>>>>"
+    frames = [(0, [([10.0, 10.0, 30.0, 30.0],), (None,), ([1.0],), ([0.0, 0.0, 2.0, 2.0],)]), (1, None), (2, [])]
+    rows = [("a", 10.0, 30.0, [100.0, 100.0], frames), ("b", 10.0, None, None, frames), ("c", 0.0, 30.0, None, frames), ("d", 10.0, 30.0, None, None)]
+    df = spark.createDataFrame([(*r[:4], 200, 100, r[4]) for r in rows], f"clip string, fps double, source_fps double, frame_size array<double>, source_width int, source_height int, frames array<{frame}>")
+    got = sorted(tuple(r) for r in boxes.crop_records(df).collect())
+    assert got == [("a", 0, 0, 14, 4, 66, 36), ("b", 0, 0, 7, 7, 33, 33)]
+    items = spark.createDataFrame([(1, 50, 50, [[-5.0, 0.0, 20.0, 80.0], [60.0, 0.0, 70.0, 9.0]]), (2, 50, 50, [[60.0, 0.0, 70.0, 9.0]]), (3, 50, 50, []), (4, None, 50, [[60.0, 0.0, 70.0, 9.0]]), (5, 50, 50, None), (6, 50, 50, [None, [1.0]])], "i int, width int, height int, bboxes array<array<double>>")
+    assert {r.i: r.bboxes for r in boxes.clip_items(items).collect()} == {1: [[0.0, 0.0, 20.0, 50.0]], 3: [], 4: [[60.0, 0.0, 70.0, 9.0]], 5: []}
