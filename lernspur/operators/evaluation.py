@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lernspur.operators.ranking import running_sums
+from lernspur.operators.ranking import exact_quantiles, running_sums
 
 #: Fixed value: the two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -179,7 +179,7 @@ def score_quantiles(scores: DataFrame) -> DataFrame:
     """Linear quantiles of the true-class distances of each class."""
     q = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
     own = scores.where(F.col("class") == F.col("label"))
-    return own.groupBy("class").agg(*[F.percentile("distance", F.lit(x)).alias(f"q{round(100 * x):02d}") for x in q])
+    return exact_quantiles(own, "class", "distance", {f"q{round(100 * x):02d}": x for x in q})
 
 
 def pass_rule(preds: DataFrame, least_ratio: float = 0.5) -> DataFrame:
@@ -244,7 +244,8 @@ def pass_threshold(preds: DataFrame, thresholds: DataFrame, default: float = 0.5
 
 
 def latency_p95(df: DataFrame, latency: str) -> DataFrame:
-    return df.agg(F.percentile(latency, F.lit(0.95)).alias("p95_ms"))
+    """One row: the 95th percentile, null without a latency."""
+    return exact_quantiles(df.select(F.lit(0).alias("all"), latency), "all", latency, {"p95_ms": 0.95}).agg(F.max("p95_ms").alias("p95_ms"))
 
 
 def soft_gate(before: DataFrame, after: DataFrame, most_drop: float = 0.05) -> DataFrame:

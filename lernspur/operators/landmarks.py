@@ -342,3 +342,11 @@ def face_forward(points: DataFrame, group: str, wrists: tuple[int, int], damp: f
     sign = F.when(F.col("__z") < 0, -damp).otherwise(damp)
     turned = F.transform("points", lambda p: F.transform(p, lambda v, i: F.when(i == 2, v * sign).otherwise(v)))
     return met.withColumn("points", turned).drop("__g", "__z")
+
+
+def parts_by_pattern(path: Column, pattern: str, groups: dict[str, int | str]) -> Column:
+    """Struct of the groups, by number, of a regular expression found in a file's stem; null where it is not found. A text in place of a number names a part of ``name_parts`` to fall back on."""
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+    there = F.regexp_like(stem, F.lit(pattern))
+    part = lambda g: F.when(there, F.regexp_extract(stem, pattern, g)) if isinstance(g, int) else name_parts(path)[g]
+    return F.struct(*[part(g).alias(n) for n, g in groups.items()])

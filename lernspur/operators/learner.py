@@ -7,13 +7,20 @@ columns of ``functions.scheduler``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lernspur.functions import scheduler as S
+from lernspur.streaming.mastery import START, STATE_NAMES, advance
 
 KEY = ["user_id", "vocab_id"]
+#: Rows of a catalogue that are sent to the tasks.
+MOST_ITEMS = 100_000
 
 
 def in_order():
@@ -30,9 +37,14 @@ def mastery_fold(attempts: DataFrame) -> DataFrame:
 
 
 def catalog_with_state(users: DataFrame, items: DataFrame, states: DataFrame) -> DataFrame:
-    """Every user x item with its state, defaults where there is none. ``items`` is a catalogue; its rows go to every user once."""
+    """Every user x item with its state, defaults where there is none.
+
+    The result has a row for each user and item by its meaning. ``items`` is a catalogue: up to ``MOST_ITEMS`` rows of it
+    are sent to the tasks that hold the users; a larger one is crossed by Spark without being sent whole.
+    """
     default = S.default_state()
-    every = users.select("user_id").distinct().withColumn("items", F.lit(1)).join(items.withColumn("items", F.lit(1)), "items").drop("items")
+    small = items.limit(MOST_ITEMS + 1).count() <= MOST_ITEMS
+    every = users.select("user_id").distinct().crossJoin(F.broadcast(items) if small else items)
     names = [f.split(":")[0] for f in S.STATE[7:-1].split(",")]
     return every.join(states, KEY, "left").select("user_id", *items.columns, *[F.coalesce(F.col(n), default[n]).alias(n) for n in names])
 
@@ -122,16 +134,24 @@ def time_to_mastery(history: DataFrame) -> DataFrame:
 
 
 def mastery_history(attempts: DataFrame) -> DataFrame:
-    """The state after every attempt; holds one (user, item) history at a time."""
-    ordered = F.array_sort(F.collect_list(F.struct("submitted_at", "event_id", "passed")))
-    step = lambda h, a: F.concat(h, F.array(F.struct(a["event_id"].alias("event_id"), a["submitted_at"].alias("submitted_at"), _next_state(F.element_at(h, -1)["s"], a).alias("s"))))
-    start = F.array(F.struct(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("timestamp").alias("submitted_at"), S.default_state().alias("s")))
-    folded = attempts.groupBy(*KEY).agg(ordered.alias("log")).select(*KEY, F.explode(F.aggregate("log", start, step)).alias("h"))
-    return folded.where("h.event_id IS NOT NULL").select(*KEY, "h.event_id", "h.submitted_at", "h.s.*")
-
-
-def _next_state(s: Column, a: Column) -> Column:
-    return F.when(a["passed"], S.apply_pass(s, a["submitted_at"])).otherwise(S.apply_fail(s, a["submitted_at"]))
+    """The state after every attempt. Attempts of a user on an item stream through one task in order, which holds the last state only."""
+    names = STATE_NAMES
+    kinds = {**{f.name: f.dataType for f in attempts.schema.fields}, **{f.name: f.dataType for f in attempts.select(S.default_state().alias("s")).select("s.*").schema.fields}}
+    out = T.StructType([T.StructField(n, kinds[n]) for n in (*KEY, "event_id", "submitted_at", *names)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, START
+        for batch in batches:
+            rows = []
+            for user, item, event, now, passed in zip(*(batch[c] for c in (*KEY, "event_id", "submitted_at", "passed")), strict=True):
+                if (user, item) != key:
+                    key, state = (user, item), START
+                state = advance(state, now, bool(passed))
+                rows.append((user, item, event, now, *state))
+            yield pd.DataFrame(rows, columns=out.names)
+
+    wanted = attempts.select(*KEY, "event_id", "submitted_at", "passed")
+    return wanted.repartition(*KEY).sortWithinPartitions(*KEY, "submitted_at", "event_id").mapInPandas(run, out)
 
 
 def inactive_accounts(users: DataFrame, attempts: DataFrame, now: Column, days: int = 30) -> DataFrame:

@@ -19,7 +19,7 @@ def seeded(key: Column, seed: str) -> Column:
 
 def hash_rank(df: DataFrame, groups: list[str], key: str, seed: str, into: str = "rank", size: str = "group_size") -> DataFrame:
     """1-based rank of each row in its group by seeded hash, and the size of its group."""
-    hashed = df.withColumn("__h", seeded(F.col(key), seed)).withColumn("__s", F.substring("__h", 1, 2))
+    hashed = df.withColumn("__h", seeded(F.col(key), seed)).withColumn("__s", F.substring("__h", 1, 3))
     counts = hashed.groupBy(*groups, "__s").agg(F.count("*").alias("__n"))
     by = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     shifts = counts.select(*groups, "__s", F.coalesce(F.sum("__n").over(by.orderBy("__s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__shift"), F.sum("__n").over(by).alias(size))
@@ -53,3 +53,17 @@ def running_sums(df: DataFrame, group: str, value: str, sums: dict[str, str], de
     summed = sliced.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
     both = summed.join(shift, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__slice") == F.col("__s")))
     return both.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__g", "__s", "__slice", *[f"__{n}" for n in sums])
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Linear quantiles of each group by name; values are counted and then summed in slices, so no task holds those of a whole group. Missing values do not count."""
+    per = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__rows"))
+    counted = running_sums(per, group, value, {"__upto": "__rows"})
+    size = per.groupBy(F.col(group).alias("__of")).agg(F.sum("__rows").alias("__size"))
+    met = counted.join(size, F.col(group).eqNullSafe(F.col("__of")))
+    place = lambda q: (F.col("__size") - 1) * F.lit(float(q))
+    first = lambda at: F.min(F.when(F.col("__upto") > at, F.col(value)))
+    ends = [e for i, q in enumerate(shares.values()) for e in (first(F.floor(place(q))).alias(f"__a{i}"), first(F.ceil(place(q))).alias(f"__b{i}"))]
+    found = met.groupBy(group).agg(F.max("__size").alias("__size"), *ends)
+    between = lambda i, q: F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (place(q) - F.floor(place(q)))
+    return found.select(group, *[between(i, q).alias(name) for i, (name, q) in enumerate(shares.items())])

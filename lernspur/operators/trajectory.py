@@ -152,9 +152,10 @@ def pairwise(df: DataFrame) -> DataFrame:
 
 
 def medoid(df: DataFrame) -> DataFrame:
-    """Per sign the clip with the least sum of distances to the others, lowest id on ties."""
+    """Per sign the clip with the least sum of distances to the others, lowest id on ties; a lone clip is its sign's."""
     pairs = pairwise(df)
     both = pairs.select("sign", F.col("a").alias("clip"), "distance").union(pairs.select("sign", F.col("b").alias("clip"), "distance"))
+    both = both.union(df.select("sign", "clip", F.lit(0.0)))
     sums = both.groupBy("sign", "clip").agg(F.sum("distance").alias("total"))
     return sums.groupBy("sign").agg(F.min_by("clip", F.struct("total", "clip")).alias("clip"), F.min("total").alias("total"))
 

@@ -96,6 +96,35 @@ def read_sidecar_points(spark: SparkSession, root: str, n: int = 21) -> DataFram
     return named.where(F.size("keypoints") == n)
 
 
+def read_combined_points(spark: SparkSession, path: str, n: int = 21) -> DataFrame:
+    """Images of one file {root: [{img_paths, img_width, img_height, joint_self}]}; records of another number of points or without an image go. A missing size is 0."""
+    record = "struct<img_paths: string, img_width: int, img_height: int, joint_self: array<array<double>>>"
+    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", f"struct<root: array<{record}>>").alias("d")).select(F.inline("d.root"))
+    points = F.transform("joint_self", lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"), F.get(p, F.lit(2)).alias("v")))
+    named = raw.where((F.size("joint_self") == n) & (F.col("img_paths") != ""))
+    return named.select(F.col("img_paths").alias("image"), *[F.coalesce(c, F.lit(0)).alias(a) for c, a in (("img_width", "width"), ("img_height", "height"))], points.alias("keypoints"))
+
+
+def read_point_subsets(spark: SparkSession, root: str, subsets: dict[str, str], tags: list[str], n: int = 21) -> DataFrame:
+    """Images of the subsets chosen by tag (tag -> folder under ``root``), each with its ``tag``: of a combined file ``hands_v*.json`` where the folder has one, else of the sidecar files. Unknown tags and missing folders give nothing."""
+    out = spark.createDataFrame([], "tag string, image string, width int, height int, keypoints array<struct<x: double, y: double, v: double>>")
+    for tag in tags:
+        if tag not in subsets:
+            continue
+        folder = f"{root}/{subsets[tag]}"
+        found = None
+        for read in (lambda: read_combined_points(spark, f"{folder}/hands_v*.json", n), lambda: read_sidecar_points(spark, folder, n).select("image", F.lit(0).alias("width"), F.lit(0).alias("height"), "keypoints")):
+            try:
+                found = read()
+                break
+            except Exception as missing:
+                if "PATH_NOT_FOUND" not in str(missing):
+                    raise
+        if found is not None:
+            out = out.unionByName(found.select(F.lit(tag).alias("tag"), "image", "width", "height", "keypoints"))
+    return out
+
+
 def read_timed_clips(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Clips of split files (a JSON array each) with start and end seconds; the split is in the file's name, a missing start is 0."""
     kind = "clean_text: string, label: long, url: string, start_time: double, end_time: double, signer_id: long, box: array<double>, fps: double, width: double, height: double"

@@ -57,16 +57,28 @@ def read_trajectories(spark: SparkSession, root: str) -> DataFrame:
     return named.where(F.size("frames") >= 2)
 
 
-def read_markdown_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """(number, gloss, slug) of the rows of a Markdown table | n | gloss | ... |."""
+def read_markdown_vocab(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
+    """(number, gloss, slug) of the rows of a Markdown table | n | gloss | ... |; raises ValueError if there are not as many as ``expected``."""
     from lernspur.functions.text import slug
 
     cells = spark.read.text(path).select(F.regexp_extract("value", r"^\|\s*(\d+)\s*\|\s*([^|]+?)\s*\|", 1).alias("n"), F.regexp_extract("value", r"^\|\s*(\d+)\s*\|\s*([^|]+?)\s*\|", 2).alias("gloss"))
-    return cells.where("n <> ''").select(F.col("n").cast("int").alias("number"), "gloss", slug(F.col("gloss")).alias("slug"))
+    rows = cells.where("n <> ''").select(F.col("n").cast("int").alias("number"), "gloss", slug(F.col("gloss")).alias("slug"))
+    if expected is not None and (found := rows.count()) != expected:
+        raise ValueError(f"{found} rows in {path}, {expected} expected")
+    return rows
 
 
 def read_lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    """Rows of a Latin-1 CSV with a header; ``__line`` is their order. Names of columns may hold dots."""
+    return spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path).withColumn("__line", F.monotonically_increasing_id())
+
+
+def lexicon_by(lexicon: DataFrame, key: str, last: bool = False) -> DataFrame:
+    """One row for every value of a column (without white space around it, empty ones left out): the first of its rows, or the last, and ``variants``, how many it has."""
+    row, k = F.struct(*[F.col(f"`{c}`") for c in lexicon.columns if c != "__line"]), F.trim(F.col(f"`{key}`"))
+    pick = F.max_by if last else F.min_by
+    best = lexicon.where(k != "").groupBy(k.alias("__k")).agg(pick(row, "__line").alias("__r"), F.count("*").alias("variants"))
+    return best.select("__k", "__r.*", "variants").withColumnRenamed("__k", "lexicon_key")
 
 
 def read_landmark_lines(spark: SparkSession, path: str) -> DataFrame:

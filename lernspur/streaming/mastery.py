@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lernspur.functions import scheduler as S
 
 STATE_FIELDS = "status string, ease double, interval_days double, next_review_at timestamp, consecutive_passes int, total_attempts int, total_passes int, last_attempt_at timestamp"
+STATE_NAMES = [c.strip().split(" ")[0] for c in STATE_FIELDS.split(",")]
+#: The state before the first attempt, in the order of STATE_NAMES.
+START = ("untouched", S.EASE_START, 0.0, None, 0, 0, 0, None)
 OUT = f"user_id long, vocab_id long, {STATE_FIELDS}, reached_mastery boolean, rejected int"
 
 
@@ -49,7 +52,7 @@ def mastery_stream(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        s = tuple(held.get) if held.exists else ("untouched", S.EASE_START, 0.0, None, 0, 0, 0, None)
+        s = tuple(held.get) if held.exists else START
         was, rejected = s[0], 0
         log = pd.concat(list(batches)).sort_values(["submitted_at", "event_id"])
         for now, passed in zip(log["submitted_at"], log["passed"], strict=True):

@@ -135,3 +135,32 @@ def test_running_sums_in_slices(spark):
                 total += x[3]
                 assert got[x[2]] == (n, total)
     assert running_sums(df.limit(0), "g", "v", {"n": "x"}).count() == 0
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    from lernspur.operators.ranking import exact_quantiles
+
+    r = random.Random(4)
+    rows = [(g, None if r.random() < 0.1 else round(r.random(), 2)) for g in ("a", "b", None) for _ in range(500)] + [("one", 3.0), ("none", None)]
+    shares = {"least": 0.0, "low": 0.1, "middle": 0.5, "high": 0.95, "most": 1.0}
+    got = {x.g: tuple(x)[1:] for x in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", shares).collect()}
+    for g in {x[0] for x in rows} - {"none"}:
+        assert got[g] == pytest.approx(np.percentile([v for k, v in rows if k == g and v is not None], [100 * q for q in shares.values()]))
+    assert "none" not in got
+    assert evaluation.latency_p95(spark.createDataFrame([(None,)], "ms double"), "ms").collect()[0].p95_ms is None
+
+
+def test_history_streams_and_large_catalogues(spark, monkeypatch):
+    base = datetime.datetime(2024, 1, 1)
+    log = [(1, 1, i, base + datetime.timedelta(hours=i), i % 4 > 0) for i in range(3000)] + [(2, 1, 5000, base, True)]
+    df = spark.createDataFrame(log, "user_id long, vocab_id long, event_id long, submitted_at timestamp, passed boolean")
+    history = learner.mastery_history(df)
+    last = {(r.user_id, r.vocab_id): tuple(r)[2:] for r in learner.mastery_fold(df).collect()}
+    ends = {(r.user_id, r.vocab_id): tuple(r)[4:] for r in history.where("event_id in (2999, 5000)").collect()}
+    assert history.count() == 3001 and ends == last
+    items = spark.createDataFrame([(i, i) for i in range(5)], "vocab_id long, rank long")
+    want = sorted(learner.catalog_with_state(df, items, learner.mastery_fold(df)).collect())
+    monkeypatch.setattr(learner, "MOST_ITEMS", 3)
+    assert sorted(learner.catalog_with_state(df, items, learner.mastery_fold(df)).collect()) == want and len(want) == 10

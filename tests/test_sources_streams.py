@@ -89,3 +89,43 @@ def test_ema_stream(spark, tmp_path):
         s = s if v is None else v if s is None else s + (v - s) * 0.4
         want.append(s)
     assert [r.smooth for r in sorted(got, key=lambda r: r.t)] == pytest.approx(want)
+
+
+def test_lexicon_and_vocabulary(spark, tmp_path):
+    (tmp_path / "lex.csv").write_bytes("Code,EntryID,Handshape.2.0\nA_1,dog,é\nA_2,dog,5\n ,cat,b\nA_1,wolf,c\n".encode("latin-1"))
+    lexicon = M.read_lexicon_csv(spark, str(tmp_path / "lex.csv"))
+    by_entry = {r.lexicon_key: (r["Handshape.2.0"], r.variants) for r in M.lexicon_by(lexicon, "EntryID").collect()}
+    assert by_entry == {"dog": ("é", 2), "cat": ("b", 1), "wolf": ("c", 1)}
+    assert {r.lexicon_key: r["Handshape.2.0"] for r in M.lexicon_by(lexicon, "Code", last=True).collect()} == {"A_1": "c", "A_2": "5"}
+    (tmp_path / "v.md").write_text("| 1 | DOG |\n| 2 | CAT |\n")
+    assert M.read_markdown_vocab(spark, str(tmp_path / "v.md"), 2).count() == 2
+    with pytest.raises(ValueError, match="2 rows"):
+        M.read_markdown_vocab(spark, str(tmp_path / "v.md"), 96)
+    (tmp_path / "label.csv").write_text("label,label_type,id\ndog,gloss,1\n,gloss,2\nx.y,gloss,3\ncat,freetext,4\n")
+    assert [r.id for r in M.read_label_csv(spark, str(tmp_path / "label.csv")).collect()] == ["1"]
+
+
+def test_points_of_subsets_by_tag(spark, tmp_path):
+    from lernspur.operators import landmarks
+    from lernspur.sources import annotations
+
+    points = [[float(i), 2.0, 1.0] for i in range(21)]
+    for folder in ("manual", "multi", "other"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "manual/one.json").write_text(json.dumps({"hand_pts": points, "is_left": 0}))
+    root = [{"img_paths": "a.jpg", "img_width": 9, "img_height": 8, "joint_self": points}, {"img_paths": "b.jpg", "joint_self": points}, {"img_paths": "c.jpg", "joint_self": points[:5]}, {"joint_self": points}, {"img_paths": "", "joint_self": points}]
+    (tmp_path / "multi/hands_v1.json").write_text(json.dumps({"root": root}))
+    (tmp_path / "other/two.json").write_text(json.dumps({"hand_pts": points}))
+    subsets = {"manual": "manual", "multiview": "multi", "synth": "absent", "other": "other"}
+    got = annotations.read_point_subsets(spark, str(tmp_path), subsets, ["manual", "multiview", "synth", "unknown"]).collect()
+    assert sorted((r.tag, r.image, r.width, r.height, r.keypoints[3].x) for r in got) == [("manual", "one", 0, 0, 3.0), ("multiview", "a.jpg", 9, 8, 3.0), ("multiview", "b.jpg", 0, 0, 3.0)]
+    names = spark.createDataFrame([("x/dog__c1_f003.jpg",), ("cat-7.mp4",)], "p string")
+    found = [tuple(r) for r in names.select(F.inline(F.array(landmarks.parts_by_pattern(F.col("p"), r"^([a-z]+)__(.*)_f(\d+)$", {"sign": 1, "frame": 3, "clip": "clip"})))).collect()]
+    assert found == [("dog", "003", "dog__c1"), (None, None, "cat-7")]
+
+
+def test_a_lone_clip_is_its_medoid(spark):
+    from lernspur.operators import trajectory
+
+    df = spark.createDataFrame([(1, "a", [[1.0]]), (2, "b", [[1.0]]), (3, "b", [[2.0]]), (4, "b", [[1.4]])], "clip int, sign string, traj array<array<double>>")
+    assert {r.sign: r.clip for r in trajectory.medoid(df).collect()} == {"a": 1, "b": 4}
