@@ -33,7 +33,7 @@ import html
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -146,8 +146,8 @@ def _element(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, ...], ...]]]:
-    """(text, characters inside links, innermost open elements) of every leaf block with text, in page order."""
+def leaf_blocks(page: str, see: Callable[[int, int, str, bool, str], None] | None = None) -> list[tuple[str, int, tuple[tuple[str, ...], ...]]]:
+    """(text, characters inside links, innermost open elements) of every leaf block with text, in page order. ``see`` is called with every mark of the page, in the same pass."""
     out: list[tuple[str, int, tuple[tuple[str, ...], ...]]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     open_tags: collections.Counter[str] = collections.Counter()
@@ -171,6 +171,8 @@ def leaf_blocks(page: str) -> list[tuple[str, int, tuple[tuple[str, ...], ...]]]
         del stack[depth:]
 
     for start, stop, tag, end, rest in markup(page):
+        if see:
+            see(start, stop, tag, end, rest)
         if start > at and not skipped:
             parts.append(page[at:start])
             if in_link:

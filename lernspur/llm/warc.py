@@ -67,28 +67,37 @@ def decoded(payload: bytes, headers: str | None) -> str:
         return payload.decode("utf-8", "replace")
 
 
-def described(page: str) -> list[tuple[str, str]]:
-    """(name, value) of title, language and outgoing links of a page, in page order."""
-    out, titled, spoken = [], False, False
-    for start, stop, tag, end, rest in markup(page):
+class Description:
+    """(name, value) of title, language and outgoing links of a page, in page order, from its marks as they come."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.fields, self.titled, self.spoken = page, [], False, False
+
+    def see(self, start: int, stop: int, tag: str, end: bool, rest: str) -> None:
         if end:
-            continue
-        if tag == "title" and not titled:
-            inner = page[start:stop]
+            return
+        if tag == "title" and not self.titled:
+            inner = self.page[start:stop]
             inner = inner[inner.find(">") + 1 :]
             cut = inner.lower().rfind("</title")
-            out.append(("title", " ".join(html.unescape(inner if cut < 0 else inner[:cut]).split())))
-            titled = True
-        elif tag == "html" and not spoken:
+            self.fields.append(("title", " ".join(html.unescape(inner if cut < 0 else inner[:cut]).split())))
+            self.titled = True
+        elif tag == "html" and not self.spoken:
             found = LANG.search(rest)
             if found:
-                out.append(("language", found[1]))
-                spoken = True
+                self.fields.append(("language", found[1]))
+                self.spoken = True
         elif tag == "a":
             found = HREF.search(rest)
             if found:
-                out.append(("outlink", " ".join(html.unescape(found[1] or found[2] or found[3] or "").split())))
-    return out
+                self.fields.append(("outlink", " ".join(html.unescape(found[1] or found[2] or found[3] or "").split())))
+
+
+def described(page: str) -> list[tuple[str, str]]:
+    description = Description(page)
+    for mark in markup(page):
+        description.see(*mark)
+    return description.fields
 
 
 def derive(source_id: str | None, uri: str | None, date: str | None, headers: str | None, block_digest: str | None, payload_digest: str | None, payload: bytes | None, undated: str) -> list[tuple]:
@@ -97,8 +106,9 @@ def derive(source_id: str | None, uri: str | None, date: str | None, headers: st
     payload_digest = payload_digest or digest(raw)
     source_id = source_id or record_id("response", uri, digest(raw))
     page = decoded(raw, headers)
-    text = "\n".join(t for t, _, _ in leaf_blocks(page))
-    fields = [*described(page), ("source-length", str(len(raw))), ("text-characters", str(len(text)))]
+    description = Description(page)
+    text = "\n".join(t for t, _, _ in leaf_blocks(page, description.see))
+    fields = [*description.fields, ("source-length", str(len(raw))), ("text-characters", str(len(text)))]
     fields += [("source-block-digest", block_digest)] if block_digest else []
     fields += [("source-payload-digest", payload_digest)]
     fields += [("source-header", f"{k}: {v}") for k, v in json.loads(headers or "{}").items()]
