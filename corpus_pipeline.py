@@ -1,7 +1,16 @@
 """A corpus pipeline of five stages over ``documents``, each one of the training-data operators.
 
 Every stage works on all that the one before it kept. All but the last return
-the columns of documents; the last returns the packed pieces.
+the columns of documents, further columns included; the last returns the packed
+pieces.
+
+A null or empty text fails the base rule of the first stage and goes. Nulls in
+lang and source are a group of their own there, and a null source is a source
+of the mix; lang is never read as input of a prediction. Rows that are repeated
+are copies of one another: near dedup keeps the one of the lowest doc_id, and
+one without an id only where all lack it. Rows with one doc_id but unlike texts are documents of their
+own. An empty table, or one of which nothing is left after a stage, gives an
+empty result.
 """
 
 from __future__ import annotations
