@@ -329,8 +329,9 @@ def name_parts(path: Column) -> Column:
 
 def signal_verdict(per_sign: DataFrame) -> DataFrame:
     """One row over the signs of ``signal_noise``: mean spread, ratio and valid share, each of figures rounded to three decimals, and whether they are usable as a whole. Signs without a spread do not count."""
-    rated = per_sign.where("spread IS NOT NULL").select(*[F.round(c, 3).alias(c) for c in ("spread", "ratio", "valid")])
-    mean = rated.agg(F.count("*").alias("signs"), *[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in ("spread", "ratio", "valid")])
+    # whole thousandths, so that the sums do not depend on their order
+    rated = per_sign.where("spread IS NOT NULL").select(*[F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("spread", "ratio", "valid")])
+    mean = rated.agg(F.count("*").alias("signs"), *[(F.round(F.try_divide(F.sum(c), F.count(c))) / 1000).alias(f"mean_{c}") for c in ("spread", "ratio", "valid")])
     return mean.withColumn("usable", F.coalesce((F.col("mean_spread") > 0.2) & (F.col("mean_ratio") < 0.6) & (F.col("mean_valid") > 0.6), F.lit(False)))
 
 

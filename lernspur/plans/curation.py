@@ -12,6 +12,7 @@ from lernspur.operators import learner as R
 from lernspur.plans.boxes import DETS_SQL, dets
 from lernspur.plans.corpus import H
 from lernspur.plans.evaluation import PER, _logits, _preds, slices
+from lernspur.plans.landmarks import QUERIES as SIGNALS
 from lernspur.plans.landmarks import noise
 from lernspur.plans.learner import history
 from lernspur.plans.views import ATTEMPTS, BOXES, CLIPS, SCORES, STATES, attempts, boxes, clips, scores, table
@@ -154,6 +155,6 @@ QUERIES = {
         k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY clip, source_frame ORDER BY i DESC) = 1), m AS (SELECT *, 0.15::DOUBLE * greatest((x1 - x0) * 2, (y1 - y0) * 2) AS m FROM k),
         c AS (SELECT clip, source_frame, greatest(0, round_even(x0 * 2 - m, 0))::INTEGER AS cx0, greatest(0, round_even(y0 * 2 - m, 0))::INTEGER AS cy0, least(320, round_even(x1 * 2 + m, 0))::INTEGER AS cx1, least(240, round_even(y1 * 2 + m, 0))::INTEGER AS cy1 FROM m)
         SELECT clip, source_frame, 0 AS hand, cx0, cy0, cx1, cy1 FROM c WHERE cx1 - cx0 >= 8 AND cy1 - cy0 >= 8"""),
-    "signal_verdict": (lambda s, d: L.signal_verdict(noise(s, d)), None),
+    "signal_verdict": (lambda s, d: L.signal_verdict(noise(s, d)), f"SELECT *, coalesce(mean_spread > 0.2::DOUBLE AND mean_ratio < 0.6::DOUBLE AND mean_valid > 0.6::DOUBLE, false) AS usable FROM (SELECT count(*) AS signs, round(sum(round(spread * 1000)::BIGINT) / count(spread)) / 1000 AS mean_spread, round(sum(round(ratio * 1000)::BIGINT) / count(ratio)) / 1000 AS mean_ratio, round(sum(round(valid * 1000)::BIGINT) / count(valid)) / 1000 AS mean_valid FROM ({SIGNALS['signal_noise'][1]}) WHERE spread IS NOT NULL)"),
     "face_forward": (forward, "WITH z AS (SELECT vec_id, vec_id // 5 AS clip, i, embedding[i * 3 + 3]::DOUBLE AS z FROM embeddings, range(21) r(i)), m AS (SELECT clip, avg(z) FILTER (WHERE i = 4) + avg(z) FILTER (WHERE i = 9) AS s FROM z GROUP BY 1) SELECT vec_id, CAST(i AS INTEGER) AS i, round(z * CASE WHEN s < 0 THEN -0.35::DOUBLE ELSE 0.35::DOUBLE END, 9) AS z FROM z JOIN m USING (clip)"),
 }

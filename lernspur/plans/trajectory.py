@@ -90,6 +90,11 @@ def medoid_sums(s, d):
 FLAT = "flat AS (SELECT vec_id AS clip, CAST(label AS BIGINT) AS sign, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), lng AS (SELECT clip, sign, CAST(i // 8 AS INTEGER) AS t, CAST(i % 8 AS INTEGER) AS f, CASE WHEN i % 13 <> clip % 13 THEN x END AS v FROM flat)"
 GAUSS = f"{FLAT}, gauss AS (SELECT sign, t, f, avg(v) AS mean, greatest(var_pop(v), 0.001) AS var FROM lng GROUP BY 1, 2, 3)"
 PAIRS = f"{FLAT}, pairs AS (SELECT a.sign, a.clip AS a, b.clip AS b, avg((a.v - b.v) * (a.v - b.v)) AS distance FROM lng a JOIN lng b ON a.sign = b.sign AND a.t = b.t AND a.f = b.f AND a.clip < b.clip GROUP BY 1, 2, 3)"
+#: Costs of all steps of ``views`` against all steps of ``gauss``, and the warping path's sums cell by cell, row by row (a band of 8 is all of 8 steps).
+WARP = """cost AS (SELECT x.clip, x.sign AS label, g.sign, image, x.t AS i, g.t AS j, coalesce(avg((x.v - g.mean) * (x.v - g.mean) / g.var), 1e9) AS c FROM views x JOIN gauss g USING (f) GROUP BY 1, 2, 3, 4, 5, 6),
+    k AS (SELECT clip, label, sign, image, list(c ORDER BY i, j) AS c FROM cost GROUP BY 1, 2, 3, 4),
+    d AS (SELECT *, 0 AS s, []::DOUBLE[] AS w FROM k UNION ALL
+          SELECT clip, label, sign, image, c, s + 1, list_append(w, c[s + 1] + CASE WHEN s = 0 THEN 0 ELSE least(CASE WHEN s >= 8 THEN w[s - 7] ELSE 'inf'::DOUBLE END, CASE WHEN s % 8 > 0 THEN w[s] ELSE 'inf'::DOUBLE END, CASE WHEN s >= 8 AND s % 8 > 0 THEN w[s - 8] ELSE 'inf'::DOUBLE END) END) FROM d WHERE s < 64)"""
 SER = "ser AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events)"
 QUERIES = {
     "valid_trajectory": (lambda s, d: T.valid_trajectory(trajs(s, d)).select("clip"), f"WITH {FLAT} SELECT DISTINCT clip FROM lng WHERE v IS NOT NULL"),
@@ -106,7 +111,7 @@ QUERIES = {
     "medoid": (lambda s, d: T.medoid(trajs(s, d)).withColumn("total", F.round("total", 7)), f"WITH {PAIRS}, u AS (SELECT sign, a AS clip, distance FROM pairs UNION ALL SELECT sign, b, distance FROM pairs), t AS (SELECT sign, clip, sum(distance) AS total FROM u GROUP BY 1, 2) SELECT sign, first(clip ORDER BY total, clip) AS clip, round(min(total), 7) AS total FROM t GROUP BY 1"),
     "gaussian_scores": (lambda s, d: T.gaussian_scores(trajs(s, d), templates(s, d)).withColumn("score", F.round("score", 7)), f"WITH {GAUSS} SELECT l.clip, l.sign AS label, g.sign, round(avg((v - mean) * (v - mean) / var), 7) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3"),
     "gaussian_predictions": (lambda s, d: T.predict(T.gaussian_scores(trajs(s, d), templates(s, d))).withColumn("confidence", F.round("confidence", 7)), f"WITH {GAUSS}, sc AS (SELECT l.clip, l.sign AS label, g.sign, avg((v - mean) * (v - mean) / var) AS score FROM lng l JOIN gauss g USING (t, f) WHERE v IS NOT NULL GROUP BY 1, 2, 3) SELECT clip, label, first(sign ORDER BY score, sign) AS best, round(max(exp(-score)) / sum(exp(-score)), 7) AS confidence FROM sc GROUP BY 1, 2"),
-    "dtw_scores": (lambda s, d: M.dtw_scores(trajs(s, d), templates(s, d)).withColumn("score", F.round("score", 7)), None),
+    "dtw_scores": (lambda s, d: M.dtw_scores(trajs(s, d), templates(s, d)).withColumn("score", F.round("score", 7)), f"WITH RECURSIVE {GAUSS}, views AS (SELECT clip, sign, 0 AS image, t, f, v FROM lng), {WARP} SELECT clip, label, sign, round(w[64] / 16, 7) AS score FROM d WHERE s = 64"),
     "forward_fill": (lambda s, d: T.forward_fill(series(s, d), "user_id", ["ts", "event_id"], "v").select("event_id", "filled"), f"WITH {SER} SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled FROM ser"),
     "interpolate_keys": (keyed, """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN length(text)::DOUBLE END AS v FROM conversations), b AS (SELECT c.conv_id, c.turn, max(k.turn) FILTER (WHERE k.turn <= c.turn) AS lo, min(k.turn) FILTER (WHERE k.turn >= c.turn) AS hi FROM c JOIN c k ON k.conv_id = c.conv_id AND k.v IS NOT NULL GROUP BY 1, 2)
         SELECT b.conv_id, b.turn, round(CASE WHEN lo IS NULL THEN h.v WHEN hi IS NULL OR hi = lo THEN l.v ELSE l.v + (h.v - l.v) * (b.turn - lo) / (hi - lo) END, 9) AS filled FROM b LEFT JOIN c l ON l.conv_id = b.conv_id AND l.turn = lo LEFT JOIN c h ON h.conv_id = b.conv_id AND h.turn = hi"""),
@@ -148,6 +153,11 @@ QUERIES |= {
     "frame_features": (lambda s, d: frame_rows(s, d, "body"), f"WITH {FRAMED}, {BODY}, {SECOND}"),
     "frame_features_hand": (lambda s, d: frame_rows(s, d, "hand"), f"WITH {FRAMED}, {HAND}, {SECOND}"),
     "match_scores": (matched, None),
+    "match_scores_whole": (lambda s, d: M.match_scores(trajs(s, d), M.fit_templates(trajs(s, d), half=4, until=8), HALVES, (4, 7)).withColumn("score", F.round("score", 7)), f"""WITH RECURSIVE {GAUSS.replace('gauss AS', 'plain AS')}, dev AS (SELECT sign, clip, f, stddev_pop(v) AS s FROM lng GROUP BY 1, 2, 3),
+        one AS (SELECT sign, count(*) FILTER (WHERE s IS NULL) = 0 AND avg(s) FILTER (WHERE f >= 4) / greatest(avg(s) FILTER (WHERE f < 4), 1e-6) < 0.3::DOUBLE AS one FROM dev GROUP BY 1),
+        gauss AS (SELECT sign, t, f, CASE WHEN NOT (one AND f >= 4) THEN mean END AS mean, var FROM plain JOIN one USING (sign)),
+        views AS (SELECT clip, sign, 0 AS image, t, f, v FROM lng UNION ALL SELECT clip, sign, 1, t, (f + 4) % 8, CASE WHEN f % 2 = 0 THEN -v ELSE v END FROM lng), {WARP}
+        SELECT clip, label, sign, round(min(w[64] / 16), 7) AS score, 'whole' AS route FROM d WHERE s = 64 GROUP BY 1, 2, 3"""),
     "match_steps": (stepped, None),
     "kmedoids": (medoid_sums, None),
 }
