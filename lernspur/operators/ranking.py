@@ -33,19 +33,22 @@ def running_sums(df: DataFrame, group: str, value: str, sums: dict[str, str], de
 
     A group's values are cut at about even quantiles into slices of about ``rows_per_slice`` rows, each slice is summed
     on its own and shifted by the slices before it, so no task holds more of a group than a slice. Rows of one value
-    stay together. Groups and slices, not rows, are what the shifts hold; rows without a value come last.
+    stay together. Groups and slices, not rows, are what the shifts hold; rows without a value come last. Nulls of ``value`` are not counted when slices are sized.
     """
     sizes = df.groupBy(group).agg(F.count(value).alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     parts = max(1, min(10_000, -(-most // rows_per_slice)))
-    at = df.groupBy(group).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts)).alias("__cuts"))
-    cut = at.select(F.col(group).alias("__g"), F.array_distinct("__cuts").alias("__cuts") if parts > 1 else F.array().cast("array<double>").alias("__cuts"))
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    if parts == 1:  # every group is a slice
+        whole = W.partitionBy(group).orderBy(order, *(ties or [])).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({n: F.sum(c).over(whole) for n, c in sums.items()})
+    at = df.groupBy(group).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("__cuts"))
+    cut = at.select(F.col(group).alias("__g"), F.array_distinct("__cuts").alias("__cuts"))
     placed = df.join(cut, F.col(group).eqNullSafe(F.col("__g")), "left")
     # the number of cuts below a value, by halving
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(parts.bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda s, x: s + F.when(F.get("__cuts", s + x - 1) < F.col(value), x).otherwise(0))
     sliced = placed.withColumn("__slice", F.when(F.col(value).isNull(), 1 << 30).otherwise(-below if descending else below)).drop("__g", "__cuts")
-    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     inside = W.partitionBy(group, "__slice").orderBy(order, *(ties or [])).rowsBetween(W.unboundedPreceding, 0)
     per = sliced.groupBy(group, "__slice").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     before = W.partitionBy(group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
