@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 
 def long_form(df: DataFrame) -> DataFrame:
@@ -277,37 +278,87 @@ def nearest_clip_scores(df: DataFrame, references: DataFrame, variance: float =
     return pairs.groupBy("clip", "sign", "ref_sign").agg(F.min(clip_distance(F.col("traj"), F.col("ref_traj")) / variance).alias("score"))
 
 
-def nearest_in_blocks(df: DataFrame, references: DataFrame, variance: float = 0.05, per_block: int = 256) -> DataFrame:
-    """As ``nearest_clip_scores`` with any number of references: every block of clips meets every block of references, and the least score of each is kept."""
+def flat_values(column: pa.ChunkedArray | pa.Array, width: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A list<double> column as (rows, width) values, 0 where missing, and whether each is there; shorter rows end in missing values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = column.flatten()
+    width = max(width, 1, int(sizes.max(initial=0)))
+    at = np.repeat(np.arange(len(sizes)) * width - np.cumsum(sizes) + sizes, sizes) + np.arange(len(values))
+    x, there = np.zeros(len(sizes) * width), np.zeros(len(sizes) * width, dtype=bool)
+    there[at] = values.is_valid().to_numpy(zero_copy_only=False)
+    x[at] = values.fill_null(0.0).to_numpy(zero_copy_only=False)
+    return x.reshape(-1, width), there.reshape(-1, width)
 
-    def blocks(x: DataFrame, name: str) -> DataFrame:
-        n = max(1, -(-x.count() // per_block))
-        flat = x.select(F.struct("clip", "sign", F.flatten("traj").alias("x")).alias("c"), F.pmod(F.xxhash64("clip"), F.lit(n)).alias("block"))
-        return flat.groupBy("block").agg(F.collect_list("c").alias(name)).select(name)
 
-    def dense(clips: list, width: int) -> np.ndarray:
-        out = np.full((len(clips), width), np.nan)
-        for row, c in zip(out, clips, strict=True):
-            values = c["x"] or []
-            row[: len(values)] = [np.nan if v is None else v for v in values]
-        return out
+def mean_squares(x: np.ndarray, in_x: np.ndarray, y: np.ndarray, in_y: np.ndarray) -> np.ndarray:
+    """Row by row (either side may be one row) the mean squared difference over values that both have; infinity if there are none."""
+    both = in_x & in_y
+    d = np.where(both, x - y, 0.0)
+    n = both.sum(axis=-1)
+    return np.where(n > 0, np.einsum("ij,ij->i", d, d) / np.maximum(n, 1), np.inf)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                a, b = row["a"], row["b"]
-                width = max(1, *(len(c["x"] or []) for c in (*a, *b)))
-                y, ids = dense(b, width), np.array([c["clip"] for c in b])
-                signs = [c["sign"] for c in b]
-                of = {s: np.array([i for i, x in enumerate(signs) if x == s]) for s in set(signs)}
-                out = []
-                for c, x in zip(a, dense(a, width), strict=True):
-                    d = (y - x) ** 2
-                    n = (~np.isnan(d)).sum(axis=1)
-                    score = np.where(n > 0, np.nansum(d, axis=1) / np.maximum(n, 1), np.inf) / variance
-                    other = ids != c["clip"]
-                    out += [(c["clip"], c["sign"], s, float(score[at][other[at]].min())) for s, at in of.items() if other[at].any()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["clip", "sign", "ref_sign", "score"])
-
-    met = blocks(df, "a").crossJoin(blocks(references, "b"))
-    return met.mapInArrow(run, "clip long, sign long, ref_sign long, score double").groupBy("clip", "sign", "ref_sign").agg(F.min("score").alias("score"))
+
+def _least(x: np.ndarray, in_x: np.ndarray, y: np.ndarray, in_y: np.ndarray, same: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The least mean squared difference of every row of x to each segment of y (from ``begins`` on), pairs in ``same`` left out.
+
+    Products of matrices tell how far pairs are apart up to a stated error; every pair that could be the least is then measured.
+    """
+    width, segment = x.shape[1], np.repeat(np.arange(len(begins)), np.diff([*begins, len(y)]))
+    sums = np.hstack([x * x, in_x, x]) @ np.hstack([in_y, y * y, -2.0 * y]).T
+    n = in_x.astype(np.float32) @ in_y.astype(np.float32).T
+    away = np.where(n > 0, sums / np.maximum(n, 1), np.inf)
+    away[same] = np.inf
+    error = 16 * 3 * width * np.finfo(float).eps * ((x * x).sum(axis=1) + (y * y).sum(axis=1).max())
+    most = np.minimum.reduceat(away, begins, axis=1) + error[:, None]
+    a, b = np.nonzero((away <= most[:, segment]) & (away < np.inf))
+    out = np.full((len(x), len(begins)), np.inf)
+    for at in range(0, len(a), 65_536):
+        i, j = a[at : at + 65_536], b[at : at + 65_536]
+        np.minimum.at(out, (i, segment[j]), mean_squares(x[i], in_x[i], y[j], in_y[j]))
+    return out
+
+
+def nearest_in_blocks(df: DataFrame, references: DataFrame, variance: float = 0.05, per_block: int = 4096) -> DataFrame:
+    """As ``nearest_clip_scores`` with any number of references: every block of clips meets every block of references, and the least score of each is kept.
+
+    The work is that of all pairs, dealt to tasks that hold two blocks of about ``per_block`` clips; values that are not numbers count as missing.
+    """
+    sides = [df.select("clip", "sign", F.flatten("traj").alias("x")), references.select("clip", "sign", F.flatten("traj").alias("x"))]
+    blocks = [max(1, -(-side.count() // per_block)) for side in sides]
+    own = lambda i: F.pmod(F.xxhash64("clip"), F.lit(blocks[i])).cast("int")
+    each = lambda i: F.explode(F.sequence(F.lit(0), F.lit(blocks[i] - 1)))
+    a = sides[0].select("*", own(0).alias("i"), each(1).alias("j"), F.lit(0).alias("side"))
+    b = sides[1].select("*", each(0).alias("i"), own(1).alias("j"), F.lit(1).alias("side"))
+    schema = T.StructType([df.schema["clip"], df.schema["sign"], T.StructField("ref_sign", references.schema["sign"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(cell: pa.Table) -> pa.Table:
+        sides = cell.column("side").to_numpy()
+        ids, signs = (cell.column(c).combine_chunks().dictionary_encode() for c in ("clip", "sign"))
+        id_codes, sign_codes = (c.indices.fill_null(-1).to_numpy() for c in (ids, signs))
+        rows = np.flatnonzero(sides == 0)
+        refs = np.flatnonzero(sides == 1)
+        refs = refs[np.argsort(sign_codes[refs], kind="stable")]
+        values, there = flat_values(cell.column("x"))
+        there &= ~np.isnan(values)
+        values[~there] = 0.0
+        whole = np.isfinite(values).all()
+        begins = np.flatnonzero(np.diff(sign_codes[refs], prepend=-2)) if len(refs) else np.zeros(0, dtype=int)
+        ends = np.append(begins[1:], len(refs))
+        y, in_y = values[refs], there[refs]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(rows) if len(refs) else 0, 512):
+            some = rows[at : at + 512]
+            same = id_codes[some][:, None] == id_codes[refs][None, :]
+            if whole:
+                least = _least(values[some], there[some], y, in_y, same, begins)
+            else:
+                away = np.stack([mean_squares(values[i][None], there[i][None], y, in_y) for i in some])
+                least = np.fmin.reduceat(np.where(same, np.inf, away), begins, axis=1)
+            i, g = np.nonzero(np.add.reduceat(same, begins, axis=1, dtype=np.int64) < ends - begins)
+            found.append((some[i], refs[begins[g]], least[i, g]))
+        row, ref, score = (np.concatenate(c) if found else np.zeros(0, dtype=int) for c in (zip(*found, strict=True) if found else [()] * 3))
+        return pa.table([cell.column("clip").take(pa.array(row)), cell.column("sign").take(pa.array(row)), cell.column("sign").take(pa.array(ref)), pa.array(score / variance, pa.float64())], names=schema.names)
+
+    cells = a.unionByName(b).repartition(blocks[0] * blocks[1], "i", "j")
+    return cells.groupBy("i", "j").applyInArrow(run, schema).groupBy("clip", "sign", "ref_sign").agg(F.min("score").alias("score"))
