@@ -47,3 +47,16 @@ def test_nearest_pairs_are_measured_not_multiplied_out():
     d = ((x[:, None] - x[None]) ** 2).mean(axis=2)
     np.fill_diagonal(d, np.inf)
     np.testing.assert_allclose(got, np.stack([d[:, :15].min(axis=1), d[:, 15:].min(axis=1)], axis=1), rtol=1e-12)
+
+
+@pytest.mark.parametrize("per_block", [4, 1024])
+def test_pairwise_in_blocks(spark, per_block):
+    made = [*some_clips(50, copies=4), ("q", None, [[1.0]]), (None, "a", [[1.0]]), ("nan", "c", [[math.nan, None, None]])]
+    df = spark.createDataFrame(made, CLIP)
+    known = [m for m in made if m[0] is not None and m[1] is not None]
+    want = {(s, c, d): apart(x, y) for c, s, x in known for d, t, y in known if s == t and c < d}
+    rows = trajectory.pairwise(df, per_block=per_block).collect()
+    got = {(r.sign, r.a, r.b): r.distance for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert got == pytest.approx(want, rel=1e-12, nan_ok=True)
+    assert trajectory.pairwise(df.limit(0)).count() == 0
