@@ -176,11 +176,27 @@ def pairwise(df: DataFrame, per_block: int = 1024) -> DataFrame:
 
 
 def medoid(df: DataFrame) -> DataFrame:
-    """Per sign the clip with the least sum of distances to the others, lowest id on ties; a lone clip is its sign's."""
-    pairs = pairwise(df)
-    both = pairs.select("sign", F.col("a").alias("clip"), "distance").union(pairs.select("sign", F.col("b").alias("clip"), "distance"))
-    both = both.union(df.select("sign", "clip", F.lit(0.0)))
-    sums = both.groupBy("sign", "clip").agg(F.sum("distance").alias("total"))
+    """Per sign the clip with the least sum of distances to the others, lowest id on ties; a lone clip is its sign's.
+
+    Clips that miss the same values are summed up together: over such a group, squared differences to a clip sum up to the
+    group's size times its variance plus the squared distance from its mean. So every clip meets the groups of its sign,
+    not its clips, and copies have the very same sum.
+    """
+    flat = df.select("sign", "clip", F.coalesce(F.flatten("traj"), F.array().cast("array<double>")).alias("x"))
+    there = F.filter(F.transform("x", lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
+    clips = flat.withColumn("seen", there)
+    values = clips.select("sign", "seen", F.posexplode("x").alias("i", "v")).where("v IS NOT NULL")
+    per = values.groupBy("sign", "seen", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    found = per.groupBy("sign", "seen").agg(F.array_sort(F.collect_list(F.struct("i", "mean", "var"))).alias("of"))
+    sizes = clips.groupBy("sign", "seen").agg(F.count("*").alias("n"))
+    placed = F.transform(F.sequence(F.lit(0), F.array_max("seen")), lambda i: F.get("of", F.array_position("seen", i).cast("int") - 1))
+    groups = sizes.join(found, ["sign", "seen"], "left").select("sign", F.size("seen").alias("values"), "n", F.coalesce(F.when(F.size("seen") > 0, placed), F.array()).alias("of"))
+    met = flat.groupBy("sign", "x").agg(F.min("clip").alias("clip")).join(groups, "sign", "left")
+    d = F.filter(F.zip_with("x", "of", lambda v, o: (v - o["mean"]) * (v - o["mean"]) + o["var"]), lambda v: v.isNotNull())
+    apart = F.col("n") * F.aggregate(d, F.lit(0.0), lambda s, v: s + v) / F.size(d)
+    alone = (F.col("values") == 0) & (F.col("n") == 1) & ~F.exists("x", lambda v: v.isNotNull())  # a clip without values, met by no other
+    distance = F.when(F.col("n").isNull() | alone, 0.0).when(F.size(d) > 0, apart).otherwise(float("inf"))
+    sums = met.groupBy("sign", "x").agg(F.min("clip").alias("clip"), F.sum(distance).alias("total"))
     return sums.groupBy("sign").agg(F.min_by("clip", F.struct("total", "clip")).alias("clip"), F.min("total").alias("total"))
 
 

@@ -60,3 +60,30 @@ def test_pairwise_in_blocks(spark, per_block):
     assert len(rows) == len(got) and got.keys() == want.keys()
     assert got == pytest.approx(want, rel=1e-12, nan_ok=True)
     assert trajectory.pairwise(df.limit(0)).count() == 0
+
+
+def test_medoid_of_copies_and_gaps(spark):
+    """All clips of a sign share some value; the copy of the lowest id wins."""
+    r = random.Random(5)
+    made = []
+    for s, n in (("a", 40), ("b", 9), ("c", 1)):
+        own = [[[1e4 + r.gauss(0, 1), *(None if r.random() < 0.3 else r.gauss(0, 1) for _ in range(2))] for _ in range(2)] for _ in range(n)]
+        made += [(f"{s}{i:02}", s, x) for i, x in enumerate(own)] + [(f"{s}-{i:02}", s, x) for i, x in enumerate(own)]
+    made += [("bare", "d", None), ("q", None, [[1.0]]), ("p", None, [[2.0]]), ("e1", "e", [[None, 1.0]]), ("e2", "e", [[1.0, None]]), ("e3", "e", None)]
+    totals = {}
+    for c, s, x in made:
+        totals.setdefault(s, []).append((sum(apart(x, y) for d, t, y in made if s == t and c != d) if s else 0.0, c))
+    got = {x.sign: (x.total, x.clip) for x in trajectory.medoid(spark.createDataFrame(made, CLIP)).collect()}
+    assert got.keys() == totals.keys()
+    for s, own in totals.items():
+        least = min(own)[0]
+        assert got[s][0] == pytest.approx(least, rel=1e-9) or got[s][0] == least
+        assert got[s][1] == min(c for total, c in own if total == least or total == pytest.approx(least, rel=1e-12))
+
+
+def test_medoid_meets_no_pairs(spark):
+    """Ten thousand clips of one sign: all pairs would take minutes."""
+    df = spark.range(10_000).selectExpr("cast(id as string) AS clip", "'a' AS sign", "array(array(cast(id % 101 as double), if(id % 3 = 0, null, 1.0d))) AS traj")
+    assert trajectory.medoid(df).first().clip in {str(i) for i in range(10_000) if i % 101 == 50}
+    d = spark.createDataFrame([(str(i), "a", [[float(i % 101)]]) for i in range(1010)], CLIP)
+    assert trajectory.medoid(d).first().clip == "151"  # the copy of 50 of the lowest id, as text
