@@ -39,8 +39,8 @@ def audit_boxes(df: DataFrame, source: Column, width: float, height: float, slac
 
 
 def filter_detections(df: DataFrame, keep: int = 2, least_side: float = 8.0, most_aspect: float = 3.5, second_score: float = 0.15) -> DataFrame:
-    """Best detections of each frame: the best always; others if large enough, not too thin and of enough score."""
-    top = W.partitionBy("frame").orderBy(F.desc("score"), "box")
+    """Best detections of each frame: the best always; others if large enough, not too thin and of enough score. Boxes of one score and number follow by size and corner, so that reruns agree."""
+    top = W.partitionBy("frame").orderBy(F.desc("score"), "box", "w", "h", "x0", "y0")
     ranked = df.withColumn("place", F.row_number().over(top)).where(F.col("place") <= keep)
     short, long_ = F.least("w", "h"), F.greatest("w", "h")
     fit = (short >= least_side) & (long_ <= short * most_aspect) & (F.col("score") >= second_score)

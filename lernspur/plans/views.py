@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """As DuckDB rounds a double: the scaled value to a whole number, half away from zero. Spark rounds the shortest decimal text of the unscaled value, which differs where that ends in a 5 and is not exact."""
+    return F.round(value * float(10**digits)) / float(10**digits)
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -67,7 +72,7 @@ catalog AS (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per box: frame, a stable box number, corner, size, score and the frame's extent."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("box"), F.col("l_suppkey").alias("clip"), F.col("l_quantity").alias("x0"), (F.col("l_linenumber") * 10.0).alias("y0"), F.round(F.col("l_tax") * 1000, 0).alias("w"), F.round(F.col("l_discount") * 1000, 0).alias("h"), F.round(F.col("l_extendedprice") / 100000, 6).alias("score"))
+    return l.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long").alias("box"), F.col("l_suppkey").alias("clip"), F.col("l_quantity").alias("x0"), (F.col("l_linenumber") * 10.0).alias("y0"), F.round(F.col("l_tax") * 1000, 0).alias("w"), F.round(F.col("l_discount") * 1000, 0).alias("h"), rounded(F.col("l_extendedprice") / 100000, 6).alias("score"))
 
 
 BOXES = "boxes AS (SELECT l_orderkey AS frame, CAST(l_linenumber AS BIGINT) AS box, l_suppkey AS clip, l_quantity AS x0, l_linenumber * 10.0::DOUBLE AS y0, round(l_tax * 1000, 0) AS w, round(l_discount * 1000, 0) AS h, round(l_extendedprice / 100000, 6) AS score FROM lineitem)"
