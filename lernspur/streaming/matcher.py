@@ -55,42 +55,84 @@ class Session:
     streaks: dict = field(default_factory=dict)
 
 
-def advance(held: Session, rows: pd.DataFrame, templates: dict, thresholds: dict, config: MatchConfig) -> list[tuple]:
-    """The steps of a session's next rows (target, features, slice), in order; ``held`` is brought up to date.
-
-    What is held at each row is known before any score, so all windows are scored together, one template at a time.
-    """
-    window, views, at, out, fresh = max(config.window, config.steps), [], [], [], True
+def windows(held: Session, rows: pd.DataFrame, config: MatchConfig) -> tuple[list[np.ndarray], list[int]]:
+    """The views to be scored for a session's next rows, and each row's view (-1: not ready); ``held.frames`` is brought up to date."""
+    window, views, at, fresh = max(config.window, config.steps), [], [], True
     for features in rows["features"]:
-        x = None if features is None else np.array([np.nan if v is None else v for v in features], dtype=np.float64)
+        x = None if features is None else np.asarray(features, dtype=np.float64)  # None becomes NaN
         if x is not None and np.isfinite(x).any():
             held.frames, fresh = [*held.frames, x][-window:], True
         full = len(held.frames) >= config.steps
         if full and fresh:
-            now, fresh = np.stack(held.frames), False
-            views.append(now if len(now) == config.steps else resampled(now[None], config.steps)[0])
+            views.append(np.stack(held.frames))
+            fresh = False
         at.append(len(views) - 1 if full else -1)
-    slices = [list(dict.fromkeys(s)) if s is not None else [t] for s, t in zip(rows["slice"], rows["target"], strict=True)]
-    found: dict = {}
-    if views:
-        x = np.stack(views)
-        y = mirror_image(x, config.mirror)
-        for sign in {s for some, i in zip(slices, at, strict=True) if i >= 0 for s in some} & templates.keys():
-            found[sign] = score(x, templates[sign], y, config.warped, config.radius)
-    limit = lambda s: t if (t := thresholds.get(s)) is not None and np.isfinite(t) else np.inf
-    for target, some, i in zip(rows["target"], slices, at, strict=True):
-        if i < 0:
-            out.append((False, {}, False, held.streaks.get(target, 0), False, None, None))
-            continue
-        scores = {s: float(found[s][i]) for s in some if s in found}
-        for s, v in scores.items():
-            held.streaks[s] = held.streaks.get(s, 0) + 1 if v <= limit(s) else 0
-        best = min(scores, key=scores.get, default=None)
-        streak = held.streaks.get(target, 0)
-        out.append((True, scores, scores.get(target, np.inf) <= limit(target), streak, streak >= max(1, config.required), best, scores.get(best)))
+    return views, at
+
+
+def scored(views: list[np.ndarray], wanted: list[set], templates: dict, config: MatchConfig) -> list[dict]:
+    """For every view its scores by sign, for the signs wanted of it. Views of one shape are scored together, one template at a time."""
+    out: list[dict] = [{} for _ in views]
+    shapes: dict[tuple, list[int]] = {}
+    for i, v in enumerate(views):
+        shapes.setdefault(v.shape, []).append(i)
+    for (n, _), own in shapes.items():
+        for some in (own[i : i + 4096] for i in range(0, len(own), 4096)):
+            x = np.stack([views[i] for i in some])
+            x = x if n == config.steps else resampled(x, config.steps)
+            y = mirror_image(x, config.mirror)
+            signs: dict = {}
+            for place, i in enumerate(some):
+                for s in wanted[i]:
+                    signs.setdefault(s, []).append(place)
+            for sign, places in signs.items():
+                if sign in templates:
+                    for place, v in zip(places, score(x[places], templates[sign], None if y is None else y[places], config.warped, config.radius).tolist(), strict=True):
+                        out[some[place]][sign] = v
     return out
 
 
+def advance_all(sessions: list[tuple[Session, pd.DataFrame]], templates: dict, thresholds: dict, config: MatchConfig) -> list[list[tuple]]:
+    """The steps of the next rows (target, features, slice) of some sessions, in order; each session is brought up to date.
+
+    What is held at each row is known before any score, so the windows of all sessions are scored together.
+    """
+    views, wanted, plans = [], [], []
+    for held, rows in sessions:
+        own, at = windows(held, rows, config)
+        slices = [list(dict.fromkeys(s)) if s is not None else [t] for s, t in zip(rows["slice"], rows["target"], strict=True)]
+        first = len(views)
+        views += own
+        wanted += [set() for _ in own]
+        at = [first + i if i >= 0 else -1 for i in at]
+        for some, i in zip(slices, at, strict=True):
+            if i >= 0:
+                wanted[i].update(some)
+        plans.append((slices, at))
+    found = scored(views, wanted, templates, config)
+    limit = lambda s: t if (t := thresholds.get(s)) is not None and np.isfinite(t) else np.inf
+    steps = []
+    for (held, rows), (slices, at) in zip(sessions, plans, strict=True):
+        out: list[tuple] = []
+        for target, some, i in zip(rows["target"], slices, at, strict=True):
+            if i < 0:
+                out.append((False, {}, False, held.streaks.get(target, 0), False, None, None))
+                continue
+            scores = {s: found[i][s] for s in some if s in found[i]}
+            for s, v in scores.items():
+                held.streaks[s] = held.streaks.get(s, 0) + 1 if v <= limit(s) else 0
+            best = min(scores, key=scores.get, default=None)
+            streak = held.streaks.get(target, 0)
+            out.append((True, scores, scores.get(target, np.inf) <= limit(target), streak, streak >= max(1, config.required), best, scores.get(best)))
+        steps.append(out)
+    return steps
+
+
+def advance(held: Session, rows: pd.DataFrame, templates: dict, thresholds: dict, config: MatchConfig) -> list[tuple]:
+    """``advance_all`` of one session."""
+    return advance_all([(held, rows)], templates, thresholds, config)[0]
+
+
 def _known(templates: DataFrame, thresholds: DataFrame, config: MatchConfig) -> tuple[dict, dict]:
     """Templates and thresholds by sign, collected up to the stated size."""
     blocks = list(in_blocks(templates.where("mean IS NOT NULL"), config.second, config.most_bytes))
@@ -133,14 +175,20 @@ def match_steps(frames: DataFrame, templates: DataFrame, thresholds: DataFrame,
         known, limits = shared.value
         key, held = object(), Session()
         for batch in batches:
-            for first in range(0, len(batch), 512):
-                some = batch.iloc[first : first + 512]
+            for first in range(0, len(batch), 4096):
+                some = batch.iloc[first : first + 4096]
                 marks = some["session"].ne(some["session"].shift()) & ~(some["session"].isna() & some["session"].shift().isna())
-                for _, rows in some.groupby(marks.cumsum(), sort=False):
+                begins = [*np.flatnonzero(marks.to_numpy(dtype=bool)), len(some)]
+                begins = begins if begins[0] == 0 else [0, *begins]
+                parts = []
+                for a, b in zip(begins[:-1], begins[1:], strict=True):
+                    rows = some.iloc[a:b]
                     own = rows["session"].iloc[0]
                     if not (own == key or (pd.isna(own) and key is None)):
                         key, held = None if pd.isna(own) else own, Session()
-                    yield _frame(own, rows, advance(held, rows, known, limits, config), out)
+                    parts.append((held, rows))
+                steps = advance_all(parts, known, limits, config)
+                yield _frame(some["session"], some, [step for own in steps for step in own], out)
 
     return wanted.repartition("session").sortWithinPartitions("session", "t").mapInPandas(run, out)
 

@@ -355,3 +355,18 @@ def test_hand_features_skip_frames_without_hands(spark):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(made)], f"i int, frame {frames.FRAME}")
     for r in df.select("i", matcher.hand_features(F.col("frame")).alias("x")).collect():
         assert (r.x is not None) == bool(made[r.i]["hands"])
+
+
+def test_windows_meet_the_signs_of_their_slices_alone(monkeypatch):
+    """Sessions are scored together, each window against its own signs, with the steps of one session after the other."""
+    import pandas as pd
+
+    r, met = np.random.default_rng(1), []
+    known = {s: {"clips": [], "n_clips": 9, "clusters": [], "whole": (r.normal(size=(3, 2)), np.ones((3, 2)))} for s in range(6)}
+    config = matcher.MatchConfig(steps=3, window=4)
+    log = [pd.DataFrame({"target": [i] * 8, "features": list(r.normal(size=(8, 2))), "slice": [[i, i + 3]] * 8}) for i in range(3)]
+    want = [matcher.advance(matcher.Session(), rows, known, {}, config) for rows in log]
+    plain = matcher.score
+    monkeypatch.setattr(matcher, "score", lambda x, *rest: met.append(len(x)) or plain(x, *rest))
+    assert matcher.advance_all([(matcher.Session(), rows) for rows in log], known, {}, config) == want
+    assert sum(met) == 3 * 6 * 2 and len(met) <= 12  # six windows a session, two signs each, by shape
