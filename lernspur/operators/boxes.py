@@ -171,8 +171,12 @@ def crop_records(trajectories: DataFrame, pad: float = 0.15, least: int = 8) ->
     steps = trajectories.select("clip", "fps", "source_fps", "frame_size", "source_width", "source_height", F.explode("frames").alias("f"))
     steps = steps.select("*", boxed.alias("hands")).where((F.size("hands") > 0) & (F.col("fps") > 0))
     at = F.bround(F.col("f.frame_idx") * F.coalesce(F.when(F.col("source_fps") > 0, F.col("source_fps")), F.lit(30.0)) / F.col("fps")).cast("long")
-    last = steps.groupBy("clip", at.alias("source_frame")).agg(F.max_by(F.struct("frame_size", "source_width", "source_height", "hands"), F.struct("f.frame_idx", "hands")).alias("s"))
-    hands = last.select("clip", "source_frame", "s.*").select("*", F.inline("hands"))
+    sized = ("frame_size", "source_width", "source_height")
+    # a clip's rows meet first, in one exchange by clip; which frame counts is then found inside the clip's own task
+    dealt = steps.select("clip", at.alias("source_frame"), F.struct(F.col("f.frame_idx").alias("frame_idx"), "hands").alias("k"), *sized)
+    order = W.partitionBy("clip", "source_frame").orderBy(F.desc("k"))
+    last = dealt.withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    hands = last.select("clip", "source_frame", *sized, F.inline("k.hands"))
     size = lambda i, c: F.when(F.get("frame_size", F.lit(i)).isNull(), 1.0).otherwise(F.col(c) / F.greatest(F.get("frame_size", F.lit(i)), F.lit(1)))
     scaled = scale_box([F.get("bbox", F.lit(i)) for i in range(4)], size(0, "source_width"), size(1, "source_height"))
     crop = crop_box(scaled, F.col("source_width"), F.col("source_height"), pad, least)

@@ -103,7 +103,7 @@ def image_items(s, d):
 
 def crop_rows(s, d):
     """Orders are clips of one tracked frame a line, at 10 frames a second of 160 x 120; the source has 25 of 320 x 240."""
-    l = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])  # noqa: E741
+    l = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_tax", "l_discount")])  # noqa: E741
     x, y = F.col("l_quantity").cast("double"), F.col("l_linenumber") * 10.0
     box = F.array(x, y, x + F.round(F.col("l_tax") * 1000, 0), y + F.round(F.col("l_discount") * 1000, 0))
     frames = l.groupBy(F.col("l_orderkey").alias("clip")).agg(F.collect_list(F.struct(F.col("l_linenumber").cast("int").alias("frame_idx"), F.array(F.struct(box.alias("bbox"))).alias("hands"))).alias("frames"))

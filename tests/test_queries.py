@@ -75,3 +75,8 @@ def test_filter_detections_of_tied_boxes_agree(spark):
     columns = "frame long, box long, x0 double, y0 double, w double, h double, score double"
     runs = [sorted(map(tuple, boxes.filter_detections(spark.createDataFrame(rows, columns).repartition(n)).collect())) for rows, n in ((tied, 1), (tied[::-1], 3))]
     assert runs[0] == runs[1] and {r[4:6] for r in runs[0]} == {(2.0, 30.0), (20.0, 20.0)}
+
+
+def test_crop_records_moves_lines_once(spark, sf_dir):
+    plan = QUERIES["crop_records"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
