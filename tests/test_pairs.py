@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lernspur.operators import trajectory
 
@@ -83,6 +84,24 @@ def test_pairwise_in_blocks(spark, per_block):
     assert trajectory.pairwise(df.limit(0)).count() == 0
 
 
+def test_pairwise_copies_no_clips(spark):
+    """Blocks meet without being written once for every block they meet, and a pair of blocks leaves in batches."""
+    df = spark.createDataFrame(some_clips(60), CLIP)
+    plan = trajectory.pairwise(df, per_block=7)._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "explode" not in plan
+    one = spark.range(500).selectExpr("id AS clip", "'s' AS sign", "array(array(CAST(id AS DOUBLE))) AS traj")
+    batches = trajectory.pairwise(one).mapInArrow(lambda it: (b.slice(0, 1) for b in it), "sign string, a long, b long, distance double")
+    assert trajectory.pairwise(one).count() == 500 * 499 // 2 and batches.count() > 1
+
+
+def test_sizes_round_half_up_as_in_sql(spark):
+    from lernspur.plans.views import rounded, rounded_size
+
+    made = [(2.0**-10,), (3 * 2.0**-10,), (0.0,), (1.0249365,), (0.1234567895,), (math.inf,), (1e300,), (None,)]
+    rows = spark.createDataFrame(made, "v double").select(rounded(F.col("v"), 9), rounded_size(F.col("v"), 9)).collect()
+    assert [r[0] for r in rows[:5]] == [r[1] for r in rows[:5]] == [0.000976563, 0.002929688, 0.0, 1.0249365, rows[4][0]] and rows[5][1] == math.inf and rows[7][1] is None
+
+
 def test_medoid_of_copies_and_gaps(spark):
     """All clips of a sign share some value; the copy of the lowest id wins."""
     r = random.Random(5)
