@@ -8,7 +8,6 @@ clips themselves.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lernspur.operators.ranking import hash_rank
+from lernspur.operators.medoids import away, medoids_of_many, share
 from lernspur.operators.trajectory import clip_distance, dense, fit_gaussian, long_form, motion_ratio, template_arrays
 
 #: Signs of fewer clips are matched by their nearest clip, in this variance.
@@ -177,7 +176,7 @@ def dtw_scores(clips: DataFrame, templates: DataFrame, radius: int = 8, most_byt
 
 def draw(key: str, weights: np.ndarray) -> int:
     """An index with probability in proportion to its weight, by the md5 of a key; uniform where all weights are 0."""
-    u = int(hashlib.md5(key.encode()).hexdigest()[:13], 16) / float(1 << 52)
+    u = share(key)
     total = np.cumsum(weights if weights.sum() > 0 else np.ones(len(weights)))
     return int(min(np.searchsorted(total, u * total[-1], side="right"), len(weights) - 1))
 
@@ -186,10 +185,7 @@ def distances(x: np.ndarray) -> np.ndarray:
     """Mean squared differences of all clips over values that both have; infinity if there are none."""
     out = np.zeros((len(x), len(x)))
     for i in range(len(x)):
-        d = (x - x[i]) ** 2
-        there = ~np.isnan(d)
-        count = there.sum(axis=1)
-        out[i] = np.where(count > 0, np.where(there, d, 0.0).sum(axis=1) / np.maximum(count, 1), np.inf)
+        out[i] = away(x, x[i])
     np.fill_diagonal(out, 0.0)
     return out
 
@@ -219,16 +215,22 @@ def medoids(d: np.ndarray, k: int, key: str, rounds: int = 25) -> list[int]:
     return chosen
 
 
-def kmedoids(clips: DataFrame, k: int, seed: str = "42", rounds: int = 25, most: int = 512) -> DataFrame:
+def kmedoids(clips: DataFrame, k: int, seed: str = "42", rounds: int = 25, most: int = 512, per_block: int = 4096) -> DataFrame:
     """(sign, clip, cluster, is_medoid) of every clip: clusters of each sign around k of its clips.
 
-    Medoids are sought among all clips of a sign, or among ``most`` of them in seeded order where it has more, so a
-    distance matrix is never larger than ``most`` squared; all clips then join the nearest medoid, the first on a tie.
-    Signs of k clips or fewer are one cluster. Clips of one sign must agree in shape; others than the commonest shape
-    of the sample are cut or padded with missing values.
+    Medoids are sought among all clips of a sign: on a matrix of distances where it has at most ``most``, in blocks of
+    ``per_block`` clips (operators/medoids.py) where it has more. All clips then join the nearest medoid, the first on a
+    tie. Signs of k clips or fewer are one cluster. Clips of one sign must agree in shape; others are padded with missing
+    values.
     """
-    ranks = hash_rank(clips.select("sign", "clip"), ["sign"], "clip", seed).where(F.col("rank") <= most).select("sign", "clip", "group_size")
-    some = ranks.join(clips.select("sign", "clip", "traj"), ["sign", "clip"])
+    sought = clips.select("sign", "clip", "traj").where(F.col("sign").isNotNull() & F.col("clip").isNotNull())
+    sizes = sought.groupBy("sign").agg(F.count("*").alias("n")).where(F.col("n") > max(most, k))
+    many = {r["sign"]: r["n"] for r in sizes.collect()} if k > 1 else {}
+    # at most one sign in ``most`` clips
+    large = F.broadcast(clips.sparkSession.createDataFrame([(s,) for s in many], T.StructType([clips.schema["sign"]]))) if many else None
+    some = sought.join(large, "sign", "left_anti") if many else sought
+    if k <= 1:  # one cluster, around the first clip
+        some = sought.join(sought.groupBy("sign").agg(F.min("clip").alias("clip")), ["sign", "clip"])
     sign, clip = (clips.schema[c].dataType for c in ("sign", "clip"))
     found_type = T.StructType([T.StructField("sign", sign), T.StructField("cluster", T.IntegerType()), T.StructField("medoid", clip), T.StructField("traj", clips.schema["traj"].dataType)])
 
@@ -241,7 +243,7 @@ def kmedoids(clips: DataFrame, k: int, seed: str = "42", rounds: int = 25, most:
         for rows, x in shapes:
             flat[rows, : x.shape[1] * x.shape[2]] = x.reshape(len(rows), -1)
         key = f"{seed}|{table.column('sign')[0].as_py()}"
-        if k <= 1 or table.column("group_size")[0].as_py() <= k:
+        if k <= 1 or table.num_rows <= k:
             chosen = [0]
         else:
             chosen = medoids(distances(flat), k, key, rounds)
@@ -249,6 +251,10 @@ def kmedoids(clips: DataFrame, k: int, seed: str = "42", rounds: int = 25, most:
         return pa.table([own.column("sign"), pa.array(range(len(chosen)), pa.int32()), own.column("clip"), own.column("traj")], names=["sign", "cluster", "medoid", "traj"])
 
     found = some.groupBy("sign").applyInArrow(find, found_type)
+    if many:
+        chosen = [(s, c, m) for s, of in medoids_of_many(sought.join(large, "sign", "left_semi"), many, k, seed, rounds, per_block).items() for c, m in enumerate(of)]
+        known = clips.sparkSession.createDataFrame(chosen, T.StructType([*found_type.fields[:2], T.StructField("clip", clip)]))
+        found = found.unionByName(known.join(sought, ["sign", "clip"]).select("sign", "cluster", F.col("clip").alias("medoid"), "traj"))
     known = found.groupBy("sign").agg(F.array_sort(F.collect_list(F.struct("cluster", "medoid", F.col("traj").alias("at")))).alias("medoids"))
     met = clips.select("sign", "clip", "traj").join(known, "sign")
     away = F.transform("medoids", lambda m: F.when(m["medoid"] == F.col("clip"), F.lit(-1.0)).otherwise(clip_distance(F.col("traj"), m["at"])))

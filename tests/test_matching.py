@@ -265,6 +265,32 @@ def test_kmedoids_of_large_and_odd_signs(spark):
     assert matching.kmedoids(df.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize(("k", "odd"), [(2, False), (3, True)])
+def test_medoids_of_many_clips_are_sought_among_all(spark, k, odd):
+    """Signs of more clips than a matrix takes have the very medoids the matrix has, over blocks, gaps, copies and clips without values."""
+    r = np.random.default_rng(k)
+    made = []
+    for sign, n in (("a", 150), ("b", 90), ("few", 12)):
+        base = r.normal(size=(3, 2, 3)) * 2 + 50
+        for i in range(n):
+            x = base[i % 3] + r.normal(size=(2, 3)) * 0.5
+            x[r.random(x.shape) < (0.2 if sign == "a" else 0.0)] = NAN
+            made.append((f"{sign}{(i * 37) % n:03}", sign, listed(x)))
+        made += [(f"{sign}-{i}", sign, made[-1 - i][2]) for i in range(8)]
+    made += [("z1", "b", None), ("z0", "b", [[None] * 3] * 2)] if odd else []
+    made += [("same%d" % i, "same", [[1.0, 2.0]]) for i in range(30)]
+    df = spark.createDataFrame(made, "clip string, sign string, traj array<array<double>>")
+    want, got = ({x.clip: (x.sign, x.cluster, x.is_medoid) for x in matching.kmedoids(df, k, most=most, per_block=32).collect()} for most in (1000, 20))
+    assert got == want and len(got) == len(made)
+
+
+def test_templates_of_many_clips_follow_all_of_them(spark):
+    """A second kind of clip that five of a large sign are, none of them among the first 512 by seeded hash, has its own cluster."""
+    made = [(i, "s", [[float(i % 5), 0.0]]) for i in range(1500)] + [(9045 + i, "s", [[1e6 + i, 1.0]]) for i in range(5)]
+    clusters = matching.fit_templates(spark.createDataFrame(made, CLIP), half=1, until=2, clusters=2).first().clusters
+    assert sorted(round(c.mean[0][0]) for c in clusters) == [2, 1_000_002]
+
+
 # ---- live matching
 
 
